@@ -5,20 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.llm import simhash
+from cueline.llm import simhash, substring_dedup
 from cueline.llm._common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = substring_dedup.remove_repeats(docs, layout="words")
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+OP1_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM words, unnest(range(1, len(w) - 48)) AS t(i)
+), firsts AS (
+  SELECT h, min(doc_id) AS lo FROM windows GROUP BY h
+), hits AS (
+  SELECT doc_id, i FROM windows JOIN firsts USING (h) WHERE lo < doc_id
+), singles AS (
+  SELECT words.doc_id, j, w[j] AS word, hits.i FROM words CROSS JOIN unnest(range(1, len(w) + 1)) AS t(j)
+  LEFT JOIN hits ON hits.doc_id = words.doc_id AND hits.i = j
+), marked AS (
+  SELECT doc_id, j, word,
+    max(i) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM singles
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": OP1_SQL}
