@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.llm import packing, simhash, substring_dedup, token_counts
-from cueline.llm._common import table
+from cueline.llm import packing, quality_vote, simhash, substring_dedup, token_counts, toxicity
+from cueline.llm._common import crc32_mod, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc32_mod(F.col("doc_id"), 3) != 1)
+    scored = toxicity.with_toxicity(docs, labels)
+    return scored.select("doc_id", (crc32_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc32_mod(F.col("doc_id"), 4) != 2)
+    scored = quality_vote.with_quality(docs, labels)
+    return scored.select("doc_id", (crc32_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -59,6 +73,8 @@ FROM words LEFT JOIN kept USING (doc_id)
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op3_toxicity": op3_toxicity,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_token_counts": op8_token_counts,
