@@ -18,14 +18,14 @@ from cueline.llm._common import shared_folder, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, fitted on the labels, calls toxic go."""
-    scored = toxicity.with_toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.score(model, F.col("text")) < toxicity.THRESHOLD)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose labelled neighbours do not vote for good quality go."""
-    scored = quality_vote.with_quality(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    model = quality_vote.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality_vote.score(model, F.col("text")) >= quality_vote.THRESHOLD)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of 50 words and more that an earlier document has are cut out of the text."""
-    left = substring_dedup.remove_repeats(docs, layout="source")
-    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    left = substring_dedup.remove_repeats(docs, layout="source", prefix="__cut_")
+    new = {"text": F.col("__cut_kept"), "n_chars": F.length("__cut_kept").cast("long")}
     return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 

@@ -114,7 +114,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = []
-        for doc_id, text, blocks in zip(*(batch.column(i) for i in range(3))):
+        for doc_id, text, blocks in zip(*(batch.column(c) for c in ("doc_id", "text", "__blocks"))):
             p = Parsed(words_of(text.as_py()))
             if p.n_windows:
                 start, window = p.windows(np.isin(_signed(p.block), blocks.values.to_numpy()))
@@ -126,8 +126,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def matches(docs: DataFrame) -> DataFrame:
     """(doc_id, key): hashes of the document's blocks and windows that an earlier document has."""
     short_batches(docs.sparkSession)
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    rows = checkpoint(docs.mapInArrow(_block_rows, "anchor long, block long, doc_id long"))
+    docs = docs.where("doc_id is not null")
+    rows = checkpoint(docs.select("doc_id", "text").mapInArrow(_block_rows, "anchor long, block long, doc_id long"))
     # Anchors that only one document has are most of them, and of no further use.
     shared = (
         rows.groupBy("anchor")
@@ -145,11 +145,10 @@ def matches(docs: DataFrame) -> DataFrame:
     index = checkpoint(index)
     whole = rows.join(index.where("lo < hi").select("anchor", "block", "lo"), ["anchor", "block"]).where("doc_id > lo")
     # A block's windows need comparing only in the first document that has it: later ones match it whole.
-    compare = index.where("contested").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list("block").alias("blocks"))
-    windows = checkpoint(
-        docs.join(compare, "doc_id").select("doc_id", "text", "blocks")
-        .mapInArrow(_window_rows, "anchor long, window long, doc_id long")
-    )
+    compare = index.where("contested").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list("block").alias("__blocks"))
+    # All columns of docs go in, so that the caller's join on doc_id can use the same exchange of the texts;
+    # the windows are cheap to compute twice, an exchange more of the texts is not.
+    windows = docs.join(compare, "doc_id").mapInArrow(_window_rows, "anchor long, window long, doc_id long")
     first = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     single = windows.join(first, ["anchor", "window"]).where("doc_id > lo")
     return whole.select("doc_id", F.col("block").alias("key")).union(single.select("doc_id", F.col("window").alias("key")))
@@ -171,13 +170,14 @@ def covered(words: list[bytes], keys: np.ndarray) -> np.ndarray:
 _PIECES = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 
 
-def remove_repeats(docs: DataFrame, layout: str = "source") -> DataFrame:
+def remove_repeats(docs: DataFrame, layout: str = "source", prefix: str = "") -> DataFrame:
     """Remove each word covered by a 50-word window that also starts in a document with a smaller doc_id.
 
     Input: ``doc_id`` (long), ``text``, and any further columns, which are kept
     unless they have the name of an added one.
-    Adds n_words, n_removed (long) and kept (string): what is left, with the
-    white space of the source, or with ``layout="words"`` joined by one space.
+    Adds n_words, n_removed (long) and kept (string), their names after
+    ``prefix``: what is left, with the white space of the source, or with
+    ``layout="words"`` joined by one space.
     Windows are judged on the input, not on what is left.  Null and empty texts
     have no words; kept is then empty.  Rows with a null doc_id are neither
     reference nor changed.  Repeated rows (one doc_id) never remove each other.
@@ -205,11 +205,12 @@ def remove_repeats(docs: DataFrame, layout: str = "source") -> DataFrame:
             out.append((len(words), n, kept.decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
+    added = {c: f"{prefix}{c}" for c in ("n_words", "n_removed", "kept")}
     rest = [F.col(c) for c in docs.columns]
     named = docs.where("doc_id is not null").join(found, "doc_id", "left").select(*rest, "__keys")
     unnamed = docs.where("doc_id is null").select(*rest, F.lit(None).cast("array<bigint>").alias("__keys"))
     return (
         named.unionByName(unnamed)
         .withColumn("__left", left("text", "__keys"))
-        .select(*[F.col(c) for c in docs.columns if c not in ("n_words", "n_removed", "kept")], "__left.*")
+        .select(*[F.col(c) for c in docs.columns if c not in added.values()], *[F.col(f"__left.{k}").alias(v) for k, v in added.items()])
     )
