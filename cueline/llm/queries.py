@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.llm import html_extract, packing, quality_vote, simhash, substring_dedup, token_counts, toxicity
+from cueline.llm import html_extract, packing, quality_rules, quality_vote, simhash, substring_dedup, token_counts, toxicity
 from cueline.llm._common import crc32_mod, table
 
 
@@ -37,6 +37,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = quality_rules.with_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ruled.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -74,6 +81,39 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 
+#: A repeat of at least 10 words is made of repeated windows of 10, and one of over 100 holds a repeated window of 101.
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, k, i, md5(array_to_string(w[i:i + k - 1], ' ')) AS h
+  FROM words, unnest([5, 10, 101]) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i)
+), repeated AS (
+  SELECT doc_id, k, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, k, h) > 1
+), spans AS (
+  SELECT doc_id, k, i, lead(i) OVER (PARTITION BY doc_id, k ORDER BY i) AS following FROM repeated
+), covered AS (
+  SELECT doc_id, sum(least(k, coalesce(following - i, k))) FILTER (k = 5) AS five,
+    sum(least(k, coalesce(following - i, k))) FILTER (k = 10) AS ten, count(*) FILTER (k = 101) AS long
+  FROM spans GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, line FROM words, unnest(string_split(t, chr(10))) AS l(line)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id
+), base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(five, 0)::BIGINT AS n_repeat_words, coalesce(ten, 0) AS ten, coalesce(long, 0) AS long
+  FROM words LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND ten <= 0.2 * n_words AND long = 0 AS kept
+FROM base
+"""
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -81,10 +121,11 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_quality_rules": op6_quality_rules,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_token_counts": op8_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op6_quality_rules": OP6_SQL}
