@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.llm import html_extract, packing, quality_rules, quality_vote, simhash, substring_dedup, token_counts, toxicity
+from cueline.llm import ann, html_extract, packing, quality_rules, quality_vote, simhash, substring_dedup, token_counts, toxicity
 from cueline.llm._common import crc32_mod, table
 
 
@@ -53,6 +53,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 OP1_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -124,6 +128,7 @@ def queries() -> dict:
         "op6_quality_rules": op6_quality_rules,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_token_counts": op8_token_counts,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
