@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.llm import ann, html_extract, packing, quality_rules, quality_vote, simhash, substring_dedup, token_counts, toxicity
+from cueline.llm import ann, html_extract, packing, piece_sampling, quality_rules, quality_vote, simhash, substring_dedup, token_counts, toxicity
 from cueline.llm._common import crc32_mod, table
 
 
@@ -53,6 +53,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = piece_sampling.encode(docs)
+    back = cut.withColumn("lossless", piece_sampling.decode(F.col("piece_ids")) == F.coalesce("text", F.lit("")))
+    return back.select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", "lossless")
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -128,6 +135,7 @@ def queries() -> dict:
         "op6_quality_rules": op6_quality_rules,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_token_counts": op8_token_counts,
+        "op9_sentencepiece_sampling": op9_sentencepiece_sampling,
         "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
