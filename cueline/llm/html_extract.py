@@ -48,9 +48,11 @@ _CLOSES = {
 _DROPPED_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|"
     r"popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|side|rail|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"header|masthead|footer|footnav|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|"
+    r"footer|footnav|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|"
     r"recommended|widget|pagination|pager|toolbar|skip|search|legal|copyright)(?:$|[\s_-])"
 )
+_HEADER_WORDS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])")
+_COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond|disqus)(?:$|[\s_-])")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/!?][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
@@ -60,20 +62,24 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(
 
 
 class Node:
-    __slots__ = ("tag", "children", "dropped", "article")
+    __slots__ = ("tag", "children", "dropped", "article", "header")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.children = tag, []
         self.article = tag in ARTICLE
         self.dropped = tag in DROPPED
+        self.header = tag == "header"
         if attributes and "=" in attributes or "hidden" in attributes:
             found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)}
             names = f"{found.get('class', '')} {found.get('id', '')}".lower()
             role = found.get("role", "").lower()
+            if _COMMENT_WORDS.search(names):  # articles of readers are no articles
+                self.article, self.dropped = False, True
             self.article = self.article or role == "main" or found.get("itemprop", "").lower() == "articlebody"
             if not self.article and tag not in ("html", "body"):
                 hidden = "hidden" in found or found.get("aria-hidden") == "true"
                 hidden = hidden or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
+                self.header = self.header or bool(_HEADER_WORDS.search(names))
                 self.dropped = bool(self.dropped or role in DROPPED_ROLES or hidden or _DROPPED_WORDS.search(names))
 
 
@@ -120,10 +126,10 @@ def parse(html: str | None) -> Node:
     return root
 
 
-def _walk(root: Node) -> Iterator[tuple[Node, bool, int | None]]:
-    """(element, in an article, hash of its subtree or None if it has no text), children first."""
+def _walk(root: Node) -> Iterator[tuple[Node, bool, int, int]]:
+    """(element, in an article, hash of its subtree, words in it), children first."""
     pending = [(root, False, False)]
-    hashes: dict[int, tuple[int, bool]] = {}
+    hashes: dict[int, tuple[int, int]] = {}
     while pending:
         node, inside, ready = pending.pop()
         if not ready:
@@ -131,18 +137,18 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool, int | None]]:
             within = inside or node.article
             pending.extend((c, within, False) for c in node.children if isinstance(c, Node))
             continue
-        h, has_text = xxhash.xxh64(node.tag.encode()), False
+        h, size = xxhash.xxh64(node.tag.encode()), 0
         for c in node.children:
             if isinstance(c, Node):
                 own, some = hashes.pop(id(c))
                 h.update(own.to_bytes(8, "little"))
-                has_text |= some
+                size += some
             else:
-                words = " ".join(c.split())
-                has_text |= bool(words)
-                h.update(words.encode("utf-8", "surrogatepass") + b"\0")
-        hashes[id(node)] = (h.intdigest(), has_text)
-        yield node, inside, h.intdigest() if has_text else None
+                words = c.split()
+                size += len(words)
+                h.update(" ".join(words).encode("utf-8", "surrogatepass") + b"\0")
+        hashes[id(node)] = (h.intdigest(), size)
+        yield node, inside, h.intdigest(), size
 
 
 def _deletable(node: Node, inside: bool) -> bool:
@@ -158,18 +164,25 @@ def _signed(h: int) -> int:
 
 def subtree_hashes(html: str | None) -> set[int]:
     """Hashes of the subtrees of a page that could be a template's."""
-    return {_signed(h) for node, inside, h in _walk(parse(html)) if h is not None and _deletable(node, inside)}
+    return {_signed(h) for node, inside, h, size in _walk(parse(html)) if size and _deletable(node, inside)}
 
 
 def main_text(html: str | None, template: set[int] = frozenset()) -> str:
-    """The blocks of the article joined by line breaks; subtrees whose hash is in ``template`` are left out."""
+    """The blocks of the article joined by line breaks; subtrees whose hash is in ``template`` are left out.
+
+    A subtree with more than half of the words of its article (or page, outside
+    of one) is no template's, though copies of the page make it recur.
+    """
     root = parse(html)
-    gone = set()
-    articles = False
-    for node, inside, h in _walk(root):
-        articles |= node.article and not node.dropped
-        if h is not None and _signed(h) in template and _deletable(node, inside):
-            gone.add(id(node))
+    found, articles, in_articles, in_page = [], False, 0, 0
+    for node, inside, h, size in _walk(root):
+        if node.article and not node.dropped:
+            articles = True
+            in_articles += 0 if inside else size
+        if size and _signed(h) in template and _deletable(node, inside):
+            found.append((id(node), inside, size))
+        in_page = size  # the root comes last
+    gone = {key for key, inside, size in found if 2 * size <= (in_articles if inside else in_page)}
     blocks, run = [], []
 
     def flush() -> None:
@@ -187,8 +200,8 @@ def main_text(html: str | None, template: set[int] = frozenset()) -> str:
             if inside:
                 run.append(what)
         else:
-            if what.dropped or id(what) in gone or (what.tag == "header" and not inside) or (what.tag == "header" and not articles):
-                continue
+            if what.dropped or id(what) in gone or (what.header and not (inside and articles)):
+                continue  # a header inside the article holds its title
             if what.tag in ("br", "img"):
                 run.append(" ")
             within = inside or what.article

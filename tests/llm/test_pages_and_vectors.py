@@ -15,6 +15,7 @@ def page(body, menu="<nav><ul><li><a href='/a'>Home</a></li></ul></nav>", extra=
     (page("<h1>T &amp; U</h1><p><b>One  two<br><p>three\n four&nbsp;five</p>"), "T & U\nOne two\nthree four five"),
     (page("<p>a</p><ul><li>x<li>y</ul><aside>no</aside><div class='share-buttons'>no</div>"), "a\nx\ny"),
     (page("<p>kept</p><section id='comments'><p>reader</p></section><form>f</form>"), "kept"),
+    (page("<header><h1>Title</h1></header><p>a</p><div class='comments'><article class='comment'><p>reader</p></article></div>", extra="<header><p>site</p></header><div class='masthead'>no</div>"), "Title\na"),
     (page("<p>5 &lt; 6 and 3 < 4 > 2</p><!-- c --><style>p{}</style>"), "5 < 6 and 3 < 4 > 2"),
     ("<body><div class='content'><p>only</p></div><div class='cookie-notice'>no</div></body>", "only"),
     ("<article><p>cut off &am", "cut off &am"), ("<article><p>cut <b", "cut"), ("<article><p>a</p><script>never closed", "a"),
