@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,6 +228,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _unpack(page: bytes | None) -> str | None:
+    return None if page is None else zstandard.ZstdDecompressor().decompress(page).decode("utf-8", "surrogatepass")
+
+
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """Add text (empty if none) and n_chars to each page; further columns are kept, those two replaced.
 
@@ -248,12 +253,25 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     )
     template = rows.join(often, ["host", "subtree"]).groupBy("page_id").agg(F.collect_set("subtree").alias("__template"))
 
+    # Pages are exchanged packed: a page's markup packs to less than half.
+    @F.pandas_udf("binary")
+    def packed(html: pd.Series) -> pd.Series:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return pd.Series([None if h is None else pack(h.encode("utf-8", "surrogatepass")) for h in html], dtype=object)
+
     @F.pandas_udf("string")
-    def text(html: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, frozenset(np.asarray(t).tolist()) if t is not None else frozenset()) for h, t in zip(html, found)], dtype=object)
+    def unpacked(pages: pd.Series) -> pd.Series:
+        return pd.Series([_unpack(p) for p in pages], dtype=object)
 
+    @F.pandas_udf("string")
+    def text(pages: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([main_text(_unpack(p), frozenset(np.asarray(t).tolist()) if t is not None else frozenset()) for p, t in zip(pages, found)], dtype=object)
+
+    moved = pages.withColumn("html", packed("html"))
     both = (
-        pages.where("page_id is not null").join(template, "page_id", "left").select(*rest, "__template")
-        .unionByName(pages.where("page_id is null").select(*rest, F.lit(None).cast("array<bigint>").alias("__template")))
+        moved.where("page_id is not null").join(template, "page_id", "left").select(*rest, "__template")
+        .unionByName(moved.where("page_id is null").select(*rest, F.lit(None).cast("array<bigint>").alias("__template")))
+    )
+    return both.select(*[unpacked("html").alias(c) if c == "html" else F.col(c) for c in rest], text("html", "__template").alias("text")).withColumn(
+        "n_chars", F.length("text").cast("long")
     )
-    return both.withColumn("text", text("html", "__template")).select(*rest, "text", F.length("text").cast("long").alias("n_chars"))
