@@ -1,8 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of its hashed terms: lower-case words and their first
-letters.  Terms whose presence goes with the label in the training sample are
-kept; over them a second-order factorization machine learns a weight for each
+letters, each once more where it occurs at least twice, and again where at
+least three times, so that one chance match of a stem and several of them are
+told apart.  Terms whose presence goes with the label in the training sample
+are kept; over them a second-order factorization machine learns a weight for each
 term and, through factor vectors, one for each pair, such as an insult and the
 group it names, which single weights would miss.
 """
@@ -10,6 +12,7 @@ group it names, which single weights would miss.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,45 +31,55 @@ BUCKETS = 1 << 20
 #: Terms kept, at most, and the least chi-squared statistic of their association with the label.
 TERMS, LEAST_ASSOCIATION = 4096, 20.0
 PREFIXES = (4, 5)
+#: A bucket stands for so many terms: its first, second and third occurrence in a text.
+LEVELS = 3
 FACTORS = 8
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 300_000
 
 
-def words_in(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+def words_in(text: str | None) -> Counter[str]:
+    """How often each lower-case word occurs in a whole text."""
+    return Counter(_WORD.findall((text or "").lower()))
 
 
-def terms_of(word: str) -> list[int]:
+def buckets_of(word: str) -> list[int]:
     """Buckets of a word and of its prefixes."""
     names = [word, *(f"{word[:k]}~" for k in PREFIXES if len(word) > k)]
     return [xxhash.xxh32_intdigest(n.encode("utf-8", "surrogatepass")) % BUCKETS for n in names]
 
 
+def levels(counts: Counter[int]) -> Iterator[int]:
+    """Terms of counted buckets."""
+    for bucket, n in counts.items():
+        yield from range(LEVELS * bucket, LEVELS * bucket + min(n, LEVELS))
+
+
 class Terms:
     """Finds the kept terms of a text."""
 
     def __init__(self, kept: np.ndarray) -> None:
-        self._place = {int(b): i for i, b in enumerate(kept)}
+        self._place = {int(t): i for i, t in enumerate(kept)}
+        self._buckets = {t // LEVELS for t in self._place}
         self._memo: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> list[int]:
-        memo, found = self._memo, set()
+        memo, counts = self._memo, Counter()
         if len(memo) > _MEMO:
             memo.clear()
-        for word in words_in(text):
-            places = memo.get(word)
-            if places is None:
-                places = memo[word] = tuple(self._place[b] for b in terms_of(word) if b in self._place)
-            if places:
-                found.update(places)
-        return sorted(found)
+        for word, n in words_in(text).items():
+            buckets = memo.get(word)
+            if buckets is None:
+                buckets = memo[word] = tuple(b for b in buckets_of(word) if b in self._buckets)
+            for b in buckets:
+                counts[b] += n
+        return sorted(self._place[t] for t in levels(counts) if t in self._place)
 
 
 @dataclass
 class Model:
-    """Kept buckets, bias, weights, and factors (term x factor)."""
+    """Kept terms, bias, weights, and factors (term x factor)."""
 
     kept: np.ndarray
     bias: float
@@ -131,15 +144,19 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFr
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        buckets, hits = [], []
+        terms, hits = [], []
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = {b for word in words_in(text) for b in terms_of(word)}
-            buckets.extend(own)
+            counts = Counter()
+            for word, n in words_in(text).items():
+                for b in buckets_of(word):
+                    counts[b] += n
+            own = list(levels(counts))
+            terms.extend(own)
             hits.extend([y] * len(own))
-        bucket, at, n = np.unique(np.array(buckets, np.int32), return_inverse=True, return_counts=True)
-        pos = np.bincount(at, np.array(hits, float), len(bucket)).astype(np.int64)
+        term, at, n = np.unique(np.array(terms, np.int32), return_inverse=True, return_counts=True)
+        pos = np.bincount(at, np.array(hits, float), len(term)).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket, pa.int32()), pa.array(n, pa.int64()), pa.array(pos, pa.int64())], names=["bucket", "n", "pos"]
+            [pa.array(term, pa.int32()), pa.array(n, pa.int64()), pa.array(pos, pa.int64())], names=["term", "n", "pos"]
         )
 
 
@@ -152,15 +169,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LA
     short_batches(docs.sparkSession)
     sample = sampled(docs, labels, label, rows)
     total, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    counts = sample.mapInArrow(_counts, "bucket int, n long, pos long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    counts = sample.mapInArrow(_counts, "term int, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
     off = pos * F.lit(float(total)) - n * F.lit(float(ones))
     spread = n * (F.lit(float(total)) - n) * F.lit(float(ones) * max(total - ones, 0))
     kept = [
-        r["bucket"]
+        r["term"]
         for r in counts.withColumn("chi", F.lit(float(total)) * off * off / F.nullif(spread, F.lit(0.0)))
         .where((F.col("chi") >= LEAST_ASSOCIATION) & (F.col("n") >= 3))
-        .orderBy(F.desc("chi"), "bucket").limit(TERMS).select("bucket").collect()
+        .orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()
     ]
     kept = np.array(sorted(kept), np.int64)
 

@@ -41,6 +41,15 @@ def test_odd_tables(spark, op, module, label):
     assert getattr(module, op)(docs.limit(0), labels).count() == 0
 
 
+def test_terms_tell_how_often():
+    """Words and stems count up to three times; terms that aren't kept are left out."""
+    bucket = toxicity.buckets_of("insulting")[1]  # its first four letters
+    kept = np.array([toxicity.LEVELS * bucket + k for k in range(toxicity.LEVELS)])
+    find = toxicity.Terms(kept)
+    texts = [None, "", "kind words", "Insulting", "insulting, insulted", "insult insults insulted", "insults " * 100_000]
+    assert [find(t) for t in texts] == [[], [], [], [0], [0, 1], [0, 1, 2], [0, 1, 2]]
+
+
 def test_the_machine_learns_a_pair():
     """Neither term alone goes with the label, only both together."""
     rng = np.random.default_rng(1)
