@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,13 +95,42 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, min_score: floa
     return scored.where("score is not null").orderBy(F.desc("score"), id_col).limit(k)
 
 
-def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", max_queries: int = 1000) -> DataFrame:
-    """As ``nearest`` for each row of ``queries`` (query_id, query): at most ``max_queries``, which are broadcast."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries: search them in parts, or use an index")
-    every = vectors.join(F.broadcast(queries)).withColumn("score", cosine(F.col("embedding"), F.col("query"))).where("score is not null")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("query")
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", query_block: int = 4096, vector_block: int = 65_536) -> DataFrame:
+    """As ``nearest`` for each row of ``queries`` (query_id, query), however many: query_id, rank, id, score.
+
+    Queries and vectors are dealt into blocks by a hash, and each pair of blocks
+    meets in one task, as one product of matrices, which lets out ``k`` rows for
+    each query.  Ids and query ids occur once.
+    """
+    usable = lambda df, name: df.where(F.col(name).isNotNull() & ~F.exists(name, lambda x: x.isNull()) & (norm(F.col(name)) > 0))
+    vectors = usable(vectors.select(F.col(id_col).alias("id"), F.col("embedding").alias("v")), "v")
+    queries = usable(queries.select("query_id", F.col("query").alias("q")), "q")
+    n_v, n_q = -(-vectors.count() // vector_block) or 1, -(-queries.count() // query_block) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int")).withColumn("qb", every(n_q))
+    right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("vb", every(n_v))
+    kinds = {**dict(left.dtypes), **dict(right.dtypes)}
+
+    def meet(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found: list[pd.DataFrame] = []
+        if len(v) and len(q):
+            v = v.sort_values("id", ignore_index=True)
+            x, y = (np.stack(c.to_numpy()).astype(np.float64) for c in (v["v"], q["q"]))
+            x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
+            for at in range(0, len(y), 256):
+                for row, scores in enumerate(y[at : at + 256] @ x.T, at):
+                    near = np.arange(len(x))
+                    if len(x) > k:
+                        near = np.flatnonzero(scores >= np.partition(scores, -k)[-k] - 1e-12)
+                    # equal vectors must score equally, which a product of matrices does not promise
+                    exact = (x[near] * y[row]).sum(axis=1)
+                    top = np.argsort(-exact, kind="stable")[:k]
+                    found.append(pd.DataFrame({"query_id": q["query_id"].iloc[row], "id": v["id"].to_numpy()[near[top]], "score": exact[top]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    met = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(meet, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 def with_rank(hits: DataFrame, id_col: str = "id") -> DataFrame:

@@ -85,13 +85,13 @@ def knn_threshold(spark, sf_dir):
 @query(
     """WITH p AS (
   SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
-  FROM embeddings a, embeddings b WHERE a.vec_id < 20
+  FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM p)
 SELECT query_id, rank, id, round(s, 6) AS score FROM r WHERE rank <= 5"""
 )
 def knn_many(spark, sf_dir):
     v = t.vectors(spark, sf_dir)
-    asked = v.where("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     return search.nearest_many(v, asked, 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
@@ -340,13 +340,15 @@ def html_links_distinct(spark, sf_dir):
 
 @query(
     f"""WITH {SEGMENTS_SQL} SELECT 'v' || video_id AS url, (row_number() OVER (PARTITION BY video_id ORDER BY idx) - 1) AS idx, time,
-  regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM seg WHERE NOT contains(text, '<') AND NOT contains(text, '&') AND length(trim(text)) > 0"""
+  regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM seg WHERE regexp_matches(text, '\\S')"""
 )
 def html_transcript(spark, sf_dir):
-    rows = t.segments(spark, sf_dir).where(~F.contains("text", F.lit("<")) & ~F.contains("text", F.lit("&")) & (F.length(F.trim("text")) > 0))
+    rows, said = t.segments(spark, sf_dir), F.col("text")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        said = F.replace(said, F.lit(sign), F.lit(name))
     element = F.concat(
         F.lit('<ytd-transcript-segment-renderer><div class="segment-timestamp">'), F.col("time"),
-        F.lit('</div><yt-formatted-string class="segment-text"> '), F.col("text"), F.lit(" </yt-formatted-string></ytd-transcript-segment-renderer>"),
+        F.lit('</div><yt-formatted-string class="segment-text"> '), said, F.lit(" </yt-formatted-string></ytd-transcript-segment-renderer>"),
     )
     made = rows.groupBy(F.concat(F.lit("v"), F.col("video_id").cast("string")).alias("url")).agg(transcripts.joined(F.col("idx"), element, "\n").alias("html"))
     return pages.transcript_segments(made).withColumn("idx", F.col("idx").cast("long"))

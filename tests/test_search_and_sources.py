@@ -53,8 +53,16 @@ def test_good_requests_and_many_queries(store):
     asked = store.select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     best = search.nearest_many(store, asked, 1)
     assert best.where("id = query_id").count() == store.count()
-    with pytest.raises(ValueError):
-        search.nearest_many(store, asked, 1, max_queries=3)
+    # in many blocks as in one, with null and zero vectors left out, and equal ones by id
+    odd = store.select("id", "embedding").unionByName(store.select(F.concat(F.lit("~"), "id").alias("id"), "embedding"))
+    zero = F.array(*[F.lit(0.0)] * 384).cast("array<float>")
+    odd = odd.unionByName(odd.limit(1).select(F.lit("z").alias("id"), zero.alias("embedding"))).unionByName(odd.limit(1).select(F.lit("n").alias("id"), F.lit(None).cast("array<float>").alias("embedding")))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in df.collect())
+    one, many = rows(search.nearest_many(odd, asked, 4)), rows(search.nearest_many(odd, asked, 4, query_block=3, vector_block=4))
+    assert one == many and len(one) == 4 * store.count() and {r[2] for r in one if r[1] == 1} == {r.id for r in store.select("id").collect()}
+    for r in asked.limit(2).collect():
+        assert [x[2] for x in one if x[0] == r.query_id] == [h.id for h in search.nearest(odd, list(r.query), 4).collect()]
+    assert search.nearest_many(odd, asked.limit(0), 4).count() == 0 == search.nearest_many(odd.limit(0), asked, 4).count()
 
 
 def test_chat(store):
