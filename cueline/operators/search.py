@@ -112,7 +112,7 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: st
     kinds = {**dict(left.dtypes), **dict(right.dtypes)}
 
     def meet(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
+        asked, ids, scored = [], [], []
         if len(v) and len(q):
             v = v.sort_values("id", ignore_index=True)
             x, y = (np.stack(c.to_numpy()).astype(np.float64) for c in (v["v"], q["q"]))
@@ -125,8 +125,10 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: st
                     # equal vectors must score equally, which a product of matrices does not promise
                     exact = (x[near] * y[row]).sum(axis=1)
                     top = np.argsort(-exact, kind="stable")[:k]
-                    found.append(pd.DataFrame({"query_id": q["query_id"].iloc[row], "id": v["id"].to_numpy()[near[top]], "score": exact[top]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
+                    asked.extend([q["query_id"].iloc[row]] * len(top))
+                    ids.extend(v["id"].iloc[near[top]])
+                    scored.extend(exact[top])
+        return pd.DataFrame({"query_id": pd.Series(asked, dtype=object), "id": pd.Series(ids, dtype=object), "score": pd.Series(scored, dtype=float)})
 
     met = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(meet, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
