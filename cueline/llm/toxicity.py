@@ -3,10 +3,10 @@
 A document is the set of its hashed terms: lower-case words and their first
 letters, each once more where it occurs at least twice, and again where at
 least three times, so that one chance match of a stem and several of them are
-told apart.  Terms whose presence goes with the label in the training sample
-are kept; over them a second-order factorization machine learns a weight for each
-term and, through factor vectors, one for each pair, such as an insult and the
-group it names, which single weights would miss.
+told apart.  Over all terms that stand in a few documents of the training sample
+a second-order factorization machine learns a weight for each term and, through
+factor vectors, one for each pair, such as an insult and the group it names,
+which single weights would miss.  No term needs to go with the label by itself.
 """
 
 from __future__ import annotations
@@ -28,8 +28,12 @@ from cueline.llm._common import short_batches
 #: Bound on the labelled rows that the model is fitted on.
 LABELLED_ROWS = 20_000
 BUCKETS = 1 << 20
-#: Terms kept, at most, and the least chi-squared statistic of their association with the label.
-TERMS, LEAST_ASSOCIATION = 4096, 20.0
+#: A term has a weight and factors if so many documents of the sample hold it.
+LEAST_DOCUMENTS = 3
+#: Terms of this chi-squared statistic with the label are fitted first, alone; then all terms are.
+STRONG = 20.0
+#: The other terms learn slowly, the more so the fewer documents hold them: their steps are damped by so much a document.
+DAMPING = 0.1
 PREFIXES = (4, 5)
 #: A bucket stands for so many terms: its first, second and third occurrence in a text.
 LEVELS = 3
@@ -98,36 +102,71 @@ def _sigmoid(x: float | np.ndarray) -> float | np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_machine(rows: list[list[int]], labels: np.ndarray, n_terms: int, epochs: int = 30, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors by mini-batch AdaGrad on the logistic loss."""
+def _association(terms: np.ndarray, sizes: np.ndarray, labels: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many documents each term is, and its chi-squared statistic with the label."""
+    rows, ones = len(labels), labels.sum()
+    n = np.bincount(terms, minlength=n_terms).astype(np.float64)
+    pos = np.bincount(terms, np.repeat(labels, sizes), n_terms)
+    spread = n * (rows - n) * ones * (rows - ones)
+    return n, np.divide(rows * (rows * pos - n * ones) ** 2, spread, out=np.zeros(n_terms), where=spread > 0)
+
+
+def fit_machine(rows: list, labels: np.ndarray, n_terms: int, epochs: int = 30, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors by mini-batch AdaGrad on the logistic loss.
+
+    Two thirds of the epochs fit the terms that go with the label by themselves,
+    the last third all terms, so that a pair is learned from what its terms alone
+    don't tell and many rare terms don't learn the sample by heart.
+    """
     rng = np.random.default_rng(seed)
-    bias = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
-    w, v = np.zeros(n_terms), rng.normal(0, 0.05, (n_terms, FACTORS))
-    seen_w, seen_v, seen_b = np.full(n_terms, 1e-8), np.full((n_terms, FACTORS), 1e-8), 1e-8
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     ends = np.cumsum(sizes)
-    flat = np.fromiter((t for r in rows for t in r), np.int64, int(sizes.sum()))
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
+    flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if len(rows) else np.zeros(0, np.int32)
+    n, chi = _association(flat, sizes, labels, n_terms)
+    strong = chi >= STRONG
+    bias = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
+    w, v = np.zeros(n_terms, np.float32), rng.normal(0, 0.05, (n_terms, FACTORS)).astype(np.float32)
+    v[~strong] *= 0.2
+    damping = np.where(strong, 1e-8, DAMPING / np.maximum(n, 1)).astype(np.float32)
+    seen_w, seen_v, seen_b = damping.copy(), np.repeat(damping[:, None], FACTORS, axis=1), 1e-8
+    order = rng.permutation(len(rows))
+
+    def batches(chosen: np.ndarray) -> list[tuple]:
+        """Rows, distinct terms, occurrences of each, and their places among the rows, by term."""
+        out = []
         for at in range(0, len(order), 256):
             some = order[at : at + 256]
-            owner = np.repeat(np.arange(len(some)), sizes[some])
-            terms = np.concatenate([flat[ends[i] - sizes[i] : ends[i]] for i in some]) if len(owner) else flat[:0]
-            sums = np.zeros((len(some), FACTORS))
-            np.add.at(sums, owner, v[terms])
-            squares = np.bincount(owner, (v[terms] ** 2).sum(axis=1), len(some))
-            guess = bias + np.bincount(owner, w[terms], len(some)) + 0.5 * ((sums**2).sum(axis=1) - squares)
+            terms = np.concatenate([flat[ends[i] - sizes[i] : ends[i]] for i in some])
+            owner = np.repeat(np.arange(len(some)), sizes[some]).astype(np.uint8)[chosen[terms]]
+            terms = terms[chosen[terms]]
+            own, times = np.unique(terms, return_counts=True)
+            out.append((some, own, times, owner[np.argsort(terms, kind="stable")]))
+        return out
+
+    first = 2 * epochs // 3 if strong.any() else 0
+    made = batches(strong) if first else []
+    for epoch in range(epochs):
+        if epoch == first:
+            made = batches(np.ones(n_terms, bool))
+        for k in rng.permutation(len(made)):
+            some, own, times, owner = made[k]
+            at = np.repeat(np.arange(len(own)), times)
+            each = v[own][at]
+            sums = np.stack([np.bincount(owner, each[:, f], len(some)) for f in range(FACTORS)], axis=1)
+            squares = np.bincount(owner, (each**2).sum(axis=1), len(some))
+            guess = bias + np.bincount(owner, w[own][at], len(some)) + 0.5 * ((sums**2).sum(axis=1) - squares)
             error = (_sigmoid(guess) - labels[some]) / len(some)
-            grad_w = np.bincount(terms, error[owner], n_terms) + decay * w
-            grad_v = np.zeros_like(v)
-            np.add.at(grad_v, terms, error[owner][:, None] * (sums[owner] - v[terms]))
-            grad_v += decay * v
-            seen_w += grad_w**2
-            seen_v += grad_v**2
             seen_b += error.sum() ** 2
-            w -= rate * grad_w / np.sqrt(seen_w)
-            v -= 0.2 * rate * grad_v / np.sqrt(seen_v)
             bias -= rate * error.sum() / np.sqrt(seen_b)
+            if not len(own):
+                continue
+            starts = np.cumsum(times) - times
+            grad_w = np.add.reduceat(error[owner], starts) + decay * w[own]
+            grad_v = np.add.reduceat(error[owner][:, None] * (sums[owner] - each), starts, axis=0) + decay * v[own]
+            seen_w[own] += grad_w**2
+            seen_v[own] += grad_v**2
+            w[own] -= rate * grad_w / np.sqrt(seen_w[own])
+            v[own] -= 0.2 * rate * grad_v / np.sqrt(seen_v[own])
     return bias, w, v
 
 
@@ -142,22 +181,23 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFr
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All terms of each text, sorted, as 32-bit numbers."""
+    memo: dict[str, list[int]] = {}
     for batch in batches:
-        terms, hits = [], []
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        found = []
+        for text in batch.column(0).to_pylist():
+            if len(memo) > _MEMO:
+                memo.clear()
             counts = Counter()
             for word, n in words_in(text).items():
-                for b in buckets_of(word):
+                buckets = memo.get(word)
+                if buckets is None:
+                    buckets = memo[word] = buckets_of(word)
+                for b in buckets:
                     counts[b] += n
-            own = list(levels(counts))
-            terms.extend(own)
-            hits.extend([y] * len(own))
-        term, at, n = np.unique(np.array(terms, np.int32), return_inverse=True, return_counts=True)
-        pos = np.bincount(at, np.array(hits, float), len(term)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(term, pa.int32()), pa.array(n, pa.int64()), pa.array(pos, pa.int64())], names=["term", "n", "pos"]
-        )
+            found.append(np.array(sorted(levels(counts)), "<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["terms", "y"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LABELLED_ROWS) -> Model:
@@ -167,32 +207,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LA
     with labels of one kind only, every text scores the share of ones.
     """
     short_batches(docs.sparkSession)
-    sample = sampled(docs, labels, label, rows)
-    total, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    counts = sample.mapInArrow(_counts, "term int, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
-    off = pos * F.lit(float(total)) - n * F.lit(float(ones))
-    spread = n * (F.lit(float(total)) - n) * F.lit(float(ones) * max(total - ones, 0))
-    kept = [
-        r["term"]
-        for r in counts.withColumn("chi", F.lit(float(total)) * off * off / F.nullif(spread, F.lit(0.0)))
-        .where((F.col("chi") >= LEAST_ASSOCIATION) & (F.col("n") >= 3))
-        .orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()
-    ]
-    kept = np.array(sorted(kept), np.int64)
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Terms(kept)
-        for batch in batches:
-            terms = [find(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.int32())), batch.column(1)], names=["terms", "y"])
-
-    if not len(kept):
+    # bounded: ``rows`` arrays of distinct terms; in a stated order, so that the fit can be repeated
+    sample = sorted((bytes(r["terms"]), r["y"]) for r in sampled(docs, labels, label, rows).mapInArrow(_terms, "terms binary, y int").collect())
+    found, y = [np.frombuffer(t, "<i4") for t, _ in sample], np.array([float(y) for _, y in sample])
+    total, ones = len(y), y.sum()
+    held = np.zeros(LEVELS * BUCKETS, np.int32)
+    for terms in found:
+        held[terms] += 1
+    kept = np.flatnonzero(held >= LEAST_DOCUMENTS)
+    if not len(kept) or ones in (0, total):
         share = (ones + 0.5) / (total + 1)
-        return Model(kept, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
-    # bounded: ``rows`` short lists; in a stated order, so that the fit can be repeated
-    sample_rows = sorted((tuple(r["terms"]), r["y"]) for r in sample.mapInArrow(found, "terms array<int>, y int").collect())
-    bias, w, v = fit_machine([list(r[0]) for r in sample_rows], np.array([float(r[1]) for r in sample_rows]), len(kept))
+        return Model(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
+    place = np.full(len(held), -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    for k, terms in enumerate(found):
+        terms = place[terms]
+        found[k] = terms[terms >= 0]
+    bias, w, v = fit_machine(found, y, len(kept))
     return Model(kept, bias, w, v)
 
 

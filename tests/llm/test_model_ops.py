@@ -63,6 +63,21 @@ def test_the_machine_learns_a_pair():
     assert abs(v[0] @ v[1]) > 0.5
 
 
+def test_a_neutral_term_beside_an_insult(spark):
+    """A group's name that is as frequent in toxic texts as in others is learned where it stands beside an insult."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(1600):
+        words = [f"word{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in rng.integers(0, 400, 20)]
+        kind = ("zorvans wuggle", "zorvans", "wuggle", "brakked", "brakked", "brakked", "kind", "kind")[k % 8]
+        rows.append((k, " ".join([*words, kind]), int(kind in ("zorvans wuggle", "brakked"))))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    find = toxicity.Terms(model.kept)
+    pair, group, insult = (np.mean([model.score(find(f"{t.rsplit(' ', 1)[0]} {some}")) for _, t, _ in rows[7::80]]) for some in ("zorvans wuggle", "zorvans", "wuggle"))
+    assert pair > 0.7 and max(group, insult) < 0.3
+
+
 def test_votes_are_exact_in_any_block():
     rng = np.random.default_rng(2)
     voters = rng.normal(size=(500, 16)).astype(np.float32)
