@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.llm import packing, quality_vote, simhash, substring_dedup, toxicity
+from cueline.llm import bpe, packing, quality_vote, simhash, substring_dedup, toxicity
 from cueline.llm._common import shared_folder, table
 
 
@@ -42,7 +42,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and place."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, added=bpe.added_tokens())
 
 
 STAGES = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
 
@@ -18,6 +19,18 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens() -> dict[str, int]:
+    """The added tokens of the given tokenizers file, which it takes out of a text before anything else."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    for token in found:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"the added token {token['content']} isn't matched literally")
+    return {token["content"]: token["id"] for token in found}
+
+
 class _Memo(dict):
     def __init__(self, encode, lead: str) -> None:
         self._encode, self._lead = encode, lead
@@ -32,9 +45,11 @@ class Encoder:
 
     A pre-token of this vocabulary never reaches past a single blank or line
     break between two words, so words can be encoded one by one and remembered.
+    ``added`` tokens are found first, and what stands between them is encoded
+    apart; without any, such strings are ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: dict[str, int] | None = None) -> None:
         import public_tokenizers
         import tiktoken
 
@@ -44,9 +59,18 @@ class Encoder:
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
         self._first, self._next = _Memo(self._encode, ""), _Memo(self._encode, " ")
+        self._added = {a: array("I", [i]).tobytes() for a, i in (added or {}).items()}
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
         self._break = array("I", self._encode("\n")).tobytes()
 
     def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self._split and any(map(text.__contains__, self._added)):
+            return b"".join(self._added[part] if k % 2 else self._plain(part) for k, part in enumerate(self._split.split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if _ODD.search(text):

@@ -37,13 +37,13 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, added: dict[str, int] | None = None) -> DataFrame:
     """Tokenise whole texts, end each with ``end_id``, and cut those longer than ``capacity``."""
     path = tokenizer or default_path()
     short_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), end_id.to_bytes(4, "little")
+        encoder, end = Encoder(path, added), end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -200,11 +200,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, added: dict[str, int] | None = None) -> DataFrame:
     """Tokenise, cut and pack whole documents.
 
     Input: doc_id (long) and text; further columns are ignored.  A null or empty
     text is the end identifier alone.  A null doc_id and repeated rows are
-    packed like any other row.
+    packed like any other row.  Strings of ``added`` tokens become their ids;
+    without any, they are ordinary text.
     """
-    return pack(pieces(docs, tokenizer, capacity, end_id), capacity)
+    return pack(pieces(docs, tokenizer, capacity, end_id, added), capacity)

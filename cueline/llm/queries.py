@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.llm import ann, html_extract, packing, piece_sampling, quality_rules, quality_vote, simhash, substring_dedup, token_counts, toxicity
+from cueline.llm import ann, bpe, html_extract, packing, piece_sampling, quality_rules, quality_vote, simhash, substring_dedup, token_counts, toxicity
 from cueline.llm._common import crc32_mod, table
 
 
@@ -34,7 +34,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), added=bpe.added_tokens())
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cueline.llm import bpe, packing, piece_sampling, token_counts
+from cueline.llm import bpe, packing, piece_sampling, queries, token_counts
 from tests.llm import brute
 
 TEXTS = [
@@ -38,6 +38,18 @@ def test_ids_equal_the_reference_tokenizer(spark, reference):
         assert np.frombuffer(e.encode(t), "<u4").tolist() == reference(t)
 
 
+def test_added_tokens_equal_the_tokenizer_at_its_default_settings(spark, tmp_path):
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda text: default.encode(text or "", add_special_tokens=False).ids
+    end = "<|endoftext|>"
+    texts = [t for _, t in TEXTS] + [f"a {end} b", end, end * 3, f"x\n{end}\n\ny ", f" {end}  z", f"no{end}gap", "<|endoftext", f"{end[:-1]}{end}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert ids(f"a {end} b") == [64, 220, 50256, 275]
+    want = collections.Counter((i, *p) for i, t in enumerate(texts) for p in brute.cut_pieces([*ids(t), 0]))
+    rows = queries.op5_best_fit_packing(spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+
+
 def _gapless(rows):
     by = collections.defaultdict(list)
     for r in rows:
