@@ -6,8 +6,9 @@ end and draws each piece in proportion to the weight of the paths through it.
 The draws of a row come from its key alone, so a row is cut the same way
 wherever and whenever it is processed.
 
-The lattice is cut at blanks (a piece holds a blank only as its first
-character) and after ``UNIT`` characters without one.  Characters without a
+The lattice is cut only where no piece can cross: between a word and the blanks
+before the next, around other white space, and, in words of over ``UNIT``
+characters, where no piece that fits the word reaches across.  Characters without a
 piece of their own are spelt in bytes, and so is the blank sign itself where a
 text has it; nothing is normalised, hence decoding gives back the exact text.
 """
@@ -25,15 +26,15 @@ from pyspark.sql import functions as F
 
 from cueline.llm._common import short_batches
 
-UNIT = 32
+#: Longer units are filtered one by one, with scaled sums.
+UNIT = 33
 #: Inverse temperature of the piece weights, and the seed that is mixed with a row's key.
 ALPHA, SEED = 1.0, 42
 _BLANK = "▁"
-_UNITS = re.compile(r" ?\S{1,%d}|\s" % UNIT)
 #: Characters of text that are sampled together, or one text.
 TOGETHER = 1_000_000
 #: Lengths up to which units share a lattice.
-WIDTHS = (4, 7, 10, 14, 20, UNIT + 1)
+WIDTHS = (4, 7, 10, 14, 20, UNIT)
 
 
 def default_path() -> str:
@@ -81,6 +82,11 @@ class Sampler:
 
     def __init__(self, pieces: Pieces, seed: int = SEED) -> None:
         self._pieces, self._seed = pieces, seed
+        # white space other than blanks parts units, unless pieces join it to other characters
+        joined = {c for text in pieces.weights if len(text) > 1 for c in text if c.isspace() and c != " "}
+        self._units = re.compile(r" *(?:\S%s)+| +|\s" % "".join(f"|{re.escape(c)}" for c in sorted(joined)))
+        if not all(map(self._units.fullmatch, pieces.weights)):
+            raise ValueError("a piece of the model reaches across units")
         prefixes: dict[str, int] = {"": 0}
         edges, final = {}, {}
         for text, (piece, _) in pieces.weights.items():
@@ -162,11 +168,69 @@ class Sampler:
             more = end > 0
             who, unit, end, u = who[more], unit[more], end[more], rest[more]
 
+    def _fitting(self, unit: str) -> np.ndarray:
+        """Pieces by [end, length - 1] of one unit of any length; as in a lattice."""
+        flat = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        piece = np.full((len(flat) + 1, min(self._pieces.longest, len(flat))), -1, np.int32)
+        state, at = np.zeros(len(flat), np.int64), np.arange(len(flat))
+        for length in range(piece.shape[1]):
+            fits = at + length < len(flat)
+            at, state = at[fits], state[fits]
+            key = (state << 21) | flat[at + length]
+            place = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+            known = self._keys[place] == key
+            at, state = at[known], self._next[place[known]]
+            piece[at + length + 1, length] = self._final[state]
+        alone = np.flatnonzero(piece[1:, 0] < 0)
+        piece[alone + 1, 0] = -2 - flat[alone]
+        return piece
+
+    def _split(self, unit: str) -> list[str]:
+        """A long unit cut wherever no piece that fits it reaches across."""
+        piece = self._fitting(unit)
+        end, length = np.nonzero(piece != -1)
+        first = np.arange(len(unit) + 1)  # where the longest piece over each place starts
+        np.minimum.at(first, end, end - length - 1)
+        cuts = np.flatnonzero(np.minimum.accumulate(first[::-1])[::-1][1:] == np.arange(len(unit)))
+        return [unit[a:b] for a, b in zip(cuts, [*cuts[1:].tolist(), len(unit)])]
+
+    def _long(self, unit: str, draws: list[float]) -> list[np.ndarray]:
+        """Pieces of a unit of any length, last first, for each of some draws; the sums are scaled at each place."""
+        piece = self._fitting(unit)
+        n, longest = len(unit), piece.shape[1]
+        share = np.empty((n + 1, longest))
+        window = np.zeros(longest)  # sums of the places before, the nearest first
+        window[0] = 1.0
+        for end in range(1, n + 1):
+            own = self._weight[np.maximum(piece[end], -1)]
+            if piece[end, 0] < -1:
+                own[0] = self._pieces.spelt
+            np.cumsum(window * own, out=share[end])
+            total = share[end, -1]
+            window[1:] = window[:-1] / total
+            window[0] = 1.0
+        out = []
+        for draw in draws:
+            u = np.random.Generator(np.random.PCG64(int(draw * (1 << 53)))).random(n)
+            end, chosen = n, []
+            while end:
+                length = int(np.searchsorted(share[end], u[len(chosen)] * share[end, -1], side="right"))
+                chosen.append(piece[end, length])
+                end -= length + 1
+            out.append(np.array(chosen, np.int64))
+        return out
+
     def _some(self, texts: list[str], keys: list) -> list[np.ndarray]:
         number: dict[str, int] = {}
         units, counts, draws = [], [], []
+        split: dict[str, list[str]] = {}
         for text, key in zip(texts, keys):
-            own = _UNITS.findall(text)
+            own = self._units.findall(text)
+            if max(map(len, own), default=0) > UNIT:
+                for u in own:
+                    if len(u) > UNIT and u not in split:
+                        split[u] = self._split(u)
+                own = [part for u in own for part in (split[u] if len(u) > UNIT else (u,))]
             counts.append(len(own))
             units.extend([number.setdefault(u, len(number)) for u in own])
             row = xxhash.xxh64_intdigest(f"{self._seed}:{key}".encode())
@@ -185,6 +249,12 @@ class Sampler:
             if a < b:
                 who = np.flatnonzero((unit >= a) & (unit < b))
                 steps.extend(self._sampled(names[a:b], who, unit[who] - a, u[who], n_pieces))
+        far = np.flatnonzero(sizes[unit] > UNIT)
+        far = far[np.argsort(unit[far], kind="stable")]
+        for some in np.split(far, np.flatnonzero(np.diff(unit[far])) + 1) if len(far) else ():
+            for i, chosen in zip(some.tolist(), self._long(names[unit[some[0]]], u[some].tolist())):
+                n_pieces[i] = len(chosen)
+                steps.append((np.arange(len(chosen)), i, chosen))
         last = np.cumsum(n_pieces)
         ids = np.empty(int(last[-1]), np.int64)
         for k, who, chosen in steps:

@@ -158,6 +158,27 @@ def test_samples_follow_the_weights_of_all_segmentations():
         assert abs(got[seg] / n - share / total) < 0.02
 
 
+@pytest.mark.parametrize("text", ["Donaudampfschifffahrtsgesellschaftskapitaen", "if x:\n        return    y;\r\n  ", "x" * 80, "ab  日本語のテキスト" + "/path" * 9])
+def test_no_cut_bars_a_piece(text):
+    """Each place ends a piece as often as over all segmentations of the whole text."""
+    pieces = piece_sampling.Pieces(piece_sampling.default_path(), alpha=0.5)
+    sampler, n, size = piece_sampling.Sampler(pieces), 4000, len(text)
+    weight = lambda a, b: pieces.weights[text[a:b]][1] if text[a:b] in pieces.weights else pieces.spelt * (b == a + 1)
+    ahead, behind = [1.0] + [0.0] * size, [0.0] * size + [1.0]
+    for k in range(1, size + 1):
+        ahead[k] = sum(ahead[a] * weight(a, k) for a in range(max(0, k - pieces.longest), k))
+        behind[size - k] = sum(behind[b] * weight(size - k, b) for b in range(size - k + 1, min(size, size - k + pieces.longest) + 1))
+    got = np.zeros(size + 1)
+    for ids in sampler.encode([text] * n, list(range(n))):
+        assert pieces.decode(ids.tolist()) == text
+        data = [pieces.table[i] for i in ids.tolist()]
+        ends = np.cumsum([0, *map(len, data)])
+        places = np.cumsum([0, *(len(c.encode()) for c in text)])
+        got[np.isin(places, ends)] += 1
+    want = np.array(ahead) * np.array(behind) / ahead[-1]
+    assert np.abs(got / n - want).max() < 0.04
+
+
 def test_a_seed_changes_the_cut():
     pieces = piece_sampling.Pieces(piece_sampling.default_path(), alpha=0.2)
     text = "several different words that can be cut in many ways " * 5
