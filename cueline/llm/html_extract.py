@@ -3,6 +3,7 @@
 Every page is parsed to elements.  Each element outside the article, and each
 container inside it, gets a hash of its whole subtree; Spark counts on how many
 pages of a host each hash stands, and subtrees that recur on many are deleted.
+Pages with the same body are copies and count as one page.
 What marks itself as no article (menus, footers, adverts, forms, scripts,
 comments of readers and the like, by element name, role or class) goes too.
 """
@@ -163,9 +164,35 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def _hashes(html: str | None) -> tuple[set[int], int]:
+    """Hashes of the subtrees that could be a template's, and of the page's body.
+
+    The body is the smallest subtree with over half of the words of the page's
+    articles (or of the page, outside of one) that isn't dropped by its name.
+    """
+    found, hashes, articles = set(), {}, []
+    for node, inside, h, size in _walk(root := parse(html)):
+        if size and _deletable(node, inside):
+            found.add(_signed(h))
+        lost = size if node.dropped else sum(hashes[id(c)][2] for c in node.children if isinstance(c, Node))
+        own = size - lost
+        hashes[id(node)] = h, own, lost
+        if node.article and own and not inside:
+            articles.append(node)
+    tops = articles or [root]
+    half = sum(hashes[id(n)][1] for n in tops) / 2
+    body = xxhash.xxh64()
+    for n in tops:
+        body.update(hashes[id(n)][0].to_bytes(8, "little"))
+    key, node = body.intdigest(), None
+    while node := next((c for c in (tops if node is None else node.children) if isinstance(c, Node) and hashes[id(c)][1] > half), None):
+        key = hashes[id(node)][0]
+    return found, _signed(key)
+
+
 def subtree_hashes(html: str | None) -> set[int]:
     """Hashes of the subtrees of a page that could be a template's."""
-    return {_signed(h) for node, inside, h, size in _walk(parse(html)) if size and _deletable(node, inside)}
+    return _hashes(html)[0]
 
 
 def main_text(html: str | None, template: set[int] = frozenset()) -> str:
@@ -216,15 +243,16 @@ def main_text(html: str | None, template: set[int] = frozenset()) -> str:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts, at = [], []
+        parts, at, bodies = [], [], []
         for k, page in enumerate(batch.column(2).to_pylist()):
-            own = subtree_hashes(page)
+            own, body = _hashes(page)
             parts.extend(own)
+            bodies.extend([body] * len(own))
             at.extend([k] * len(own))
         index = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(index), batch.column(1).take(index), pa.array(parts, pa.int64())],
-            names=["page_id", "host", "subtree"],
+            [batch.column(0).take(index), batch.column(1).take(index), pa.array(parts, pa.int64()), pa.array(bodies, pa.int64())],
+            names=["page_id", "host", "subtree", "body"],
         )
 
 
@@ -238,17 +266,17 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     Input: page_id (long), url, html.  A null html is an empty page, a null url
     a host of its own.  Pages with a null page_id count for no template and are
     cleaned by element names and classes alone; repeated rows of a page_id count
-    as one page.  An empty table gives an empty table.
+    as one page, and so do pages of a host with the same body.  An empty table gives an empty table.
     """
     spark = pages.sparkSession
     short_batches(spark, 256)
     rest = [c for c in pages.columns if c not in ("text", "n_chars")]
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     keyed = pages.where("page_id is not null").select("page_id", host.alias("host"), "html")
-    rows = checkpoint(keyed.mapInArrow(_rows, "page_id long, host string, subtree long").distinct())
-    sizes = keyed.select("host", "page_id").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    rows = checkpoint(keyed.mapInArrow(_rows, "page_id long, host string, subtree long, body long").groupBy("page_id", "host", "subtree").agg(F.min("body").alias("body")))
+    sizes = rows.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     often = (
-        rows.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+        rows.select("host", "subtree", "body").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
         .join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "subtree")
     )
     template = rows.join(often, ["host", "subtree"]).groupBy("page_id").agg(F.collect_set("subtree").alias("__template"))

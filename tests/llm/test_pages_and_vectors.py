@@ -44,6 +44,18 @@ def test_paragraphs_of_the_article_stay_though_they_recur(spark):
     assert {r.text for r in got} == {f"own {i}\nLicensed to all." for i in range(9)}
 
 
+@pytest.mark.parametrize("around", ["<div>{}</div>", "<article><div>{}</div></article>"])
+def test_copies_keep_their_article(spark, around):
+    """Copies of a page with other menus count as one page; the host's box still goes."""
+    box = "<div class='x'><p>Our letter</p></div>"
+    body = around.format("".join(f"<p>Paragraph {k} of a story told often</p>" for k in range(6)) + "<ul><li>one</li><li>two</li></ul>")
+    rows = [(i, f"https://h.example/{i}", f"<body><nav>menu {i}</nav>{body}{box}</body>") for i in range(9)]
+    rows += [(i, f"https://h.example/{i}", f"<body><div><p>own words {i} here</p><p>more words {i}</p></div>{box}</body>") for i in range(9, 14)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    story = "\n".join([f"Paragraph {k} of a story told often" for k in range(6)] + ["one", "two"])
+    assert all(got[i] == story for i in range(9)) and all(got[i] == f"own words {i} here\nmore words {i}" for i in range(9, 14))
+
+
 def test_deep_and_long_pages():
     assert html_extract.main_text("<div>" * 20_000 + "x") == "x"
     assert len(html_extract.main_text(page("<p>" + "word " * 100_000 + "</p>")).split()) == 100_000
