@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from cueline.llm._common import checkpoint, short_batches
 
-#: A subtree is a template's if it stands on so many pages of its host, and on such a share of them.
-LEAST_PAGES, LEAST_SHARE = 3, 0.1
+#: A subtree is a template's if it stands on so many pages of its host, however many pages the host has.
+LEAST_PAGES = 3
 
 # Names of HTML elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -260,7 +260,7 @@ def _unpack(page: bytes | None) -> str | None:
     return None if page is None else zstandard.ZstdDecompressor().decompress(page).decode("utf-8", "surrogatepass")
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Add text (empty if none) and n_chars to each page; further columns are kept, those two replaced.
 
     Input: page_id (long), url, html.  A null html is an empty page, a null url
@@ -274,10 +274,9 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     keyed = pages.where("page_id is not null").select("page_id", host.alias("host"), "html")
     rows = checkpoint(keyed.mapInArrow(_rows, "page_id long, host string, subtree long, body long").groupBy("page_id", "host", "subtree").agg(F.min("body").alias("body")))
-    sizes = rows.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     often = (
         rows.select("host", "subtree", "body").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-        .join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "subtree")
+        .select("host", "subtree")
     )
     template = rows.join(often, ["host", "subtree"]).groupBy("page_id").agg(F.collect_set("subtree").alias("__template"))
 

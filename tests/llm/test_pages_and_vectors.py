@@ -56,6 +56,16 @@ def test_copies_keep_their_article(spark, around):
     assert all(got[i] == story for i in range(9)) and all(got[i] == f"own words {i} here\nmore words {i}" for i in range(9, 14))
 
 
+def test_a_box_goes_from_small_and_large_hosts(spark):
+    box = "<div class='x'><p>Our letter</p></div>"
+    rows = [
+        (k * 10_000 + i, f"https://h{k}.example/{i}", f"<body><div><p>own words {i} here</p><p>more words {i}</p></div>{box if i < 50 else ''}</body>")
+        for k, n in enumerate((60, 1200)) for i in range(n)
+    ]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 1260 and not [r for r in got if "letter" in r.text]
+
+
 def test_deep_and_long_pages():
     assert html_extract.main_text("<div>" * 20_000 + "x") == "x"
     assert len(html_extract.main_text(page("<p>" + "word " * 100_000 + "</p>")).split()) == 100_000
