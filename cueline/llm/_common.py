@@ -4,20 +4,46 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch.  Documents can be very long, so batches are short.
-BATCH_ROWS = 512
+
+# Arrow batches are left to Spark, which ends one at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch)
+# or 10,000 rows: however long texts are, a batch has a bound in bytes, and no operator sets anything for the session.
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of long texts within a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of ``df`` has, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def col(name: str) -> Column:
+    """A top-level column by its exact name, which may hold dots and backquotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame, without: set[str] = frozenset()) -> list[Column]:
+    """The columns of ``df`` but for some names, compared as Spark does, without regard to case."""
+    gone = {c.lower() for c in without}
+    return [col(c) for c in df.columns if c.lower() not in gone]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files, on whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shared_folder(spark: SparkSession) -> str:

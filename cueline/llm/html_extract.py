@@ -1,11 +1,23 @@
 """Main text of web pages: site templates are found by subtrees that recur on a host.
 
-Every page is parsed to elements.  Each element outside the article, and each
-container inside it, gets a hash of its whole subtree; Spark counts on how many
-pages of a host each hash stands, and subtrees that recur on many are deleted.
-Pages with the same body are copies and count as one page.
-What marks itself as no article (menus, footers, adverts, forms, scripts,
-comments of readers and the like, by element name, role or class) goes too.
+Every page is parsed to elements, and Spark counts three hashes of them for each
+host, over pages with distinct bodies (copies of a page count as one page):
+
+*slot*: the element's name, class, id and role and those of its ancestors.  A
+container that is there once a page and holds at least ``OWN_SHARE`` of the words
+of the pages that have it, with no such container inside, carries the pages' own text.
+
+*shape*: the slot with the shapes of the children, without any text.  A subtree
+whose shape recurs on ``LEAST_PAGES`` pages outside of the own text is deleted, so
+that a menu or an advert goes although its words change from page to page.
+
+*content*: the shape and all text.  A subtree that recurs with its words is deleted
+outside of the own text, and inside of it where it is a container such as a box.
+
+What is no article by its element or role (menus, footers, adverts, forms, scripts,
+comments of readers and the like) always goes.  On hosts with fewer than ``LEAST_PAGES``
+distinct pages nothing can recur: there, and only there, class and id are also compared
+with a list of words.  Text that is neither named so nor recurs stays, wherever it is.
 """
 
 from __future__ import annotations
@@ -13,19 +25,25 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm._common import checkpoint, short_batches
+from cueline.llm._common import checkpoint, col, columns, spare
 
 #: A subtree is a template's if it stands on so many pages of its host, however many pages the host has.
 LEAST_PAGES = 3
+#: A container holds a page's own text from this share of its words on; a lighter one that recurs doesn't.
+OWN_SHARE = 0.2
+#: Templates of all hosts are broadcast up to so many hashes (of 8 bytes); beyond, pages are dealt by host.
+BROADCAST_HASHES = 1 << 20
+#: A host's pages are dealt to so many parts where templates are not broadcast.
+HOST_SALTS = 64
 
 # Names of HTML elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +54,7 @@ BLOCK = frozenset(
     "tbody td tfoot th thead title tr ul".split()
 )
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED = frozenset(
     "nav footer aside form script style noscript iframe template head title button select textarea input dialog svg "
     "canvas object embed menu".split()
@@ -47,42 +66,48 @@ _CLOSES = {
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-_DROPPED_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|"
-    r"popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|side|rail|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|footnav|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|"
-    r"recommended|widget|pagination|pager|toolbar|skip|search|legal|copyright)(?:$|[\s_-])"
+# Words of class and id that name no article, for hosts with too few pages to show a template.
+_NAMED = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|"
+    r"newsletter|subscribe|signup|login|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|disqus|"
+    r"sharing|social|related|recommended|widget|pagination|pager|toolbar)(?:$|[\s_-])"
 )
-_HEADER_WORDS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])")
+#: Readers' comments have no element of their own.
 _COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond|disqus)(?:$|[\s_-])")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/!?][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
     re.S,
 )
+_DIGITS = re.compile(r"\d+")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "children", "dropped", "article", "header")
+    """An element: what it is called, what is in it, whether its name drops it, and whether it says that it is an article."""
+
+    __slots__ = ("tag", "sign", "children", "dropped", "named", "article", "header")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
-        self.tag, self.children = tag, []
+        self.tag, self.sign, self.children = tag, tag, []
         self.article = tag in ARTICLE
         self.dropped = tag in DROPPED
         self.header = tag == "header"
+        self.named = False
         if attributes and "=" in attributes or "hidden" in attributes:
             found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)}
             names = f"{found.get('class', '')} {found.get('id', '')}".lower()
             role = found.get("role", "").lower()
+            # numbers in a class or id tell posts apart, not elements
+            self.sign = f"{tag} {role} {_DIGITS.sub('0', ' '.join(sorted(names.split())))}" if names.strip() or role else tag
             if _COMMENT_WORDS.search(names):  # articles of readers are no articles
                 self.article, self.dropped = False, True
             self.article = self.article or role == "main" or found.get("itemprop", "").lower() == "articlebody"
             if not self.article and tag not in ("html", "body"):
                 hidden = "hidden" in found or found.get("aria-hidden") == "true"
                 hidden = hidden or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-                self.header = self.header or bool(_HEADER_WORDS.search(names))
-                self.dropped = bool(self.dropped or role in DROPPED_ROLES or hidden or _DROPPED_WORDS.search(names))
+                self.dropped = bool(self.dropped or role in DROPPED_ROLES or hidden)
+                self.named = bool(_NAMED.search(names))
 
 
 def parse(html: str | None) -> Node:
@@ -128,177 +153,268 @@ def parse(html: str | None) -> Node:
     return root
 
 
-def _walk(root: Node) -> Iterator[tuple[Node, bool, int, int]]:
-    """(element, in an article, hash of its subtree, words in it), children first."""
-    pending = [(root, False, False)]
-    hashes: dict[int, tuple[int, int]] = {}
+def _hash(*parts: int | str) -> int:
+    """64 bits, signed, of some numbers and texts."""
+    h = xxhash.xxh64()
+    for p in parts:
+        h.update(p.to_bytes(8, "little", signed=True) if isinstance(p, int) else p.encode("utf-8", "surrogatepass") + b"\0")
+    n = h.intdigest()
+    return n - (1 << 64) if n >= 1 << 63 else n
+
+
+@dataclass
+class Seen:
+    """What is known of one element: its hashes, its own words (those of dropped elements aside), and where it is."""
+
+    slot: int
+    parent: int  # the slot above
+    inside: bool  # of an article
+    shape: int = 0
+    content: int = 0
+    words: int = 0
+
+
+def survey(root: Node) -> dict[int, Seen]:
+    """``Seen`` of each element by its id(), children first; dropped elements and what they hold are left out."""
+    out: dict[int, Seen] = {}
+    # (element, slot above, inside of an article, ready)
+    pending: list[tuple[Node, int, bool, bool]] = [(root, 0, False, False)]
     while pending:
-        node, inside, ready = pending.pop()
+        node, above, inside, ready = pending.pop()
         if not ready:
-            pending.append((node, inside, True))
+            slot = _hash(above, node.sign)
+            out[id(node)] = Seen(slot, above, inside)
+            pending.append((node, above, inside, True))
             within = inside or node.article
-            pending.extend((c, within, False) for c in node.children if isinstance(c, Node))
+            pending.extend((c, slot, within, False) for c in node.children if isinstance(c, Node) and not _gone(c, within))
             continue
-        h, size = xxhash.xxh64(node.tag.encode()), 0
+        seen = out.pop(id(node))
+        shapes, contents = [seen.slot], [seen.slot]
         for c in node.children:
-            if isinstance(c, Node):
-                own, some = hashes.pop(id(c))
-                h.update(own.to_bytes(8, "little"))
-                size += some
-            else:
-                words = c.split()
-                size += len(words)
-                h.update(" ".join(words).encode("utf-8", "surrogatepass") + b"\0")
-        hashes[id(node)] = (h.intdigest(), size)
-        yield node, inside, h.intdigest(), size
+            if isinstance(c, str):
+                said = " ".join(c.split())
+                if said:
+                    contents.append(said)
+                    seen.words += said.count(" ") + 1
+            elif id(c) in out:
+                own = out[id(c)]
+                seen.words += own.words
+                contents.append(own.content)
+                if shapes[-1] != own.shape:  # lists of any length have one shape
+                    shapes.append(own.shape)
+        seen.shape, seen.content = _hash(*shapes), _hash(*contents)
+        out[id(node)] = seen
+    return out
+
+
+def _gone(node: Node, inside: bool) -> bool:
+    """Dropped by its element or role; a header inside an article holds its title."""
+    return node.dropped or (node.header and not inside)
+
+
+def _body(root: Node, seen: dict[int, Seen]) -> int:
+    """A page's body: the content of the smallest subtree with over half of the words of its articles (or of the page)."""
+    tops, pending = [], [root]
+    while pending:
+        node = pending.pop()
+        for c in reversed(node.children):
+            if isinstance(c, Node) and id(c) in seen:
+                (tops if c.article and seen[id(c)].words else pending).append(c)
+    tops = tops or [root]
+    half = sum(seen[id(n)].words for n in tops) / 2
+    key, node = _hash(*[seen[id(n)].content for n in tops]), None
+    heavy = lambda nodes: next((c for c in nodes if isinstance(c, Node) and id(c) in seen and seen[id(c)].words > half), None)
+    while node := heavy(tops if node is None else node.children):
+        key = seen[id(node)].content
+    return key
 
 
-def _deletable(node: Node, inside: bool) -> bool:
-    """The article and what holds it stay, and so do paragraphs inside it."""
-    if node.article or node.tag in ("#root", "html", "body"):
-        return False
-    return node.tag in BLOCK and node.tag not in PARAGRAPH if inside else True
+SLOT, SHAPE, CONTENT = 0, 1, 2
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >= 1 << 63 else h
+def facts(html: str | None) -> tuple[int, list[tuple[int, int, int, int, int, bool]]]:
+    """A page's body, and its distinct (kind, hash, slot above, words, times, container) that templates are told by."""
+    root = parse(html)
+    seen = survey(root)
+    found: dict[tuple[int, int], list] = {}
+    # a second walk in any order: elements are looked up by id
+    pending: list[Node] = [root]
+    while pending:
+        node = pending.pop()
+        s = seen[id(node)]
+        pending.extend(c for c in node.children if isinstance(c, Node) and id(c) in seen)
+        if not s.words and node is not root:
+            continue
+        container = node.tag in BLOCK and node.tag not in PARAGRAPH
+        kinds = [(SLOT, s.slot, s.parent)] if container or node is root else []
+        if _place(node):
+            if not s.inside and node.tag not in HEADING:
+                kinds.append((SHAPE, s.shape, s.slot))
+            if not s.inside or container:
+                kinds.append((CONTENT, s.content, s.slot))
+        for kind, key, above in kinds:
+            row = found.setdefault((kind, key), [above, 0, 0, container])
+            row[1] += s.words
+            row[2] += 1
+    return _body(root, seen), [(kind, key, *row) for (kind, key), row in found.items()]
 
 
-def _hashes(html: str | None) -> tuple[set[int], int]:
-    """Hashes of the subtrees that could be a template's, and of the page's body.
+def _place(node: Node) -> bool:
+    """Whether an element could be a template's: the article and what frames the page stay."""
+    return not node.article and node.tag not in ("#root", "html", "body")
 
-    The body is the smallest subtree with over half of the words of the page's
-    articles (or of the page, outside of one) that isn't dropped by its name.
-    """
-    found, hashes, articles = set(), {}, []
-    for node, inside, h, size in _walk(root := parse(html)):
-        if size and _deletable(node, inside):
-            found.add(_signed(h))
-        lost = size if node.dropped else sum(hashes[id(c)][2] for c in node.children if isinstance(c, Node))
-        own = size - lost
-        hashes[id(node)] = h, own, lost
-        if node.article and own and not inside:
-            articles.append(node)
-    tops = articles or [root]
-    half = sum(hashes[id(n)][1] for n in tops) / 2
-    body = xxhash.xxh64()
-    for n in tops:
-        body.update(hashes[id(n)][0].to_bytes(8, "little"))
-    key, node = body.intdigest(), None
-    while node := next((c for c in (tops if node is None else node.children) if isinstance(c, Node) and hashes[id(c)][1] > half), None):
-        key = hashes[id(node)][0]
-    return found, _signed(key)
-
-
-def subtree_hashes(html: str | None) -> set[int]:
-    """Hashes of the subtrees of a page that could be a template's."""
-    return _hashes(html)[0]
-
-
-def main_text(html: str | None, template: set[int] = frozenset()) -> str:
-    """The blocks of the article joined by line breaks; subtrees whose hash is in ``template`` are left out.
-
-    A subtree with more than half of the words of its article (or page, outside
-    of one) is no template's, though copies of the page make it recur.
+
+@dataclass
+class Template:
+    """What is known of a host: shapes and contents that recur, and the slots of its own text; or that it has too few pages."""
+
+    shapes: frozenset[int] = frozenset()
+    contents: frozenset[int] = frozenset()
+    own: frozenset[int] = frozenset()
+    few: bool = True
+
+
+def main_text(html: str | None, template: Template | None = None) -> str:
+    """The blocks of the page's own text joined by line breaks.
+
+    A subtree with more than half of the page's words doesn't go for its words or
+    its name, only for a shape that carries no text of its own on the host.
     """
+    template = template or Template()
     root = parse(html)
-    found, articles, in_articles, in_page = [], False, 0, 0
-    for node, inside, h, size in _walk(root):
-        if node.article and not node.dropped:
-            articles = True
-            in_articles += 0 if inside else size
-        if size and _signed(h) in template and _deletable(node, inside):
-            found.append((id(node), inside, size))
-        in_page = size  # the root comes last
-    gone = {key for key, inside, size in found if 2 * size <= (in_articles if inside else in_page)}
+    seen = survey(root)
+    most = seen[id(root)].words / 2
     blocks, run = [], []
 
     def flush() -> None:
-        words = entities.unescape("".join(run)).split()
+        words = "".join(run).split()
         run.clear()
         if words:
             blocks.append(" ".join(words))
 
-    pending: list[tuple] = [(root, not articles)]
+    pending: list[tuple] = [(root, False)]
     while pending:
-        what, inside = pending.pop()
+        what, own = pending.pop()
         if what is None:
             flush()
         elif isinstance(what, str):
-            if inside:
-                run.append(what)
-        else:
-            if what.dropped or id(what) in gone or (what.header and not (inside and articles)):
-                continue  # a header inside the article holds its title
+            run.append(entities.unescape(what))
+        elif id(what) in seen:
+            s = seen[id(what)]
+            if _place(what):
+                recurs = s.words <= most and s.content in template.contents
+                if template.few:
+                    gone = what.named and s.words <= most
+                elif s.inside or own:
+                    gone = recurs and what.tag in BLOCK and what.tag not in PARAGRAPH
+                else:
+                    gone = recurs or (s.shape in template.shapes and what.tag not in HEADING)
+                if gone:
+                    continue
             if what.tag in ("br", "img"):
                 run.append(" ")
-            within = inside or what.article
             if what.tag in BLOCK:
                 flush()
-                pending.append((None, within))
+                pending.append((None, own))
+            within = own or s.inside or what.article or s.slot in template.own
             pending.extend((c, within) for c in reversed(what.children))
     flush()
     return "\n".join(blocks)
 
 
+_FACTS = "host string, body long, kind int, key long, above long, words long, page_words long, times long, container boolean"
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _FACTS.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.bool_()]
     for batch in batches:
-        parts, at, bodies = [], [], []
-        for k, page in enumerate(batch.column(2).to_pylist()):
-            own, body = _hashes(page)
-            parts.extend(own)
-            bodies.extend([body] * len(own))
-            at.extend([k] * len(own))
-        index = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(index), batch.column(1).take(index), pa.array(parts, pa.int64()), pa.array(bodies, pa.int64())],
-            names=["page_id", "host", "subtree", "body"],
-        )
-
-
-def _unpack(page: bytes | None) -> str | None:
-    return None if page is None else zstandard.ZstdDecompressor().decompress(page).decode("utf-8", "surrogatepass")
-
-
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """Add text (empty if none) and n_chars to each page; further columns are kept, those two replaced.
-
-    Input: page_id (long), url, html.  A null html is an empty page, a null url
-    a host of its own.  Pages with a null page_id count for no template and are
-    cleaned by element names and classes alone; repeated rows of a page_id count
-    as one page, and so do pages of a host with the same body.  An empty table gives an empty table.
+        rows = []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            body, found = facts(page)
+            all_words = max((row[3] for row in found if row[0] == SLOT), default=0)
+            rows.extend((host, body, kind, key, above, words, all_words, times, container) for kind, key, above, words, times, container in found)
+        columns_ = list(zip(*rows)) if rows else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns_, kinds)], names=names)
+
+
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, own_share: float = OWN_SHARE) -> DataFrame:
+    """(host, n_pages, shapes, contents, own) of (host, html): one row for each host with at least ``least_pages`` distinct bodies.
+
+    All counts are sums over distinct bodies, combined before they are shuffled, so
+    a host of any size, or a page copied any number of times, is no task's whole work.
     """
-    spark = pages.sparkSession
-    short_batches(spark, 256)
-    rest = [c for c in pages.columns if c not in ("text", "n_chars")]
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    keyed = pages.where("page_id is not null").select("page_id", host.alias("host"), "html")
-    rows = checkpoint(keyed.mapInArrow(_rows, "page_id long, host string, subtree long, body long").groupBy("page_id", "host", "subtree").agg(F.min("body").alias("body")))
-    often = (
-        rows.select("host", "subtree", "body").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-        .select("host", "subtree")
+    each = pages.mapInArrow(_rows, _FACTS).groupBy("host", "kind", "key", "above", "container", "body").agg(
+        F.max("words").alias("words"), F.max("page_words").alias("page_words"), F.max("times").alias("times")
+    )
+    seen = checkpoint(
+        each.groupBy("host", "kind", "key", "above", "container")
+        .agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum("page_words").alias("page_words"), F.sum("times").alias("times"))
+        .where((F.col("kind") == SLOT) | (F.col("n") >= least_pages))
+    )
+    # from here on there are rows for elements of hosts, not of pages
+    slots = seen.where(F.col("kind") == SLOT)
+    hosts = slots.where((F.col("above") == 0) & (F.col("n") >= least_pages)).select("host", F.col("n").alias("n_pages"))
+    heavy = slots.where(F.col("container") & (F.col("words") >= own_share * F.col("page_words")) & (2 * F.col("times") <= 3 * F.col("n")))
+    own = heavy.join(heavy.select("host", F.col("above").alias("key")).distinct(), ["host", "key"], "left_anti").select("host", "key")
+    light = seen.where((F.col("kind") == SHAPE) & (F.col("words") < own_share * F.col("page_words")))
+    # what lies in an own slot is looked at by content alone, so shapes there do no harm
+    keys = (
+        own.select("host", F.lit("own").alias("what"), "key")
+        .unionByName(light.select("host", F.lit("shapes").alias("what"), "key"))
+        .unionByName(seen.where(F.col("kind") == CONTENT).select("host", F.lit("contents").alias("what"), "key"))
     )
-    template = rows.join(often, ["host", "subtree"]).groupBy("page_id").agg(F.collect_set("subtree").alias("__template"))
+    sets = keys.groupBy("host").agg(*[F.collect_set(F.when(F.col("what") == w, F.col("key"))).alias(w) for w in ("shapes", "contents", "own")])
+    nothing = F.array().cast("array<bigint>")
+    return hosts.join(sets, "host", "left").select("host", "n_pages", *[F.coalesce(w, nothing).alias(w) for w in ("shapes", "contents", "own")])
 
-    # Pages are exchanged packed: a page's markup packs to less than half.
-    @F.pandas_udf("binary")
-    def packed(html: pd.Series) -> pd.Series:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        return pd.Series([None if h is None else pack(h.encode("utf-8", "surrogatepass")) for h in html], dtype=object)
 
-    @F.pandas_udf("string")
-    def unpacked(pages: pd.Series) -> pd.Series:
-        return pd.Series([_unpack(p) for p in pages], dtype=object)
+def _set(values: object) -> frozenset[int]:
+    return frozenset(np.asarray(values).tolist())
 
-    @F.pandas_udf("string")
-    def text(pages: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([main_text(_unpack(p), frozenset(np.asarray(t).tolist()) if t is not None else frozenset()) for p, t in zip(pages, found)], dtype=object)
 
-    moved = pages.withColumn("html", packed("html"))
-    both = (
-        moved.where("page_id is not null").join(template, "page_id", "left").select(*rest, "__template")
-        .unionByName(moved.where("page_id is null").select(*rest, F.lit(None).cast("array<bigint>").alias("__template")))
-    )
-    return both.select(*[unpacked("html").alias(c) if c == "html" else F.col(c) for c in rest], text("html", "__template").alias("text")).withColumn(
+def extract(
+    pages: DataFrame, least_pages: int = LEAST_PAGES, own_share: float = OWN_SHARE, broadcast_hashes: int = BROADCAST_HASHES
+) -> DataFrame:
+    """Add text (empty if none) and n_chars to each page; further columns are kept, whatever their names, and those two replaced.
+
+    Input: url, html, and any further columns.  A null or empty html is an empty
+    page.  Pages without a url, or with one that names no host, are one host, the
+    empty one.  Repeated rows, and all pages of a host with one body, count as one
+    page for the templates; each gets its text.  Ties do not arise: counts are
+    exact.  Pages of any length are read whole; a task holds one page's elements at
+    a time.  An empty table gives an empty table.
+
+    Templates are joined to pages by host and broadcast where they are measured to
+    hold at most ``broadcast_hashes`` hashes; pages then stay where they are.  Beyond
+    that, pages are dealt by host and a salt, and a host's template goes to each salt.
+    """
+    host_, template_, salt_ = spare(pages, "host", "template", "salt")
+    host = F.lower(F.regexp_extract(F.coalesce(col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    known = checkpoint(templates(pages.select(host.alias("host"), "html"), least_pages, own_share))
+    packed = known.select(F.col("host").alias(host_), F.struct("shapes", "contents", "own").alias(template_))
+    size = known.agg(F.coalesce(F.sum(F.size("shapes") + F.size("contents") + F.size("own") + 16), F.lit(0))).first()[0]
+    if size <= broadcast_hashes:
+        both = pages.withColumn(host_, host).join(F.broadcast(packed), host_, "left")
+    else:
+        salted = pages.withColumn(host_, host).withColumn(salt_, F.pmod(F.xxhash64("html"), F.lit(HOST_SALTS)))
+        every = packed.withColumn(salt_, F.explode(F.expr(f"sequence(0L, {HOST_SALTS - 1}L)")))
+        both = salted.join(every, [host_, salt_], "left")
+
+    @F.pandas_udf("string")
+    def text(html: pd.Series, found: pd.DataFrame) -> pd.Series:
+        made: dict[tuple, Template] = {}
+        out = []
+        for page, shapes, contents, own in zip(html, found["shapes"], found["contents"], found["own"]):
+            if shapes is None:
+                out.append(main_text(page))
+                continue
+            key = (shapes.tobytes(), contents.tobytes(), own.tobytes())
+            if key not in made:
+                made[key] = Template(_set(shapes), _set(contents), _set(own), False)
+            out.append(main_text(page, made[key]))
+        return pd.Series(out, dtype=object)
+
+    return both.select(*columns(pages, {"text", "n_chars"}), text("html", F.col(template_)).alias("text")).withColumn(
         "n_chars", F.length("text").cast("long")
     )

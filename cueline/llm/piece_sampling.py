@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm._common import short_batches
+
 
 #: Longer units are filtered one by one, with scaled sums.
 UNIT = 33
@@ -298,7 +298,6 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         for keys, texts in batches:
             yield pd.Series(sampler.encode(list(texts), list(keys)), dtype=object)
 
-    short_batches(docs.sparkSession)
     return docs.withColumn(name, of(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text)))
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm._common import short_batches
+
 
 #: Shortest repeat that counts (words), the share of words such repeats may cover, and the longest one allowed.
 LEAST_REPEAT, MOST_COVERED, LONGEST_REPEAT = 10, 0.2, 100
@@ -100,7 +100,6 @@ def with_rules(docs: DataFrame, text: str = "text", most_covered: float = MOST_C
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t) for t in texts], columns=names, dtype="int64")
 
-    short_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in {*names, "base_failed", "kept"}]
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     within = (F.col("repeat_covered") <= most_covered * F.col("n_words")) & (F.col("longest_repeat") <= longest_repeat)

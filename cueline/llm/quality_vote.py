@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm._common import short_batches
+
 from cueline.llm.toxicity import sampled
 
 #: Bound on the labelled rows: the decomposition and the voters come from these.
@@ -163,7 +163,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     Null labels are left out and repeated ones count once.  Without any, every
     text scores 0.5.
     """
-    short_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()

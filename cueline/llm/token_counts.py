@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cueline.llm._common import short_batches
+
 from cueline.llm.bpe import Encoder, default_path
 
 END_OF_DOCUMENT = 50256
@@ -37,7 +37,6 @@ def flatten(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_OF_
     documents whose separator a block holds.
     """
     path = tokenizer or default_path()
-    short_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, file = Encoder(path), f"part-{TaskContext.get().partitionId():05d}"
@@ -76,7 +75,6 @@ def read_flat_files(spark: SparkSession, path: str, width: int = 2, block: int =
                 for k, at in enumerate(range(0, len(data), block * width)):
                     yield _blocks([(file.as_py(), k, bytes(data[at : at + block * width]), None)])
 
-    short_batches(spark, 1)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(of, BLOCKS)
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm._common import short_batches
+
 
 #: Bound on the labelled rows that the model is fitted on.
 LABELLED_ROWS = 20_000
@@ -206,7 +206,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LA
     Null labels are left out and repeated ones count once.  Without labels, or
     with labels of one kind only, every text scores the share of ones.
     """
-    short_batches(docs.sparkSession)
     # bounded: ``rows`` arrays of distinct terms; in a stated order, so that the fit can be repeated
     sample = sorted((bytes(r["terms"]), r["y"]) for r in sampled(docs, labels, label, rows).mapInArrow(_terms, "terms binary, y int").collect())
     found, y = [np.frombuffer(t, "<i4") for t, _ in sample], np.array([float(y) for _, y in sample])
