@@ -1,9 +1,11 @@
 """Best-fit packing by patterns of few documents and non-negative least squares.
 
 Pieces are known to the driver only as a histogram of their lengths, at most
-``capacity`` numbers.  Patterns of one to four lengths that fill a sequence are
-enumerated, their repeat counts fitted to the histogram by non-negative least
-squares and rounded down, and the remainder is packed best fit, again by length.
+``capacity`` numbers.  All patterns of two or three lengths that fill a sequence
+are enumerated and their repeat counts fitted to the histogram by non-negative
+least squares.  Counts are rounded down, and where the histogram is too thin for
+whole counts, the largest remainders are rounded up, until patterns hold
+``PATTERN_SHARE`` of the pieces; the rest, of all lengths, is packed best fit.
 The plan is a bounded table of places; each piece finds its own by its length
 and its rank among pieces of that length.
 """
@@ -19,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueline.llm._common import checkpoint
+from cueline.llm._common import checkpoint, columns, spare
 from cueline.llm.bpe import Encoder, default_path
 
 CAPACITY = 2048
-#: Patterns offered to the fit, at most; by a stride over their second length.
-PATTERNS = 60_000
+#: Share of the pieces shorter than a sequence that patterns pack.  Best fit needs pieces of all lengths for the rest.
+PATTERN_SHARE = 0.75
 #: A rank is counted within a length and one of so many salts, one at least for each ROWS_A_SALT pieces.
 SALTS, ROWS_A_SALT = 16, 1_000_000
 
@@ -59,26 +61,19 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
 
 def _patterns(present: np.ndarray, capacity: int) -> list[np.ndarray]:
-    """Arrays of patterns with 1, 2, 3 and 4 lengths; those of several lengths fill a sequence."""
+    """All patterns of 1, 2 and 3 of the lengths present, longest first; those of several lengths fill a sequence."""
     there = np.zeros(capacity + 1, bool)
     there[present] = True
-    out = [present[:, None]]
-    half = present[2 * present <= capacity]
-    pair = half[there[capacity - half]]
-    out.append(np.column_stack((capacity - pair, pair)))
-    stride = max(1, int(np.ceil(len(present) * len(half) / PATTERNS)))
-    some = half[::stride]
-    a, b = (x.ravel() for x in np.meshgrid(present, some, indexing="ij"))
-    for repeat in (1, 2):
-        last = capacity - a - repeat * b
-        fits = (last > 0) & (b <= a)
-        fits &= there[np.where(fits, last, 0)] & (last <= b)
-        cols = [a[fits], *[b[fits]] * repeat, last[fits]]
-        out.append(np.column_stack(cols))
-    return [p for p in out if len(p)]
-
-
-def _fit(groups: list[np.ndarray], histogram: np.ndarray, rounds: int = 300) -> list[np.ndarray]:
+    a, b = (x.ravel() for x in np.meshgrid(present, present, indexing="ij"))
+    a, b = a[b <= a], b[b <= a]
+    last = capacity - a - b
+    third = (last > 0) & (last <= b)
+    third[third] = there[last[third]]
+    out = [present[:, None], np.column_stack((a[last == 0], b[last == 0])), np.column_stack((a[third], b[third], last[third]))]
+    return [p.astype(np.int32) for p in out if len(p)]
+
+
+def _fit(groups: list[np.ndarray], histogram: np.ndarray, rounds: int = 60) -> list[np.ndarray]:
     """Repeat counts x >= 0 that minimise the weighted |A x - histogram|, by multiplicative updates."""
     weight = np.arange(len(histogram)) / len(histogram)
     target = weight * histogram
@@ -127,7 +122,31 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], in
     return out
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+def _rounded(groups: list[np.ndarray], counts: list[np.ndarray], left: np.ndarray, share: float) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeat counts within what is ``left``, which is used up: rounded down, then the largest remainders up."""
+    wanted, out = share * left.sum(), []
+    for up in (False, True):
+        for g, x in zip(groups, counts):
+            x = x * share
+            order = np.argsort(np.floor(x) - x if up else -x, kind="stable")
+            for at in range(0, len(order), 8192):
+                some = order[at : at + 8192]
+                for k in some[(left[g[some]] > 0).all(axis=1)].tolist():
+                    if up and wanted <= 0:
+                        return out
+                    lengths = g[k].tolist()
+                    times = 1 if up else int(x[k])
+                    for v in set(lengths):
+                        times = min(times, int(left[v]) // lengths.count(v))
+                    if times:
+                        for v in lengths:
+                            left[v] -= times
+                        wanted -= times * len(lengths)
+                        out.append((tuple(lengths), times))
+    return out
+
+
+def plan(histogram: np.ndarray, capacity: int = CAPACITY, share: float = PATTERN_SHARE) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how often to make each, so that every length is used up."""
     left = histogram.astype(np.int64).copy()
     out = []
@@ -137,74 +156,76 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[in
         left[capacity] = 0
     if len(present):
         groups = _patterns(present, capacity)
-        for g, x in zip(groups[1:], _fit(groups, left.astype(float))[1:]):
-            for k in np.argsort(-x, kind="stable"):
-                if x[k] < 1:
-                    break
-                lengths, n = np.unique(g[k], return_counts=True)
-                times = int(min(np.floor(x[k]), (left[lengths] // n).min()))
-                if times:
-                    left[lengths] -= n * times
-                    out.append((tuple(int(v) for v in g[k]), times))
+        out += _rounded(groups[1:], _fit(groups, left.astype(float))[1:], left, share)
     return out + _best_fit(left, capacity)
 
 
-def _places(made: list[tuple[tuple[int, ...], int]], capacity: int) -> tuple[np.ndarray, ...]:
-    """Sorted by (length, first rank): that key, the sequence of the first rank, and the offset."""
-    used = np.zeros(capacity + 1, np.int64)
-    rows, sequence = [], 0
-    for pattern, times in made:
-        offset = 0
-        for length in pattern:
-            rows.append((length, int(used[length]), sequence, offset))
-            used[length] += times
-            offset += length
-        sequence += times
-    length, rank, first, offset = np.array(sorted(rows), np.int64).reshape(-1, 4).T
-    return (length << 48) + rank, rank, first, offset
+def _places(made: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by (length, first rank): that key, the sequence of the first rank, and the offset.
+
+    At most three rows for each pattern there is: some 20 MB at the largest.
+    """
+    n = np.fromiter((len(p) for p, _ in made), np.int64, len(made))
+    times = np.fromiter((t for _, t in made), np.int64, len(made))
+    length = np.fromiter((v for p, _ in made for v in p), np.int64, int(n.sum()))
+    each = np.repeat(times, n)
+    before = lambda x: np.cumsum(x) - x
+    offset = before(length) - np.repeat(before(length)[before(n)], n)
+    order = np.argsort(length, kind="stable")
+    rank = before(each[order])
+    starts = np.flatnonzero(np.diff(length[order], prepend=-1))
+    rank -= np.repeat(rank[starts], np.diff(np.append(starts, len(order))))
+    return (length[order] << 48) + rank, np.repeat(before(times), n)[order], offset[order].astype(np.int32)
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give each piece (``PIECES``) a sequence_id and an offset; sequences are gapless from offset 0.
 
-    Further columns are kept; an empty table gives an empty table.  Which of
-    several pieces of one length takes which place follows their salt, doc_id
-    and piece number; repeated rows are packed as pieces of their own.
+    Further columns are kept, whatever their names, but for those two, which are
+    replaced; an empty table gives an empty table.  Which of several pieces of one
+    length takes which place follows their salt, doc_id and piece number; repeated
+    rows are packed as pieces of their own.  A null length, or one that isn't from
+    1 to ``capacity``, is refused.  The pieces are kept in the checkpoint folder.
     """
     parts = checkpoint(parts)
+    salt_, base_, rank_, place_ = spare(parts, "salt", "base", "rank", "place")
+    # at most ``capacity`` rows, one a length
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
-        if not 0 < length <= capacity:
+        if length is None or not 0 < length <= capacity:
             raise ValueError(f"a piece of {length} tokens doesn't fit")
         histogram[length] = n
-    key, low, first, offset = _places(plan(histogram, capacity), capacity)
+    key, first, offset = _places(plan(histogram, capacity))
     salts = max(SALTS, int(histogram.sum()) // ROWS_A_SALT)
-    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    salted = parts.withColumn(salt_, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    before = Window.partitionBy("length").orderBy(salt_).rowsBetween(Window.unboundedPreceding, -1)
     bases = (
-        salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))
-        .select("length", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+        salted.groupBy("length", salt_).agg(F.count("*").alias("n"))
+        .select("length", salt_, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base_))
     )
-    among = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("__rank", F.row_number().over(among) - 1).join(bases, ["length", "__salt"])
+    among = Window.partitionBy("length", salt_).orderBy("doc_id", "piece", "ids_crc32")
+    ranked = salted.withColumn(rank_, F.row_number().over(among) - 1).join(bases, ["length", salt_])
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(key, (length.to_numpy(np.int64) << 48) + rank.to_numpy(np.int64), side="right") - 1
-        return pd.DataFrame({"sequence_id": first[at] + rank.to_numpy(np.int64) - low[at], "offset": offset[at]})
+        wanted = (length.to_numpy(np.int64) << 48) + rank.to_numpy(np.int64)
+        at = np.searchsorted(key, wanted, side="right") - 1
+        return pd.DataFrame({"sequence_id": first[at] + wanted - key[at], "offset": offset[at].astype(np.int64)})
 
-    return ranked.withColumn("__place", place("length", F.col("__base") + F.col("__rank"))).select(
-        *parts.columns, "__place.sequence_id", "__place.offset"
+    return ranked.withColumn(place_, place("length", F.col(base_) + F.col(rank_))).select(
+        *columns(parts, {"sequence_id", "offset"}), F.col(place_)["sequence_id"].alias("sequence_id"), F.col(place_)["offset"].alias("offset")
     )
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, added: dict[str, int] | None = None) -> DataFrame:
     """Tokenise, cut and pack whole documents.
 
-    Input: doc_id (long) and text; further columns are ignored.  A null or empty
-    text is the end identifier alone.  A null doc_id and repeated rows are
-    packed like any other row.  Strings of ``added`` tokens become their ids;
-    without any, they are ordinary text.
+    Input: doc_id (long) and text; further columns are ignored, whatever their
+    names.  A null or empty text is the end identifier alone.  A null doc_id and
+    repeated rows are packed like any other row.  A text of any length is tokenised
+    whole, in one task, and cut into pieces.  Strings of ``added`` tokens become
+    their ids; without any, they are ordinary text.  An empty table gives an empty
+    table.
     """
     return pack(pieces(docs, tokenizer, capacity, end_id, added), capacity)

@@ -26,26 +26,36 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def reference():
+    """Ids of the given tokenizers file at its default settings, without special tokens around."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def plain_reference():
+    """As ``reference``, with strings of added tokens as ordinary text, which op8's separators ask for."""
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-def test_ids_equal_the_reference_tokenizer(spark, reference):
-    e = bpe.Encoder(bpe.default_path())
-    texts = [t for _, t in TEXTS] + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+END = "<|endoftext|>"
+WITH_END = [f"a {END} b", END, END * 3, f"x\n{END}\n\ny ", f" {END}  z", f"no{END}gap", "<|endoftext", f"{END[:-1]}{END}"]
+
+
+def test_ids_equal_the_reference_tokenizer(spark, reference, plain_reference):
+    plain, full = bpe.Encoder(bpe.default_path()), bpe.Encoder(bpe.default_path(), bpe.added_tokens())
+    texts = [t for _, t in TEXTS] + WITH_END + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     for t in texts:
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == reference(t)
+        assert np.frombuffer(plain.encode(t), "<u4").tolist() == plain_reference(t)
+        assert np.frombuffer(full.encode(t), "<u4").tolist() == reference(t)
+    assert reference(f"a {END} b") == [64, 220, 50256, 275]
 
 
-def test_added_tokens_equal_the_tokenizer_at_its_default_settings(spark, tmp_path):
-    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ids = lambda text: default.encode(text or "", add_special_tokens=False).ids
-    end = "<|endoftext|>"
-    texts = [t for _, t in TEXTS] + [f"a {end} b", end, end * 3, f"x\n{end}\n\ny ", f" {end}  z", f"no{end}gap", "<|endoftext", f"{end[:-1]}{end}"]
+def test_packing_query_has_the_ids_of_the_tokenizer(spark, reference, tmp_path):
+    texts = [t for _, t in TEXTS] + WITH_END
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert ids(f"a {end} b") == [64, 220, 50256, 275]
-    want = collections.Counter((i, *p) for i, t in enumerate(texts) for p in brute.cut_pieces([*ids(t), 0]))
+    want = collections.Counter((i, *p) for i, t in enumerate(texts) for p in brute.cut_pieces([*reference(t), 0]))
     rows = queries.op5_best_fit_packing(spark, str(tmp_path)).collect()
     assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
 
@@ -64,7 +74,7 @@ def _gapless(rows):
 
 
 def test_packing_documents(docs, reference):
-    rows = packing.pack_documents(docs).collect()
+    rows = packing.pack_documents(docs, added=bpe.added_tokens()).collect()
     want = collections.Counter((i, *p) for i, t in TEXTS for p in brute.cut_pieces([*reference(t), 0]))
     assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
     assert _gapless(rows) >= math.ceil(sum(r.length for r in rows) / 2048)
@@ -76,6 +86,29 @@ def test_packing_is_tight(spark):
     assert _gapless(rows) <= 1.01 * math.ceil(sum(r.length for r in rows) / 2048) + 1
 
 
+def test_patterns_pack_most_pieces(spark):
+    parts = packing.pieces(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    h = np.zeros(2049, np.int64)
+    for r in parts.groupBy("length").count().collect():
+        h[r["length"]] = r["count"]
+    for times in (1, 50):
+        some = h * times
+        made = packing.plan(some)
+        bound = math.ceil((some * np.arange(2049)).sum() / 2048)
+        assert sum(n for _, n in made) <= 1.0005 * bound
+        full = sum(len(p) * n for p, n in made if 1 < len(p) < 4 and sum(p) == 2048)
+        assert full > 0.7 * some[:2048].sum()
+
+
+def test_columns_of_pieces_may_have_any_name(spark):
+    parts = spark.createDataFrame([(1, 0, 0, 2000, 5, 1, 2, 3), (2, 0, 0, 48, 6, 1, 2, 3), (None, 0, 0, 2048, 7, 1, 2, 3)], packing.PIECES + ", salt int, `a.b` int, sequence_id int")
+    made = packing.pack(parts)
+    assert made.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "a.b", "sequence_id", "offset"]
+    assert _gapless(made.collect()) == 2
+    with pytest.raises(ValueError):
+        packing.pack(parts.withColumn("length", F.lit(2049).cast("long")))
+
+
 def test_a_hot_length_is_spread(spark):
     parts = spark.range(30_000).select(
         F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
@@ -97,9 +130,9 @@ def test_plans_use_up_every_histogram(capacity):
         assert (used == h).all()
 
 
-def test_token_counts(docs, reference):
+def test_token_counts(docs, plain_reference):
     got = token_counts.count_tokens(docs).collect()
-    assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == collections.Counter((i, len(reference(t))) for i, t in TEXTS)
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == collections.Counter((i, len(plain_reference(t))) for i, t in TEXTS)
     assert token_counts.count_tokens(docs.limit(0)).count() == 0
 
 
