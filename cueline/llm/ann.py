@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by learned partitions.
 
 On a bounded sample, a neighbour graph is cut into balanced parts by recursive
-spectral bisection, and a small network learns to tell a vector's part from the
-vector.  Every row is indexed under its most probable part; a query is compared
-with all rows of its several most probable parts and reranked exactly.  How many
-parts are probed is set on the sample, for a stated recall.
+spectral bisection, and a small network learns, from each vector, in which parts
+its neighbours are.  Every row is indexed under its most probable part; a query is
+compared with all rows of its several most probable parts and reranked exactly.
+There are about as many parts as the square root of the number of rows, so what a
+query is compared with grows more slowly than the table; how many parts are probed
+is set on the sample, for a stated recall.  Vectors without any neighbourhoods,
+such as random ones, need most parts.
 """
 
 from __future__ import annotations
@@ -16,16 +19,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueline.llm._common import checkpoint
+from cueline.llm._common import checkpoint, col
 
-#: Bound on the rows that the partition and the router are fitted on.
-SAMPLE_ROWS = 8192
-PARTS = 16
-RECALL = 0.97
+#: Bounds on the rows that the partition and the router are fitted on: so many, but at least the second where the table
+#: has them, and no more than are needed for ``ROWS_A_PART`` in each part.
+SAMPLE_ROWS, LEAST_SAMPLE = 32_768, 8_192
+ROWS_A_PART = 32
+#: Recall aimed at on rows of the sample that the router hasn't seen.
+RECALL = 0.94
 GRAPH_NEIGHBOURS = 16
 #: Rows and queries that meet in one task.
 INDEX_BLOCK, QUERY_BLOCK = 32_768, 16_384
-HIDDEN = 128
+HIDDEN, EPOCHS = 128, 20
+
+
+def parts_for(rows: int) -> int:
+    """About the square root of the number of rows, a power of two, with enough sampled rows in each part."""
+    parts = 1 << max(0, round(np.log2(max(rows, 1)) / 2))
+    while parts > 1 and parts * ROWS_A_PART > min(rows, SAMPLE_ROWS):
+        parts //= 2
+    return parts
+
+
+def sample_for(rows: int) -> int:
+    return min(SAMPLE_ROWS, max(LEAST_SAMPLE, parts_for(rows) * ROWS_A_PART))
 
 
 def neighbour_graph(x: np.ndarray, k: int = GRAPH_NEIGHBOURS) -> np.ndarray:
@@ -84,10 +101,10 @@ class Router:
         return np.argsort(-self.logits(x), axis=1, kind="stable")[:, : probes or self.probes]
 
 
-def train_router(x: np.ndarray, part: np.ndarray, parts: int, epochs: int = 40, seed: int = 7) -> Router:
-    """Cross-entropy by Adam; fixed seed and order."""
+def train_router(x: np.ndarray, targets: np.ndarray, parts: int, epochs: int = EPOCHS, seed: int = 7) -> Router:
+    """Cross-entropy by Adam; ``targets`` holds, for each row, the parts of its neighbours.  Fixed seed and order."""
     rng = np.random.default_rng(seed)
-    d = x.shape[1]
+    d, k = x.shape[1], targets.shape[1]
     scale = float(np.sqrt((x**2).mean())) or 1.0
     p = [rng.normal(0, np.sqrt(2 / d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), (HIDDEN, parts)), np.zeros(parts)]
     m, v, step = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], 0
@@ -100,7 +117,8 @@ def train_router(x: np.ndarray, part: np.ndarray, parts: int, epochs: int = 40,
             out = hidden @ p[2] + p[3]
             out = np.exp(out - out.max(axis=1, keepdims=True))
             out /= out.sum(axis=1, keepdims=True)
-            out[np.arange(len(some)), part[some]] -= 1
+            cells = np.repeat(np.arange(len(some)), k) * parts + targets[some].ravel()
+            out -= np.bincount(cells, minlength=out.size).reshape(out.shape) / k
             out /= len(some)
             back = (out @ p[2].T) * (hidden > 0)
             grads = [inp.T @ back + 1e-4 * p[0], back.sum(axis=0), hidden.T @ out + 1e-4 * p[2], out.sum(axis=0)]
@@ -114,27 +132,28 @@ def train_router(x: np.ndarray, part: np.ndarray, parts: int, epochs: int = 40,
     return Router(scale, *p, parts)
 
 
-def fit(sample: np.ndarray, parts: int = PARTS, recall: float = RECALL, neighbours: int = 20) -> Router:
+def fit(sample: np.ndarray, parts: int, recall: float = RECALL, neighbours: int = 20) -> Router:
     """Partition the sample's neighbour graph, learn to route, and set the number of parts to probe.
 
     One row in eight is kept out of the graph and of training and used to measure the recall.
     """
-    parts = 1 << min(parts.bit_length() - 1, max(0, (len(sample) // 64).bit_length() - 1))
     held = np.arange(len(sample)) % 8 == 0
     inside = sample[~held]
     if parts < 2 or len(inside) <= 2 * neighbours:
         d = sample.shape[1]
         return Router(1.0, np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
-    router = train_router(inside, balanced_parts(neighbour_graph(inside), parts), parts)
+    graph = neighbour_graph(inside)
+    part = balanced_parts(graph, parts)
+    router = train_router(inside, np.concatenate((part[:, None], part[graph]), axis=1), parts)
     home = router.routes(inside, 1)[:, 0]
-    near = np.argpartition(-(sample[held] @ inside.T), neighbours - 1, axis=1)[:, :neighbours]
-    where = router.routes(sample[held], parts)
-    rank = np.argsort(where, axis=1)  # rank of each part for each query
-    needed = np.take_along_axis(rank, home[near], axis=1)
-    for probes in range(1, parts + 1):
-        if (needed < probes).mean() >= recall:
-            break
-    router.probes = probes
+    needed = []
+    for at in range(0, held.sum(), 512):
+        q = sample[held][at : at + 512]
+        near = np.argpartition(-(q @ inside.T), neighbours - 1, axis=1)[:, :neighbours]
+        rank = np.argsort(router.routes(q, parts), axis=1)  # rank of each part for each query
+        needed.append(np.take_along_axis(rank, home[near], axis=1))
+    needed = np.concatenate(needed)
+    router.probes = next(n for n in range(1, parts + 1) if (needed < n).mean() >= recall)
     return router
 
 
@@ -165,52 +184,75 @@ def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k
     return out
 
 
-def search(vectors: DataFrame, every: int, k: int = 20, parts: int = PARTS, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, every: int, k: int = 20, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows found for each row whose id is divisible by ``every``.
 
-    Returns query_id, rank (from 1), vec_id, score.
-
-    Nearness is the largest inner product in double precision, ties to the
-    smaller id; a row is no candidate of its own id.  Rows with a null id, and
-    vectors that are null, zero, or hold null or non-finite components, take no
-    part; nor do vectors whose length is not the commonest.  Repeated rows (one
-    id) are one row.  Where a table is so small that parts could hold fewer than
-    ``k`` rows, all parts are probed.  An empty table gives no rows.
+    Returns query_id, rank (from 1), vec_id, score.  Further columns are ignored,
+    whatever their names.
+
+    Nearness is the largest inner product in double precision, ties to the smaller
+    id; a row is no candidate of its own id.  Rows with a null id, and vectors that
+    are null, empty, zero, or hold null or non-finite components, take no part.
+    Repeated rows (one id) are one row: the smallest vector.  Vectors of different
+    lengths have no inner product; those of the commonest length go by parts, those
+    of any other are compared with all of their length.  Where the parts to probe
+    hold fewer than ``k`` rows besides the query, further ones are probed, in order
+    of their probability, until they do.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    rows = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).alias("v"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = checkpoint(rows.groupBy("id").agg(F.min("v").alias("v")))
+    # one row: the commonest length
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    result = "query_id long, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = sizes[0]["d"], sizes[0]["n"]
-    rows = rows.where(F.size("v") == d).dropDuplicates(["id"])
-    # bounded: ``sample_rows`` vectors
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
-    router = fit(np.array([r["v"] for r in sample], np.float64), parts, recall, k)
+    common = F.size("v") == d
+    # bounded: ``sample_for`` vectors
+    sample = rows.where(common).orderBy(F.xxhash64("id"), "id").limit(sample_for(n)).collect()
+    router = fit(np.array([r["v"] for r in sample], np.float64), parts_for(n), recall, k)
     n_parts = len(router.b2)
-    if n < 64 * k:
-        router.probes = n_parts
 
-    @F.pandas_udf("array<int>")
-    def routes(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(router.routes(np.stack(v.to_numpy()).astype(np.float64)).astype(np.int32)))
-
-    routed = checkpoint(rows.withColumn("routes", routes("v")).withColumn("is_query", F.col("id") % every == 0))
-    index = routed.select("id", "v", F.col("routes")[0].alias("part"))
-    queries = routed.where("is_query").select("id", "v", F.explode("routes").alias("part"))
-    # at most one row for each part
+    def ranked(v: pd.Series, probes: int) -> np.ndarray:
+        return router.routes(np.stack(v.to_numpy()).astype(np.float64), probes).astype(np.int32)
+
+    @F.pandas_udf("int")
+    def home(v: pd.Series) -> pd.Series:
+        out = np.empty(len(v), np.int32)
+        of = v.str.len().to_numpy() == d
+        out[~of] = n_parts + v.str.len().to_numpy()[~of]  # a part for each other length
+        if of.any():
+            out[of] = ranked(v[of], 1)[:, 0]
+        return pd.Series(out)
+
+    index = checkpoint(rows.select("id", "v", home("v").alias("part")))
+    # at most one row for each part, and for each length there is
     n_index = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    held = np.array([n_index.get(p, 0) for p in range(n_parts)], np.int64)
+
+    @F.pandas_udf("array<int>")
+    def routes(v: pd.Series, part: pd.Series) -> pd.Series:
+        out = [np.array([p], np.int32) for p in part]
+        of = np.flatnonzero(part.to_numpy() < n_parts)
+        if len(of):
+            for i, own in zip(of.tolist(), ranked(v.iloc[of], n_parts)):
+                enough = np.searchsorted(np.cumsum(held[own]), k + 1) + 1
+                out[i] = own[: max(router.probes, enough)]
+        return pd.Series(out, dtype=object)
+
+    asked = index.where(F.col("id") % every == 0)
+    queries = checkpoint(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode(routes("v", "part")).alias("part")))
     n_query = {r["part"]: r["n"] for r in queries.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    blocks = lambda found, size: F.element_at(F.array(*[F.lit(-(-found.get(p, 0) // size) or 1) for p in range(n_parts)]), F.col("part") + 1)
-    index = index.withColumn("ib", F.pmod(F.xxhash64("id"), blocks(n_index, INDEX_BLOCK)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), blocks(n_query, QUERY_BLOCK) - 1))
+    # (part, blocks of its index, blocks of its queries): a row for each part
+    grid = spark.createDataFrame(
+        [(p, -(-n_index[p] // INDEX_BLOCK), -(-m // QUERY_BLOCK)) for p, m in n_query.items() if p in n_index], "part int, n_ib int, n_qb int"
     )
-    queries = queries.withColumn("qb", F.pmod(F.xxhash64("id"), blocks(n_query, QUERY_BLOCK)).cast("int")).withColumn(
-        "ib", F.explode(F.sequence(F.lit(0), blocks(n_index, INDEX_BLOCK) - 1))
+    index = index.join(F.broadcast(grid), "part").withColumn("ib", F.pmod(F.xxhash64("id"), "n_ib").cast("int")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1))
+    )
+    queries = queries.join(F.broadcast(grid), "part").withColumn("qb", F.pmod(F.xxhash64("query_id"), "n_qb").cast("int")).withColumn(
+        "ib", F.explode(F.sequence(F.lit(0), F.col("n_ib") - 1))
     )
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -218,14 +260,16 @@ def search(vectors: DataFrame, every: int, k: int = 20, parts: int = PARTS, reca
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         found = best(
             x["id"].to_numpy(), np.stack(x["v"].to_numpy()).astype(np.float64),
-            q["id"].to_numpy(), np.stack(q["v"].to_numpy()).astype(np.float64), k,
+            q["query_id"].to_numpy(), np.stack(q["q"].to_numpy()).astype(np.float64), k,
         )
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 
-    found = queries.groupBy("part", "ib", "qb").cogroup(index.groupBy("part", "ib", "qb")).applyInPandas(meet, result)
+    keys = ["part", "ib", "qb"]
+    found = queries.select(*keys, "query_id", "q").groupBy(*keys).cogroup(index.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(
+        meet, "query_id long, vec_id long, score double"
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
-

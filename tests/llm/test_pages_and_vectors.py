@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import pytest
 
-from cueline.llm import ann, html_extract
+from cueline.llm import ann, html_extract, queries
 
 
 def page(body, menu="<nav><ul><li><a href='/a'>Home</a></li></ul></nav>", extra=""):
@@ -144,18 +144,46 @@ def exact(x, ids, q, k=20):
     return [int(ids[i]) for i in np.lexsort((ids, -s))[:k] if s[i] > -np.inf]
 
 
-def test_recall_on_clusters_and_noise(spark):
-    rng = np.random.default_rng(5)
-    x = np.concatenate((rng.normal(size=(3000, 24)), np.repeat(rng.normal(size=(30, 24)), 50, axis=0) + rng.normal(0, 0.1, (1500, 24)))).astype(np.float32).astype(float)
-    got = ann.search(vectors(spark, x), every=20, sample_rows=2048).toPandas()
+def measured(spark, x, queries=None):
+    """Recall against brute force, and the share of the rows that a query is compared with."""
     ids = np.arange(len(x))
+    got = ann.search(vectors(spark, x), every=20).toPandas()
     shares = []
     for q, g in got.groupby("query_id"):
         g = g.sort_values("rank")
-        assert g["rank"].tolist() == list(range(1, len(g) + 1)) and (np.diff(g.score) <= 0).all()
-        np.testing.assert_allclose(g.score, (x[g.vec_id] * x[q]).sum(axis=1))
-        shares.append(len(set(g.vec_id) & set(exact(x, ids, q))) / 20)
-    assert len(shares) == 225 and np.mean(shares) >= 0.9
+        assert g["rank"].tolist() == list(range(1, 21)) and (np.diff(g.score) <= 0).all()
+        if queries is None or q in queries:
+            np.testing.assert_allclose(g.score, (x[g.vec_id] * x[q]).sum(axis=1))
+            shares.append(len(set(g.vec_id) & set(exact(x, ids, q))) / 20)
+    n = ann.sample_for(len(x))
+    router = ann.fit(x[np.random.default_rng(1).permutation(len(x))[:n]], ann.parts_for(len(x)))
+    home = router.routes(x, 1)[:, 0]
+    held = np.bincount(home, minlength=len(router.b2))
+    return got.query_id.nunique(), np.mean(shares), held[router.routes(x[::20])].sum(axis=1).mean() / len(x)
+
+
+def test_recall_on_clusters_and_noise(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.normal(size=(3000, 24)), np.repeat(rng.normal(size=(30, 24)), 50, axis=0) + rng.normal(0, 0.1, (1500, 24)))).astype(np.float32).astype(float)
+    n, recall, _ = measured(spark, x)
+    assert n == 225 and recall >= 0.9
+
+
+def test_a_small_part_of_clustered_vectors_is_searched(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 32))[rng.integers(0, 400, 20_000)] + rng.normal(0, 0.4, (20_000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    n, recall, share = measured(spark, x, set(range(0, 20_000, 400)))
+    assert n == 1000 and recall >= 0.9 and share < 0.2
+
+
+def test_recall_on_the_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    x, ids = np.stack(table.embedding).astype(float), table.vec_id.to_numpy()
+    got = queries.op10_nearest_neighbours(spark, "/root/testdata/sf0.1").toPandas()
+    place = {i: k for k, i in enumerate(ids)}
+    shares = [len(set(g.vec_id) & set(exact(x, ids, place[q]))) / 20 for q, g in got.groupby("query_id")]
+    assert len(shares) == (ids % 20 == 0).sum() and np.mean(shares) >= 0.9
 
 
 def test_ties_and_rows_that_take_no_part(spark):
@@ -164,16 +192,25 @@ def test_ties_and_rows_that_take_no_part(spark):
     for q, g in got.groupby("query_id"):
         assert g.vec_id.tolist() == [i for i in range(21) if i != q][:20]
     odd = spark.createDataFrame(
-        [(0, [1.0, 2.0], "n"), (1, None, "n"), (2, [0.0, 0.0], "n"), (3, [1.0, None], "n"), (4, [float("nan"), 1.0], "n"), (5, [float("inf"), 1.0], "n"), (6, [3.0, 1.0], "n"), (None, [1.0, 1.0], "n"), (7, [1.0], "n"), (6, [3.0, 1.0], "n"), (8, [], "n")],
-        "vec_id long, embedding array<float>, part string",
+        [(0, [1.0, 2.0], "n", 1), (1, None, "n", 1), (2, [0.0, 0.0], "n", 1), (3, [1.0, None], "n", 1), (4, [float("nan"), 1.0], "n", 1), (5, [float("inf"), 1.0], "n", 1), (6, [3.0, 1.0], "n", 1), (None, [1.0, 1.0], "n", 1), (7, [1.0], "n", 1), (6, [2.0, 9.0], "n", 1), (8, [], "n", 1), (20, [2.0], "n", 1), (40, [3.0, 0.0, 0.0], "n", 1)],
+        "vec_id long, embedding array<float>, part string, `a.b` int",
     )
-    assert [tuple(r) for r in ann.search(odd, every=20).collect()] == [(0, 1, 6, 5.0)]
+    assert sorted(tuple(r) for r in ann.search(odd, every=20).collect()) == [(0, 1, 6, 20.0), (20, 1, 7, 2.0)]
     assert ann.search(odd.limit(0), every=20).count() == 0
 
 
+def test_thin_parts_are_made_up_for(spark):
+    """Many equal vectors fill one part only; the queries elsewhere still find all they can."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate((np.tile(rng.normal(size=8), (1500, 1)), rng.normal(size=(500, 8)) * 3))
+    got = ann.search(vectors(spark, x), every=20).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and got.query_id.nunique() == 100
+
+
 def test_parts_are_balanced_and_learned():
     rng = np.random.default_rng(6)
     x = np.repeat(rng.normal(size=(8, 16)) * 3, 100, axis=0) + rng.normal(0, 0.3, (800, 16))
     part = ann.balanced_parts(ann.neighbour_graph(x, 10), 8)
     assert (np.bincount(part) == 100).all()
-    assert (ann.train_router(x, part, 8).routes(x, 1)[:, 0] == part).mean() > 0.9
+    assert (ann.train_router(x, part[:, None], 8).routes(x, 1)[:, 0] == part).mean() > 0.9
+    assert [ann.parts_for(n) for n in (0, 1, 63, 64, 2000, 100_000, 10**12)] == [1, 1, 1, 2, 32, 256, 1024]
