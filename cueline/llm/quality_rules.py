@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueline.llm._common import col, columns, spare
 
 
 #: Shortest repeat that counts (words), the share of words such repeats may cover, and the longest one allowed.
@@ -89,10 +90,13 @@ def measure(text: str | None) -> tuple:
 def with_rules(docs: DataFrame, text: str = "text", most_covered: float = MOST_COVERED, longest_repeat: int = LONGEST_REPEAT) -> DataFrame:
     """Add the measures and verdicts of each whole text; other columns are kept unless they share a name.
 
-    Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    Input: a text column; further columns may have any names.  Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     repeat_covered (words), longest_repeat (words), base_failed and kept.  A
     null or empty text has no words and fails the base rule.  Rows never
-    influence each other, so repeated rows give repeated rows.
+    influence each other, so repeated rows give repeated rows.  Equal repeats tie
+    to the same span.  A text of any length is read whole; the memory for it is a
+    fixed number of arrays, each as long as the text has words.  An empty table
+    gives an empty table.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_covered", "longest_repeat"]
 
@@ -100,10 +104,11 @@ def with_rules(docs: DataFrame, text: str = "text", most_covered: float = MOST_C
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t) for t in texts], columns=names, dtype="int64")
 
-    rest = [c for c in docs.columns if c not in {*names, "base_failed", "kept"}]
+    measured_, = spare(docs, "measured")
+    rest = columns(docs, {*names, "base_failed", "kept"})
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     within = (F.col("repeat_covered") <= most_covered * F.col("n_words")) & (F.col("longest_repeat") <= longest_repeat)
     return (
-        docs.withColumn("__measured", of(F.col(text))).select(*rest, "__measured.*")
+        docs.withColumn(measured_, of(col(text))).select(*rest, *[F.col(measured_)[n].alias(n) for n in names])
         .withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & within)
     )

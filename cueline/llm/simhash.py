@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from cueline.llm._common import checkpoint
+from cueline.llm._common import checkpoint, col, columns
 from cueline.llm.components import connected_components
 
 BLOCK_PAIRS = list(combinations(range(4), 2))
@@ -52,7 +52,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", shin
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash64(t, shingle) for t in texts], dtype="int64")
 
-    return docs.withColumn(name, of(F.col(text)))
+    return docs.withColumn(name, of(col(text)))
 
 
 def _block_keys(fp):
@@ -124,7 +124,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     one row per input row: doc_id, fp (long), component_id, the smallest doc_id
     of the group.  A null or empty text has fingerprint zero and is linked like
     any other.  Rows with a null doc_id link to nothing and get a null
-    component_id.  Repeated rows give repeated rows.  Equal fingerprints are
+    component_id.  Repeated rows give repeated rows.  A text of any length is
+    read whole.  An empty table gives an empty table.  Equal fingerprints are
     collapsed before anything is joined, so a group of copies is one node.
     """
     prints = checkpoint(with_fingerprint(docs.select("doc_id", "text"), shingle=shingle).select("doc_id", "fp"))
@@ -147,19 +148,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """Keep one row of each group of near-duplicates: the one with the smallest doc_id.
 
-    Repeated rows of that doc_id count as one document.  Rows with a null doc_id
-    are kept.  Columns stay as they are.
-    """
-    from pyspark.sql import Window
+    Input: ``doc_id`` (long), ``text``, and any further columns, whatever their
+    names; columns stay as they are.  Repeated rows of that doc_id count as one
+    document, of which any one row stays.  Null and empty texts are one group, very
+    long ones are read whole, rows with a null doc_id are kept.  An empty table
+    gives an empty table.
 
+    Texts are exchanged once, by doc_id: the join that picks them and the choice of
+    one row for each doc_id have the same partitioning.
+    """
     groups = near_duplicates(docs, shingle, distance)
     keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("doc_id")
-    kept = (
-        docs.where("doc_id is not null")
-        .join(keep, "doc_id", "left_semi")
-        .withColumn("__row", F.row_number().over(once))
-        .where("__row = 1")
-        .select(*docs.columns)
-    )
+    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns(docs))
     return kept.unionByName(docs.where("doc_id is null"))

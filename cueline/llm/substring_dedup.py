@@ -9,12 +9,18 @@ a maximal run of windows with one anchor, together with the words they cover.
 Block limits depend on the words alone, so two documents that share a long run
 of words share all the blocks inside that run, wherever it stands in either.
 
-*Factors.*  Blocks found in the index with a smaller doc_id are matched whole;
-consecutive ones form one factor.  *Factor boundaries.*  Where a shared run
-starts or ends inside a block, the blocks of the two documents differ but have
-the same anchor.  Blocks whose anchor stands in several different blocks are
-therefore compared window by window.  Each window shared by two documents lies
-either in a matched block or in one that is compared so: the result is exact.
+*Index.*  Each block is indexed with the first document that has it and its place there.  A document's
+own blocks are looked up there by a join.  Where a shared run starts or ends
+inside a block, the blocks of the two documents differ but have the same anchor:
+blocks whose anchor stands in several different blocks are also indexed window by
+window, so that a run's boundaries are found to the word.
+
+*Parse.*  ``parse`` walks a document from its first word.  Blocks that follow one
+another in it as in their source, and the windows at their boundaries, join to one
+match; at each word the match that reaches furthest becomes a factor, up to its
+boundary; a word in no match is a literal.  Matches are of ``WINDOW`` words at
+least, which the boundary check ensures, so each word of a factor lies in a window
+that an earlier document has: factors are the duplicate spans, and exactly those.
 
 Hashes are of 64 bits; blocks and windows are compared by two of them.
 """
@@ -31,9 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm._common import checkpoint
+from cueline.llm._common import checkpoint, col, columns, spare
 
 WINDOW = 50
+#: Rows that a worker holds before it hands them on.
+ROWS = 1 << 18
 #: Words in an anchor; a window holds WINDOW - GRAM + 1 of them.
 GRAM = 25
 _BASE = 0x9E3779B97F4A7C15
@@ -95,38 +103,51 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _rows(names: list[str], parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64)] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+def _rows(names: list[str], parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Batches of long columns from arrays of them, a document at a time."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], names=names)
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            p = Parsed(words_of(text))
-            if p.n_windows:
-                block, at = np.unique(p.block, return_index=True)
-                parts.append((_signed(p.block_anchor[at]), _signed(block), np.full(len(at), doc_id, np.int64)))
-        yield _rows(["anchor", "block", "doc_id"], parts)
+    def parts() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                p = Parsed(words_of(text.as_py()))
+                if p.n_windows:
+                    block, at = np.unique(p.block, return_index=True)
+                    yield _signed(p.block_anchor[at]), _signed(block), np.full(len(at), doc_id, np.int64), p.first[at]
+
+    return _rows(["anchor", "block", "doc_id", "at"], parts())
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = []
-        for doc_id, text, blocks in zip(*(batch.column(c) for c in ("doc_id", "text", "__blocks"))):
-            p = Parsed(words_of(text.as_py()))
-            if p.n_windows:
-                start, window = p.windows(np.isin(_signed(p.block), blocks.values.to_numpy()))
-                window, at = np.unique(window, return_index=True)
-                parts.append((_signed(p.anchor[start[at]]), _signed(window), np.full(len(at), doc_id.as_py(), np.int64)))
-        yield _rows(["anchor", "window", "doc_id"], parts)
+    """Of (doc_id, text, blocks): the windows of those blocks."""
+
+    def parts() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            for doc_id, text, blocks in zip(*(batch.column(c) for c in range(3))):
+                p = Parsed(words_of(text.as_py()))
+                if p.n_windows:
+                    start, window = p.windows(np.isin(_signed(p.block), blocks.values.to_numpy()))
+                    window, at = np.unique(window, return_index=True)
+                    yield _signed(p.anchor[start[at]]), _signed(window), np.full(len(at), doc_id.as_py(), np.int64), start[at]
+
+    return _rows(["anchor", "window", "doc_id", "at"], parts())
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key): hashes of the document's blocks and windows that an earlier document has."""
+    """(doc_id, key, lo, at): hashes of the document's blocks and windows that an earlier document has, the first such document, and their place there."""
+    blocks_, = spare(docs, "blocks")
     docs = docs.where("doc_id is not null")
-    rows = checkpoint(docs.select("doc_id", "text").mapInArrow(_block_rows, "anchor long, block long, doc_id long"))
+    rows = checkpoint(docs.select("doc_id", "text").mapInArrow(_block_rows, "anchor long, block long, doc_id long, at long"))
     # Anchors that only one document has are most of them, and of no further use.
     shared = (
         rows.groupBy("anchor")
@@ -139,77 +160,122 @@ def matches(docs: DataFrame) -> DataFrame:
     )
     rows = checkpoint(rows.join(shared, "anchor"))
     index = rows.groupBy("anchor", "block").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("contested").alias("contested")
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min_by("at", "doc_id").alias("lo_at"), F.first("contested").alias("contested")
     )
     index = checkpoint(index)
-    whole = rows.join(index.where("lo < hi").select("anchor", "block", "lo"), ["anchor", "block"]).where("doc_id > lo")
+    whole = rows.join(index.where("lo < hi").select("anchor", "block", "lo", "lo_at"), ["anchor", "block"]).where("doc_id > lo")
     # A block's windows need comparing only in the first document that has it: later ones match it whole.
-    compare = index.where("contested").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list("block").alias("__blocks"))
+    compare = index.where("contested").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list("block").alias(blocks_))
     # All columns of docs go in, so that the caller's join on doc_id can use the same exchange of the texts;
     # the windows are cheap to compute twice, an exchange more of the texts is not.
-    windows = docs.join(compare, "doc_id").mapInArrow(_window_rows, "anchor long, window long, doc_id long")
-    first = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    windows = docs.join(compare, "doc_id").select("doc_id", "text", blocks_).mapInArrow(_window_rows, "anchor long, window long, doc_id long, at long")
+    first = windows.groupBy("anchor", "window").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min_by("at", "doc_id").alias("lo_at")
+    ).where("lo < hi")
     single = windows.join(first, ["anchor", "window"]).where("doc_id > lo")
-    return whole.select("doc_id", F.col("block").alias("key")).union(single.select("doc_id", F.col("window").alias("key")))
+    return whole.select("doc_id", F.col("block").alias("key"), "lo", F.col("lo_at").alias("at")).union(
+        single.select("doc_id", F.col("window").alias("key"), "lo", F.col("lo_at").alias("at"))
+    )
+
 
+def _sources(p: Parsed, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window whether an earlier document has it, the first such document, and its place there."""
+    found = found[np.argsort(found[:, 0], kind="stable")]
 
-def covered(words: list[bytes], keys: np.ndarray) -> np.ndarray:
-    """Which words lie in a window that an earlier document has."""
-    out = np.zeros(len(words) + 1, np.int64)
-    p = Parsed(words)
-    if p.n_windows:
-        hit = np.repeat(np.isin(_signed(p.block), keys), p.runs)
-        hit |= np.isin(_signed(p.windows()[1]), keys)
-        start = np.flatnonzero(hit)
-        np.add.at(out, start, 1)
-        np.add.at(out, start + WINDOW, -1)
-    return np.cumsum(out)[: len(words)] > 0
+    def look(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(found[:, 0], hashes), len(found) - 1)
+        return found[at, 0] == hashes, at
+
+    start, window = p.windows()
+    whole, block = (np.repeat(x, p.runs) for x in look(_signed(p.block)))
+    single, own = look(_signed(window))
+    row = np.where(whole, block, own)
+    into = np.where(whole, start - np.repeat(p.first, p.runs), 0)  # windows before this one in its block
+    return whole | single, found[row, 1], found[row, 2] + into
+
+
+def parse(words: list[bytes], found: np.ndarray) -> list[tuple[int, int, int | None, int | None]]:
+    """Factors (first word, words, source document, first word there) from the first word to the last, without gaps.
+
+    ``found`` holds rows of (key, document, place) of ``matches``.  A literal run has no source.
+    """
+    p, n = Parsed(words), len(words)
+    if not p.n_windows or not len(found):
+        return [(0, n, None, None)] if n else []
+    known, source, place = _sources(p, found)
+    # matches: runs of windows that follow one another here as in the source
+    change = np.flatnonzero((known[1:] != known[:-1]) | (source[1:] != source[:-1]) | (place[1:] != place[:-1] + 1)) + 1
+    first = np.concatenate(([0], change))
+    last = np.concatenate((change, [p.n_windows])) - 1
+    first, last = first[known[first]], last[known[first]]
+    reach = last + WINDOW
+    out, at = [], 0
+    while at < n:
+        # matches are in order of their starts and of their ends: the last one that starts here or before reaches furthest
+        m = int(np.searchsorted(first, at, side="right")) - 1
+        if m >= 0 and reach[m] > at:
+            out.append((at, int(reach[m]) - at, int(source[first[m]]), int(place[first[m]]) + at - int(first[m])))
+            at = int(reach[m])
+        else:
+            end = int(first[m + 1]) if m + 1 < len(first) else n
+            out.append((at, end - at, None, None))
+            at = end
+    return out
 
 
 _PIECES = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 
 
-def remove_repeats(docs: DataFrame, layout: str = "source", prefix: str = "") -> DataFrame:
+def remove_repeats(docs: DataFrame, layout: str = "source", prefix: str = "", spans: bool = False) -> DataFrame:
     """Remove each word covered by a 50-word window that also starts in a document with a smaller doc_id.
 
     Input: ``doc_id`` (long), ``text``, and any further columns, which are kept
-    unless they have the name of an added one.
-    Adds n_words, n_removed (long) and kept (string), their names after
+    whatever their names, unless they have the name of an added one.
+    Adds n_words, n_removed, n_factors (long) and kept (string), their names after
     ``prefix``: what is left, with the white space of the source, or with
-    ``layout="words"`` joined by one space.
+    ``layout="words"`` joined by one space; and with ``spans`` also spans, an array
+    of the removed (start, length, source, source_start): the factors, by words.
     Windows are judged on the input, not on what is left.  Null and empty texts
     have no words; kept is then empty.  Rows with a null doc_id are neither
     reference nor changed.  Repeated rows (one doc_id) never remove each other.
-    An empty table gives an empty table.
+    Of several earlier documents with the same words, the one with the smallest
+    doc_id is the source.  A text of any length is parsed whole, in memory in
+    proportion to it.  An empty table gives an empty table.
     """
     if layout not in ("source", "words"):
         raise ValueError("layout is 'source' or 'words'")
-    found = matches(docs).groupBy("doc_id").agg(F.collect_list("key").alias("__keys"))
+    keys_, left_ = spare(docs, "keys", "left")
+    # key, document and place in turn; a document has a few for each run of words that it shares
+    found = matches(docs).groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("key", "lo", "at"))).alias(keys_))
+    kind = "n_words long, n_removed long, n_factors long, kept string" + ", spans array<struct<start:long,length:long,source:long,source_start:long>>" * spans
+    names = [c.split()[0] for c in kind.split(", ")]
 
-    @F.pandas_udf("n_words long, n_removed long, kept string")
+    @F.pandas_udf(kind)
     def left(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
         out = []
         for text, k in zip(texts, keys):
             words = words_of(text)
-            gone = covered(words, np.asarray(k, np.int64)) if k is not None and len(k) else None
-            n = int(gone.sum()) if gone is not None else 0
-            if layout == "source":
-                if not n:
-                    kept = (text or "").encode("utf-8", "surrogatepass")
-                else:
-                    pieces = _PIECES.findall((text or "").encode("utf-8", "surrogatepass"))
-                    kept = b"".join(p for p, g in zip(pieces, gone.tolist()) if not g).lstrip()
+            gone = [f for f in parse(words, np.asarray(k, np.int64).reshape(-1, 3)) if f[2] is not None] if k is not None and len(k) else []
+            stay = np.ones(len(words), bool)
+            for start, length, *_ in gone:
+                stay[start : start + length] = False
+            if layout == "source" and not gone:
+                kept = (text or "").encode("utf-8", "surrogatepass")
+            elif layout == "source":
+                pieces = _PIECES.findall((text or "").encode("utf-8", "surrogatepass"))
+                kept = b"".join(p for p, s in zip(pieces, stay.tolist()) if s).lstrip()
             else:
-                kept = b" ".join(words if not n else [w for w, g in zip(words, gone.tolist()) if not g])
-            out.append((len(words), n, kept.decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
-
-    added = {c: f"{prefix}{c}" for c in ("n_words", "n_removed", "kept")}
-    rest = [F.col(c) for c in docs.columns]
-    named = docs.where("doc_id is not null").join(found, "doc_id", "left").select(*rest, "__keys")
-    unnamed = docs.where("doc_id is null").select(*rest, F.lit(None).cast("array<bigint>").alias("__keys"))
+                kept = b" ".join(words if not gone else [w for w, s in zip(words, stay.tolist()) if s])
+            row = (len(words), len(words) - int(stay.sum()), len(gone), kept.decode("utf-8", "surrogatepass"))
+            out.append((*row, [dict(zip(("start", "length", "source", "source_start"), f)) for f in gone]) if spans else row)
+        return pd.DataFrame(out, columns=names)
+
+    added = {c: f"{prefix}{c}" for c in names}
+    rest = columns(docs)
+    named = docs.where("doc_id is not null").join(found, "doc_id", "left").select(*rest, keys_)
+    unnamed = docs.where("doc_id is null").select(*rest, F.lit(None).cast("array<bigint>").alias(keys_))
     return (
         named.unionByName(unnamed)
-        .withColumn("__left", left("text", "__keys"))
-        .select(*[F.col(c) for c in docs.columns if c not in added.values()], *[F.col(f"__left.{k}").alias(v) for k, v in added.items()])
+        .withColumn(left_, left("text", keys_))
+        .select(*columns(docs, set(added.values())), *[F.col(left_)[k].alias(v) for k, v in added.items()])
     )

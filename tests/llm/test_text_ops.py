@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,43 @@ def test_source_layout_keeps_words_and_white_space(spark, rows):
             assert r.new_kept == (r.text or "")
 
 
+def test_factors_cover_each_document(spark, rows):
+    """Factors follow one another without gaps, and each stands in its source where it says."""
+    texts = dict(rows)
+    found = {r.doc_id: r.k for r in substring_dedup.matches(frame(spark, rows)).groupBy("doc_id").agg(F.collect_list(F.array("key", "lo", "at")).alias("k")).collect()}
+    want, parsed = brute.kept_words(rows), 0
+    for i, t in rows:
+        words = substring_dedup.words_of(t)
+        factors = substring_dedup.parse(words, np.array(found.get(i, []), np.int64).reshape(-1, 3))
+        assert [f[0] for f in factors] == list(np.cumsum([0, *(f[1] for f in factors)])[:-1]) and sum(f[1] for f in factors) == len(words)
+        assert all(f[1] > 0 for f in factors)
+        assert not any(a[2] is None and b[2] is None for a, b in zip(factors, factors[1:]))
+        assert sum(f[1] for f in factors if f[2] is not None) == want[i][1]
+        for start, length, source, place in factors:
+            if source is not None:
+                assert source < i and words[start : start + length] == substring_dedup.words_of(texts[source])[place : place + length]
+                parsed += 1
+    assert parsed > 20
+    spans = substring_dedup.remove_repeats(frame(spark, rows), spans=True).select("doc_id", "n_factors", "n_removed", "spans").collect()
+    assert all(len(r.spans) == r.n_factors and sum(s.length for s in r.spans) == r.n_removed for r in spans)
+    assert sum(r.n_factors for r in spans) == parsed
+
+
+def test_columns_of_any_name(spark):
+    """Working names, dots and other cases among the columns do no harm."""
+    text = " ".join(f"a{i}" for i in range(80))
+    names = "`a.b` int, keys int, blocks int, `left` int, measured int, `row` int, fp int, KEPT int"
+    docs = spark.createDataFrame([(i, text, *range(8)) for i in (1, 2)], f"doc_id long, text string, {names}")
+    made = substring_dedup.remove_repeats(docs)
+    assert made.columns == ["doc_id", "text", "a.b", "keys", "blocks", "left", "measured", "row", "fp", "n_words", "n_removed", "n_factors", "kept"]
+    assert sorted((r["doc_id"], r["a.b"], r["fp"], r["n_removed"]) for r in made.collect()) == [(1, 0, 6, 0), (2, 0, 6, 80)]
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, text, *range(8))]
+    ruled = quality_rules.with_rules(docs)
+    assert ruled.columns[:9] == ["doc_id", "text", "a.b", "keys", "blocks", "left", "measured", "row", "fp"]
+    assert {(r["a.b"], r["measured"], r["kept"]) for r in ruled.collect()} == {(0, 4, True)}
+
+
 def test_repeats_on_odd_tables(spark):
     text = " ".join(f"a{i}" for i in range(80))
     docs = frame(spark, [(1, text), (1, text), (2, text), (None, text)])
