@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from cueline.llm._common import col
 
 #: Longer units are filtered one by one, with scaled sums.
 UNIT = 33
@@ -37,6 +37,17 @@ TOGETHER = 1_000_000
 WIDTHS = (4, 7, 10, 14, 20, UNIT)
 
 
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _uniform(seeds: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th draw of each seed (unsigned 64 bits): 53 bits, 0 to 1, by a counter that is mixed."""
+    x = seeds + np.uint64((k + 1) * _STEP % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -137,13 +148,16 @@ class Sampler:
                 total[end, :n] += total[end - length, :n] * weight[length - 1, end - length, :n]
         return piece, total
 
-    def _sampled(self, units: list[str], who: np.ndarray, unit: np.ndarray, u: np.ndarray, n_pieces: np.ndarray) -> Iterator[tuple]:
-        """Backward sampling of occurrences ``who`` of units, last piece first: (number from the end, occurrences, pieces)."""
+    def _sampled(self, units: list[str], who: np.ndarray, unit: np.ndarray, seeds: np.ndarray, n_pieces: np.ndarray) -> Iterator[tuple]:
+        """Backward sampling of occurrences ``who`` of units, last piece first: (number from the end, occurrences, pieces).
+
+        Each piece is a draw of its own, so that no path is too rare to be drawn.
+        """
         piece, total = self._lattice(units)
         end, k = np.fromiter(map(len, units), np.int64, len(units))[unit], 0
         while len(who):
-            left = u * total[end, unit]
-            chosen, taken, rest = np.zeros(len(who), np.int32), np.zeros(len(who), np.int64), np.zeros(len(who))
+            left = _uniform(seeds, k) * total[end, unit]
+            chosen, taken = np.zeros(len(who), np.int32), np.zeros(len(who), np.int64)
             open_, v, e, l = np.arange(len(who)), unit, end, left
             for length in range(1, len(piece) + 1):
                 begin = e - length
@@ -157,7 +171,6 @@ class Sampler:
                 # what rounding leaves over goes to the last piece there is
                 o = open_[here]
                 chosen[o], taken[o] = own[here], length
-                rest[o] = np.minimum(l[here] / mass[here], 1 - 1e-16)
                 stay = ~(here & (l < mass)) & (begin > 0)
                 open_, v, e, l = open_[stay], v[stay], e[stay], (l - mass)[stay]
                 if not len(open_):
@@ -166,7 +179,7 @@ class Sampler:
             yield k, who, chosen
             end, k = end - taken, k + 1
             more = end > 0
-            who, unit, end, u = who[more], unit[more], end[more], rest[more]
+            who, unit, end, seeds = who[more], unit[more], end[more], seeds[more]
 
     def _fitting(self, unit: str) -> np.ndarray:
         """Pieces by [end, length - 1] of one unit of any length; as in a lattice."""
@@ -194,8 +207,8 @@ class Sampler:
         cuts = np.flatnonzero(np.minimum.accumulate(first[::-1])[::-1][1:] == np.arange(len(unit)))
         return [unit[a:b] for a, b in zip(cuts, [*cuts[1:].tolist(), len(unit)])]
 
-    def _long(self, unit: str, draws: list[float]) -> list[np.ndarray]:
-        """Pieces of a unit of any length, last first, for each of some draws; the sums are scaled at each place."""
+    def _long(self, unit: str, seeds: list[int]) -> list[np.ndarray]:
+        """Pieces of a unit of any length, last first, for each of some seeds; the sums are scaled at each place."""
         piece = self._fitting(unit)
         n, longest = len(unit), piece.shape[1]
         share = np.empty((n + 1, longest))
@@ -210,8 +223,8 @@ class Sampler:
             window[1:] = window[:-1] / total
             window[0] = 1.0
         out = []
-        for draw in draws:
-            u = np.random.Generator(np.random.PCG64(int(draw * (1 << 53)))).random(n)
+        for seed in seeds:
+            u = np.random.Generator(np.random.PCG64(seed)).random(n)
             end, chosen = n, []
             while end:
                 length = int(np.searchsorted(share[end], u[len(chosen)] * share[end, -1], side="right"))
@@ -234,7 +247,7 @@ class Sampler:
             counts.append(len(own))
             units.extend([number.setdefault(u, len(number)) for u in own])
             row = xxhash.xxh64_intdigest(f"{self._seed}:{key}".encode())
-            draws.append(np.random.Generator(np.random.PCG64(row)).random(len(own)))
+            draws.append(np.random.Generator(np.random.PCG64(row)).integers(0, 1 << 64, len(own), np.uint64))
         if not units:
             return [np.zeros(0, np.int32) for _ in texts]
         names = sorted(number, key=len, reverse=True)
@@ -288,7 +301,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
     A null or empty text has no pieces.  Rows of one key and text, repeated ones
     among them, are cut alike; null keys count as one key.  Other columns stay,
-    one of the added name is replaced.
+    whatever their names; one of the added name is replaced.  A text of any length
+    is one lattice, filtered over a window of the longest piece.  An empty table
+    gives an empty table.
     """
     path = path or default_path()
 
@@ -298,7 +313,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         for keys, texts in batches:
             yield pd.Series(sampler.encode(list(texts), list(keys)), dtype=object)
 
-    return docs.withColumn(name, of(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text)))
+    return docs.withColumn(name, of(F.coalesce(col(key).cast("string"), F.lit("")), col(text)))
 
 
 def decode(ids: Column, path: str | None = None) -> Column:

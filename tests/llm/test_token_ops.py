@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pathlib
 
 import numpy as np
 import public_tokenizers
@@ -137,14 +138,14 @@ def test_token_counts(docs, plain_reference):
 
 
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
-def test_boundaries_of_blocks_are_stitched(docs, reference, block):
-    flat = token_counts.flatten(docs.where("doc_id is null or doc_id not in (7, 9)"), block=block)
-    got = token_counts.scan(flat).where("ended").collect()
+def test_boundaries_of_blocks_are_stitched(docs, plain_reference, block):
     few = [(i, t) for i, t in TEXTS if i not in (7, 9)]
-    assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == collections.Counter((i, len(reference(t))) for i, t in few)
+    got = token_counts.count_tokens(docs.where("doc_id is null or doc_id not in (7, 9)"), block=block).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == collections.Counter((i, len(plain_reference(t))) for i, t in few)
 
 
-def test_flat_files(spark, tmp_path):
+@pytest.mark.parametrize("group", [1, 3, 4096])
+def test_flat_files(spark, tmp_path, group):
     rng = np.random.default_rng(4)
     want = []
     for k in range(4):
@@ -155,9 +156,34 @@ def test_flat_files(spark, tmp_path):
         want += [(f"{k}.bin", i, int(starts[i]), int(n), True) for i, n in enumerate(lengths)]
         want += [(f"{k}.bin", 50, int(starts[50]), 5 * k, False)] * (k > 0)
     (tmp_path / "empty.bin").write_bytes(b"")
-    blocks = token_counts.read_flat_files(spark, str(tmp_path), width=4, block=16)
-    got = token_counts.scan(blocks, end_id=999, width=4).collect()
+    blocks = token_counts.blocks_of(spark, str(tmp_path), width=4, block=16)
+    got = token_counts.scan(blocks.union(blocks), end_id=999, width=4, block=16, group=group).collect()
     assert sorted((r.file.rsplit("/", 1)[1], r.ordinal, r.start, r.n_tokens, r.ended) for r in got) == sorted(want)
+    assert token_counts.scan(blocks.limit(0), end_id=999, width=4, block=16).count() == 0
+
+
+def test_flat_files_are_flat_and_deleted(spark, docs, plain_reference, tmp_path):
+    named = token_counts.write_flat_files(docs.withColumn("a.b", F.lit(1)), str(tmp_path / "flat")).collect()
+    files = {int(f.stem): np.fromfile(f, "<u2") for f in (tmp_path / "flat").glob("*.bin")}
+    texts = collections.defaultdict(list)
+    for r in sorted(named, key=lambda r: (r.file, r.ordinal)):
+        texts[r.file].append(r.doc_id)
+    known = {i: t for i, t in TEXTS if i not in (None, 1)}
+    for file, ids in texts.items():
+        stops = np.flatnonzero(files[file] == token_counts.END_OF_DOCUMENT)
+        assert len(stops) == len(ids)
+        for i, a, b in zip(ids, [0, *(stops[:-1] + 1)], stops):
+            if i in known:
+                assert files[file][a:b].tolist() == plain_reference(known[i])
+    (tmp_path / "flat" / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="whole identifiers"):
+        token_counts.scan(token_counts.blocks_of(spark, str(tmp_path / "flat"))).collect()
+    with pytest.raises(ValueError, match="fit"):
+        token_counts.write_flat_files(docs, str(tmp_path / "x"), end_id=1 << 16)
+    token_counts.count_tokens(docs)
+    from cueline.llm._common import shared_folder
+
+    assert not list(pathlib.Path(shared_folder(spark).removeprefix("file:")).glob("flat-*"))
 
 
 def test_sampled_pieces_decode_to_the_text(spark, docs):
