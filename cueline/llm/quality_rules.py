@@ -23,10 +23,30 @@ from cueline.llm._common import col, columns, spare
 #: Shortest repeat that counts (words), the share of words such repeats may cover, and the longest one allowed.
 LEAST_REPEAT, MOST_COVERED, LONGEST_REPEAT = 10, 0.2, 100
 LEAST_WORDS, GRAM, MOST_REPEATED = 10, 5, 20
+#: Doublings whose ranks are kept, for texts whose repeats are shorter than two to this power; the memory for longer ones stays the same.
+LEVELS = 8
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 
 
+def _common_prefixes(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Longest common prefixes of neighbours in suffix order, in the order of the text: each is at most one shorter than the last."""
+    n, words = len(ids), ids.tolist()
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    out, length = np.zeros(n, np.int64), 0
+    for i, j in enumerate(before.tolist()):
+        if j < 0:
+            length = 0
+            continue
+        most = n - max(i, j)
+        while length < most and words[i + length] == words[j + length]:
+            length += 1
+        out[i] = length
+        length = max(length - 1, 0)
+    return out[order[1:]]
+
+
 def longest_repeats(ids: np.ndarray) -> np.ndarray:
     """For each position, the length of the longest substring from there that occurs elsewhere too."""
     n = len(ids)
@@ -34,7 +54,8 @@ def longest_repeats(ids: np.ndarray) -> np.ndarray:
         return np.zeros(n, np.int64)
     rank, levels, width = np.unique(ids, return_inverse=True)[1].astype(np.int64), [], 1
     while True:
-        levels.append(rank)
+        if len(levels) < LEVELS:
+            levels.append(rank)
         follow = np.zeros(n, np.int64)
         follow[: n - width] = rank[width:] + 1
         key = rank * (n + 1) + follow
@@ -45,9 +66,13 @@ def longest_repeats(ids: np.ndarray) -> np.ndarray:
         if new[-1] == n - 1:
             break
         width *= 2
-    # longest common prefixes of neighbours in suffix order, from the widest level down
+    # longest common prefixes of neighbours in suffix order: from the widest level down, or one after another
     a, b = order[:-1], order[1:]
-    common = np.zeros(n - 1, np.int64)
+    if width >= 1 << LEVELS:
+        common = _common_prefixes(ids, order)
+        levels = []
+    else:
+        common = np.zeros(n - 1, np.int64)
     for level in range(len(levels) - 1, -1, -1):
         at, bt = a + common, b + common
         inside = (at < n) & (bt < n)

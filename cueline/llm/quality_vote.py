@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+from cueline.llm._common import col
 from cueline.llm.toxicity import sampled
 
 #: Bound on the labelled rows: the decomposition and the voters come from these.
@@ -37,6 +38,10 @@ _LENGTHS, _SHARES, _LINES, _VARIETY = 0, 24, 48, 80
 _ADJACENT, _EMPTY = 120, 121
 _WORD_WEIGHT = 0.3
 _MEMO = 300_000
+#: What features are made of: the shape of a word is told by its first so many signs, and lengths are told up to so many characters.
+SHAPE_SIGNS, LENGTHS = 12, 23
+#: Texts that are compared with the voters at once.
+TOGETHER = 512
 _RUNS = [(re.compile(p), r) for p, r in (("[^\\W\\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a" if m[0].islower() else "Aa"), (r"\d+", "0"), (r"([^\w])\1+", r"\1+"))]
 
 
@@ -48,7 +53,7 @@ def shape_of(word: str) -> str:
     """Letters become a, A or Aa by their case, digits 0, and repeated signs are marked once."""
     for pattern, by in _RUNS:
         word = pattern.sub(by, word)
-    return word[:12]
+    return word[:SHAPE_SIGNS]
 
 
 class Features:
@@ -72,7 +77,7 @@ class Features:
                 three = memo[w] = (
                     _STRUCTURE + _SHAPES + _hash(w.lower()) % _WORDS,
                     _STRUCTURE + _hash(shape_of(w)) % _SHAPES,
-                    _LENGTHS + min(len(w), 23),
+                    _LENGTHS + min(len(w), LENGTHS),
                 )
             found.append(three)
         at = np.array(found)
@@ -184,8 +189,10 @@ def score(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        features = Features()
-        return pd.Series(model.vote(model.latent([features(t) for t in texts])), dtype="float64") if len(texts) else pd.Series([], dtype="float64")
+        features, out = Features(), [np.zeros(0)]
+        for at in range(0, len(texts), TOGETHER):
+            out.append(model.vote(model.latent([features(t) for t in texts.iloc[at : at + TOGETHER]])))
+        return pd.Series(np.concatenate(out), dtype="float64")
 
     return of(text)
 
@@ -193,8 +200,12 @@ def score(model: Model, text: Column) -> Column:
 def with_quality(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Add score and predicted (1 where score >= threshold) to whole documents; all rows and other columns stay.
 
-    Null and empty texts are compared as texts without words.  Columns of those
-    names are replaced.  An empty table gives an empty table.
+    Input: ``doc_id``, ``text``, and further columns of any names; score and
+    predicted are replaced.  Null and empty texts are compared as texts without
+    words.  A text of any length is read whole; features are shares of it.  Rows
+    are scored by themselves, so repeated ones get equal scores; null doc_ids are
+    scored too, but never learned from.  Of voters at one distance any may be among
+    the nearest.  An empty table gives an empty table.
     """
     model = fit(docs, labels, rows=rows)
-    return docs.withColumn("score", score(model, F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn("score", score(model, col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from cueline.llm._common import col
 
 #: Bound on the labelled rows that the model is fitted on.
 LABELLED_ROWS = 20_000
@@ -206,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LA
     Null labels are left out and repeated ones count once.  Without labels, or
     with labels of one kind only, every text scores the share of ones.
     """
-    # bounded: ``rows`` arrays of distinct terms; in a stated order, so that the fit can be repeated
+    # bounded: ``rows`` arrays of distinct terms; in a stated order, so that the fit can be repeated.
+    # The texts are scanned once for them; the driver keeps terms, not texts.
     sample = sorted((bytes(r["terms"]), r["y"]) for r in sampled(docs, labels, label, rows).mapInArrow(_terms, "terms binary, y int").collect())
     found, y = [np.frombuffer(t, "<i4") for t, _ in sample], np.array([float(y) for _, y in sample])
     total, ones = len(y), y.sum()
@@ -227,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LA
 
 
 def score(model: Model, text: Column) -> Column:
-    """The score of each whole text, 0 to 1; null and empty texts score the model's bias."""
+    """The score of each whole text, 0 to 1; null and empty texts, and those without any known term, score the model's bias."""
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
@@ -240,7 +241,12 @@ def score(model: Model, text: Column) -> Column:
 def with_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Add score and predicted (1 where score >= threshold) to whole documents; all rows and other columns stay.
 
-    Columns of those names are replaced.  An empty table gives an empty table.
+    Input: ``doc_id``, ``text``, and further columns of any names; score and
+    predicted are replaced.  Null and empty texts score the bias.  A text of any
+    length is read whole; how long it is counts only through its distinct terms.
+    Rows are scored by themselves, so repeated ones get equal scores, and null
+    doc_ids are scored too, but never learned from.  An empty table gives an empty
+    table.
     """
     model = fit(docs, labels, rows=rows)
-    return docs.withColumn("score", score(model, F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn("score", score(model, col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

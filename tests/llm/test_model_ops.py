@@ -1,7 +1,10 @@
 """Toxicity and quality: held-out accuracy, and awkward tables."""
 
+import re
+
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cueline.llm import quality_vote, queries, toxicity
@@ -31,16 +34,51 @@ def test_quality_held_out(spark):
 @pytest.mark.parametrize("op, module, label", [("with_toxicity", toxicity, "toxic"), ("with_quality", quality_vote, "quality")])
 def test_odd_tables(spark, op, module, label):
     rows = [(1, "you idiot", 5.0), (2, "a kind word", 1.0), (3, None, 0.0), (4, "", 0.0), (None, "x", 0.0), (5, "long " * 50_000, 0.0), (1, "you idiot", 5.0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score double, `a.b` int")
     labels = spark.createDataFrame([(1, 1, "t"), (1, 1, "t"), (2, 0, "t"), (None, 1, "t"), (3, None, "t"), (9, 1, "t")], f"doc_id long, {label} int, text string")
     for some in (labels, labels.limit(0), labels.where(f"{label} = 1")):
         made = getattr(module, op)(docs, some)
-        assert made.columns == ["doc_id", "text", "score", "predicted"]
+        assert made.columns == ["doc_id", "text", "score", "a.b", "predicted"]
         got = made.collect()
         assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     assert getattr(module, op)(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_scores_match_brute_force(spark):
+    """Every pair of a text's terms, one by one."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    place = {int(t): k for k, t in enumerate(model.kept)}
+    got = {r.doc_id: r.score for r in toxicity.with_toxicity(docs, labels).collect()}
+    for r in docs.limit(60).collect():
+        counts = {}
+        for word in re.findall(r"[^\W\d_]+", (r.text or "").lower()):
+            for name in [word, *(word[:k] + "~" for k in (4, 5) if len(word) > k)]:
+                b = xxhash.xxh32(name.encode()).intdigest() % toxicity.BUCKETS
+                counts[b] = counts.get(b, 0) + 1
+        terms = [place[3 * b + k] for b, n in counts.items() for k in range(min(n, 3)) if 3 * b + k in place]
+        s = model.bias + sum(float(model.weights[t]) for t in terms)
+        v = model.factors[terms].astype(float)
+        s += sum(float(v[i] @ v[:i].sum(axis=0)) for i in range(1, len(terms)))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-s)), abs=1e-3)
+
+
+def test_quality_scores_match_brute_force(spark):
+    """Latent vectors by dense products, and votes by a sort of all cosines."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    model, features = quality_vote.fit(docs, labels), quality_vote.Features()
+    got = {r.doc_id: r.score for r in quality_vote.with_quality(docs, labels).collect()}
+    for r in docs.limit(60).collect():
+        bucket, value = features(r.text)
+        x = np.zeros(quality_vote.BUCKETS)
+        x[bucket] = value
+        x = (x * model.weight) @ model.projection
+        cosine = model.vectors @ x / np.linalg.norm(x)
+        top = np.argsort(-cosine)[:25]
+        weight = np.maximum(cosine[top], 1e-3) ** 4
+        assert got[r.doc_id] == pytest.approx((weight * model.labels[top]).sum() / weight.sum(), abs=0.05)
+
+
 def test_terms_tell_how_often():
     """Words and stems count up to three times; terms that aren't kept are left out."""
     bucket = toxicity.buckets_of("insulting")[1]  # its first four letters

@@ -181,6 +181,17 @@ def test_quality_rules_match_brute_force(spark, rows):
     assert quality_rules.with_rules(got.select("doc_id", "text").limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("levels", [1, 2, 3, 8])
+def test_long_and_short_repeats_by_either_way(monkeypatch, levels):
+    monkeypatch.setattr(quality_rules, "LEVELS", levels)
+    rng = np.random.default_rng(levels)
+    for _ in range(60):
+        ids = rng.integers(0, rng.integers(1, 5), rng.integers(0, 40))
+        n = len(ids)
+        want = [max((k for j in range(n) if j != i for k in range(n - max(i, j) + 1) if (ids[i : i + k] == ids[j : j + k]).all()), default=0) for i in range(n)]
+        assert quality_rules.longest_repeats(ids).tolist() == want
+
+
 def test_quality_rules_count_symbols_and_lines(spark):
     r = quality_rules.with_rules(frame(spark, [(1, "a #b\n a #b\na #b\n\n\n \n<|>&%$*")])).first()
     assert (r.n_symbols, r.n_dup_lines, r.n_words) == (10, 1, 7)
