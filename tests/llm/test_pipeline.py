@@ -37,15 +37,18 @@ def test_pipeline_matches_brute_force(spark):
 
 
 def test_stages_take_odd_tables(spark, tmp_path):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(30).withColumns({"score": F.lit("s"), "kept": F.lit("k"), "n_words": F.lit(1)})
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(30).withColumns(
+        {"score": F.lit("s"), "kept": F.lit("k"), "n_words": F.lit(1), "a.b": F.lit(2), "__keys": F.lit(1), "row": F.lit(1), "cut_kept": F.lit("c"), "salt": F.lit(0)}
+    )
     nothing = docs.select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]).limit(2)
-    docs = docs.unionByName(nothing).unionByName(docs.limit(2))
+    long = docs.limit(1).withColumns({"doc_id": F.lit(-5).cast("long"), "text": F.repeat(F.lit("word and more "), 20_000)})
+    docs = docs.unionByName(long).unionByName(nothing).unionByName(docs.limit(2))
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         if k < 4:
             made = stage(spark, docs, DATA)
             assert made.columns == docs.columns
             made.write.parquet(str(tmp_path / str(k)))
             docs = spark.read.parquet(str(tmp_path / str(k)))
-            assert {r.score for r in docs.collect()} <= {"s", None}
+            assert {(r["score"], r["a.b"], r["cut_kept"]) for r in docs.collect()} <= {("s", 2, "c"), (None, None, None)}
         assert stage(spark, docs.limit(0), DATA).count() == 0
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
