@@ -60,27 +60,6 @@ def levels(counts: Counter[int]) -> Iterator[int]:
         yield from range(LEVELS * bucket, LEVELS * bucket + min(n, LEVELS))
 
 
-class Terms:
-    """Finds the kept terms of a text."""
-
-    def __init__(self, kept: np.ndarray) -> None:
-        self._place = {int(t): i for i, t in enumerate(kept)}
-        self._buckets = {t // LEVELS for t in self._place}
-        self._memo: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, text: str | None) -> list[int]:
-        memo, counts = self._memo, Counter()
-        if len(memo) > _MEMO:
-            memo.clear()
-        for word, n in words_in(text).items():
-            buckets = memo.get(word)
-            if buckets is None:
-                buckets = memo[word] = tuple(b for b in buckets_of(word) if b in self._buckets)
-            for b in buckets:
-                counts[b] += n
-        return sorted(self._place[t] for t in levels(counts) if t in self._place)
-
-
 @dataclass
 class Model:
     """Kept terms, bias, weights, and factors (term x factor)."""
@@ -90,13 +69,6 @@ class Model:
     weights: np.ndarray
     factors: np.ndarray
 
-    def score(self, found: list[int]) -> float:
-        return float(_sigmoid(self.bias + _interactions(self.weights[found], self.factors[found])))
-
-
-def _interactions(w: np.ndarray, v: np.ndarray) -> float:
-    return w.sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum())
-
 
 def _sigmoid(x: float | np.ndarray) -> float | np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
@@ -227,13 +199,83 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LA
     return Model(kept, bias, w, v)
 
 
+class _Places(dict):
+    """Numbers distinct words; a word none of whose buckets is kept is 0."""
+
+    def __init__(self, row: dict[int, int]) -> None:
+        self._row, self.rows = row, np.zeros((1024, 1 + len(PREFIXES)), np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self._n = 0
+
+    def __missing__(self, word: str) -> int:
+        found = [r for r in map(self._row.get, buckets_of(word)) if r]
+        if found:
+            self._n += 1
+            if self._n == len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.rows[self._n] = 0
+            self.rows[self._n, : len(found)] = found
+        self[word] = number = self._n if found else 0
+        return number
+
+
+class Scorer:
+    """Scores many texts at once.
+
+    A bucket that occurs n times brings the terms of its first n occurrences, so
+    the sums that the machine needs of it (weights, factors, squared factors) are
+    kept ready for each n.
+    """
+
+    def __init__(self, model: Model) -> None:
+        buckets = np.unique(model.kept // LEVELS)
+        self._bias = model.bias
+        self._sums = np.zeros((len(buckets) + 1, LEVELS, 2 + FACTORS))
+        row = 1 + np.searchsorted(buckets, model.kept // LEVELS)
+        own = np.column_stack((model.weights, (np.asarray(model.factors, float) ** 2).sum(axis=1), model.factors))
+        self._sums[row, model.kept % LEVELS] = own
+        self._sums = self._sums.cumsum(axis=1)
+        self._places = _Places({int(b): k for k, b in enumerate(buckets, 1)})
+
+    def __call__(self, texts: list[str | None], together: int = 256) -> np.ndarray:
+        parts = [self._some(texts[at : at + together]) for at in range(0, len(texts), together)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _some(self, texts: list[str | None]) -> np.ndarray:
+        places, numbers, times, sizes = self._places, [], [], []
+        if len(places) > _MEMO:
+            places.clear()
+        for text in texts:
+            counts = words_in(text)
+            numbers.extend(map(places.__getitem__, counts))
+            times.extend(counts.values())
+            sizes.append(len(counts))
+        number = np.array(numbers, np.int64)
+        known = number > 0
+        row = places.rows[number[known]]
+        owner = np.repeat(np.repeat(np.arange(len(texts)), sizes)[known], row.shape[1])
+        n = np.repeat(np.array(times, np.int64)[known], row.shape[1])
+        row = row.ravel()
+        key, at = np.unique((owner * len(self._sums) + row)[row > 0], return_inverse=True)
+        occurs = np.bincount(at, n[row > 0], len(key)).astype(np.int64)
+        found = self._sums[key % len(self._sums), np.minimum(occurs, LEVELS) - 1]
+        upto = np.concatenate((np.zeros((1, 2 + FACTORS)), found.cumsum(axis=0)))
+        ends = np.searchsorted(key // len(self._sums), np.arange(len(texts) + 1))
+        total = upto[ends[1:]] - upto[ends[:-1]]
+        return _sigmoid(self._bias + total[:, 0] + 0.5 * ((total[:, 2:] ** 2).sum(axis=1) - total[:, 1]))
+
+
 def score(model: Model, text: Column) -> Column:
     """The score of each whole text, 0 to 1; null and empty texts, and those without any known term, score the model's bias."""
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        find = Terms(model.kept)
-        return pd.Series([model.score(find(t)) for t in texts], dtype="float64")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model)
+        for texts in batches:
+            yield pd.Series(scorer(texts.tolist()), dtype="float64")
 
     return of(text)
 

@@ -96,3 +96,22 @@ def repeats(text):
     while longest < len(w) and covered(longest + 1):
         longest += 1
     return len(w), len(covered(5)), len(covered(10)), longest
+
+
+def toxic_terms(model, text):
+    """Places of a text's terms among those that the machine keeps: words and prefixes, up to their third occurrence."""
+    place = {int(t): k for k, t in enumerate(model.kept)}
+    counts = {}
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        for name in [word, *(word[:k] + "~" for k in (4, 5) if len(word) > k)]:
+            b = xxhash.xxh32(name.encode()).intdigest() % (1 << 20)
+            counts[b] = counts.get(b, 0) + 1
+    return [place[3 * b + k] for b, n in counts.items() for k in range(min(n, 3)) if 3 * b + k in place]
+
+
+def machine_score(model, terms):
+    """Every pair of terms, one by one."""
+    s = model.bias + sum(float(model.weights[t]) for t in terms)
+    v = np.asarray(model.factors, float)
+    s += sum(float(v[a] @ v[b]) for k, a in enumerate(terms) for b in terms[:k])
+    return 1 / (1 + np.exp(-s))

@@ -1,13 +1,11 @@
 """Toxicity and quality: held-out accuracy, and awkward tables."""
 
-import re
-
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from cueline.llm import quality_vote, queries, toxicity
+from tests.llm import brute
 
 DATA = "/root/testdata/sf0.1"
 
@@ -45,22 +43,11 @@ def test_odd_tables(spark, op, module, label):
 
 
 def test_toxicity_scores_match_brute_force(spark):
-    """Every pair of a text's terms, one by one."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
-    place = {int(t): k for k, t in enumerate(model.kept)}
     got = {r.doc_id: r.score for r in toxicity.with_toxicity(docs, labels).collect()}
-    for r in docs.limit(60).collect():
-        counts = {}
-        for word in re.findall(r"[^\W\d_]+", (r.text or "").lower()):
-            for name in [word, *(word[:k] + "~" for k in (4, 5) if len(word) > k)]:
-                b = xxhash.xxh32(name.encode()).intdigest() % toxicity.BUCKETS
-                counts[b] = counts.get(b, 0) + 1
-        terms = [place[3 * b + k] for b, n in counts.items() for k in range(min(n, 3)) if 3 * b + k in place]
-        s = model.bias + sum(float(model.weights[t]) for t in terms)
-        v = model.factors[terms].astype(float)
-        s += sum(float(v[i] @ v[:i].sum(axis=0)) for i in range(1, len(terms)))
-        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-s)), abs=1e-3)
+    for r in docs.orderBy(F.length("text")).limit(80).collect():
+        assert got[r.doc_id] == pytest.approx(brute.machine_score(model, brute.toxic_terms(model, r.text)), abs=1e-5)
 
 
 def test_quality_scores_match_brute_force(spark):
@@ -83,9 +70,11 @@ def test_terms_tell_how_often():
     """Words and stems count up to three times; terms that aren't kept are left out."""
     bucket = toxicity.buckets_of("insulting")[1]  # its first four letters
     kept = np.array([toxicity.LEVELS * bucket + k for k in range(toxicity.LEVELS)])
-    find = toxicity.Terms(kept)
+    model = toxicity.Model(kept, 0.0, np.array([1.0, 2.0, 4.0]), np.zeros((3, toxicity.FACTORS)))
     texts = [None, "", "kind words", "Insulting", "insulting, insulted", "insult insults insulted", "insults " * 100_000]
-    assert [find(t) for t in texts] == [[], [], [], [0], [0, 1], [0, 1, 2], [0, 1, 2]]
+    got = toxicity.Scorer(model)(texts, together=2)
+    np.testing.assert_allclose(np.log(got / (1 - got)), [0, 0, 0, 1, 3, 7, 7], atol=1e-9)
+    assert len(toxicity.Scorer(model)([])) == 0
 
 
 def test_the_machine_learns_a_pair():
@@ -96,8 +85,8 @@ def test_the_machine_learns_a_pair():
     y = (both.sum(axis=1) == 2).astype(float)
     bias, w, v = toxicity.fit_machine(rows, y, 2, epochs=60)
     model = toxicity.Model(np.arange(2), bias, w, v)
-    assert model.score([0, 1]) > 0.9
-    assert max(model.score([0]), model.score([1]), model.score([])) < 0.1
+    assert brute.machine_score(model, [0, 1]) > 0.9
+    assert max(brute.machine_score(model, t) for t in ([0], [1], [])) < 0.1
     assert abs(v[0] @ v[1]) > 0.5
 
 
@@ -111,8 +100,8 @@ def test_a_neutral_term_beside_an_insult(spark):
         rows.append((k, " ".join([*words, kind]), int(kind in ("zorvans wuggle", "brakked"))))
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
-    find = toxicity.Terms(model.kept)
-    pair, group, insult = (np.mean([model.score(find(f"{t.rsplit(' ', 1)[0]} {some}")) for _, t, _ in rows[7::80]]) for some in ("zorvans wuggle", "zorvans", "wuggle"))
+    scorer = toxicity.Scorer(model)
+    pair, group, insult = (scorer([f"{t.rsplit(' ', 1)[0]} {some}" for _, t, _ in rows[7::80]]).mean() for some in ("zorvans wuggle", "zorvans", "wuggle"))
     assert pair > 0.7 and max(group, insult) < 0.3
 
 

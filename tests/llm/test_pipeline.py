@@ -18,8 +18,7 @@ def test_pipeline_matches_brute_force(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     machine = toxicity.fit(docs, labels)
-    find = toxicity.Terms(machine.kept)
-    left = [(i, t) for i, t in rows if machine.score(find(t)) < 0.7]
+    left = [(i, t) for i, t in rows if toxicity.Scorer(machine)([t])[0] < 0.7]
     kept = spark.createDataFrame(left, "doc_id long, text string")
     voters, features = quality_vote.fit(kept, labels), quality_vote.Features()
     left = [(i, t) for i, t in left if voters.vote(voters.latent([features(t)]))[0] >= 0.7]
