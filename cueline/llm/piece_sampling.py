@@ -20,9 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from cueline.llm._common import col
 
@@ -32,7 +34,7 @@ UNIT = 33
 ALPHA, SEED = 1.0, 42
 _BLANK = "▁"
 #: Characters of text that are sampled together, or one text.
-TOGETHER = 1_000_000
+TOGETHER = 400_000
 #: Lengths up to which units share a lattice.
 WIDTHS = (4, 7, 10, 14, 20, UNIT)
 
@@ -286,14 +288,19 @@ class Sampler:
 
     def encode(self, texts: list[str | None], keys: list) -> list[np.ndarray]:
         """Ids of one sampled segmentation of each text, determined by the seed, its key and itself."""
-        out, some, size = [], [], 0
-        for k, text in enumerate(texts):
-            some.append(k)
-            size += len(text or "")
-            if size > TOGETHER or k + 1 == len(texts):
-                out.extend(self._some([texts[i] or "" for i in some], [keys[i] for i in some]))
-                some, size = [], 0
-        return out
+        return [ids for a, b in together(list(map(len, (t or "" for t in texts)))) for ids in self._some([t or "" for t in texts[a:b]], keys[a:b])]
+
+
+def together(sizes: list[int], most: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most ``most`` characters, or of one row."""
+    start = size = 0
+    for k, n in enumerate(sizes):
+        if k > start and size + n > most:
+            yield start, k
+            start, size = k, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, seed: int = SEED, alpha: float = ALPHA, name: str = "piece_ids") -> DataFrame:
@@ -306,14 +313,24 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     gives an empty table.
     """
     path = path or default_path()
+    rest = [f for f in docs.schema.fields if f.name.lower() != name.lower()]
 
-    @F.pandas_udf("array<int>")
-    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(Pieces(path, alpha), seed)
-        for keys, texts in batches:
-            yield pd.Series(sampler.encode(list(texts), list(keys)), dtype=object)
-
-    return docs.withColumn(name, of(F.coalesce(col(key).cast("string"), F.lit("")), col(text)))
+        for batch in batches:
+            sizes = [len(t.as_py() or "") for t in batch.column(1)]
+            for a, b in together(sizes, TOGETHER):  # a batch's pieces are handed on bit by bit
+                some = batch.slice(a, b - a)
+                ids = sampler.encode(some.column(1).to_pylist(), some.column(0).to_pylist())
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*some.columns[2:], made], names=names)
+
+    # columns go by plain names on the way, for theirs may hold dots
+    names = [f"c{k}" for k in range(len(rest) + 1)]
+    kinds = StructType([*(StructField(n, f.dataType, f.nullable) for n, f in zip(names, rest)), StructField(names[-1], ArrayType(IntegerType()))])
+    given = docs.select(F.coalesce(col(key).cast("string"), F.lit("")).alias("key"), col(text).alias("text"), *[col(f.name).alias(n) for n, f in zip(names, rest)])
+    return given.mapInArrow(of, kinds).toDF(*(f.name for f in rest), name)
 
 
 def decode(ids: Column, path: str | None = None) -> Column:

@@ -193,6 +193,9 @@ def test_sampled_pieces_decode_to_the_text(spark, docs):
     first = collections.Counter((r.doc_id, r.text, tuple(r.length)) for r in cut.collect())
     assert first == collections.Counter((r.doc_id, r.text, tuple(r.length)) for r in again.collect())
     assert piece_sampling.encode(docs.limit(0)).count() == 0
+    odd = piece_sampling.encode(docs.withColumns({"a.b": F.lit(1), "Piece_IDs": F.lit("x")}))
+    assert odd.columns == [*docs.columns, "a.b", "piece_ids"] and {r["a.b"] for r in odd.collect()} == {1}
+    assert [list(piece_sampling.together(s, 5)) for s in ([], [9], [2, 3, 1, 9, 9, 0])] == [[], [(0, 1)], [(0, 2), (2, 3), (3, 4), (4, 5), (5, 6)]]
 
 
 def test_samples_follow_the_weights_of_all_segmentations():
