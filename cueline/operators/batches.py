@@ -53,6 +53,23 @@ def counters(results: DataFrame, elapsed: str = "elapsed_ms") -> DataFrame:
     ).withColumn("avg_ms", F.coalesce(F.floor(F.try_divide("total_ms", "total") + 0.5), F.lit(0)).cast("long"))
 
 
+def split(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Successes and failures; a result that says neither is a failure."""
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    return results.where(ok), results.where(~ok)
+
+
+def before_abort(results: DataFrame, aborts: DataFrame, at: str = "created_at") -> DataFrame:
+    """Results of batches up to their abort, if any (job_id, aborted_at); slots that were never filled have no row."""
+    ended = aborts.groupBy("job_id").agg(F.min("aborted_at").alias("__aborted"))
+    return results.join(ended, "job_id", "left").where(F.col("__aborted").isNull() | (F.col(at) <= F.col("__aborted"))).select(*results.columns)
+
+
+def filled(slots: DataFrame, result: str) -> DataFrame:
+    """Slots that hold a result."""
+    return slots.where(F.col(result).isNotNull())
+
+
 def together(cached: DataFrame, fresh: DataFrame) -> DataFrame:
     """Cached results before fresh ones; result_order tells them apart."""
     return cached.withColumn("result_order", F.lit(0)).unionByName(fresh.withColumn("result_order", F.lit(1)))

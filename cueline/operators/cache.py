@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueline.operators import snapshots
@@ -54,10 +54,46 @@ def save(cache: DataFrame, rows: DataFrame, order: str | None = None) -> DataFra
     return snapshots.upsert(cache, rows, "video_id", order)
 
 
+#: Parts that a range of times is counted in at once, and so the most rows that come to the driver.
+_PARTS = 1024
+
+
+def _cutoff(times: DataFrame, n: int) -> tuple[int, int]:
+    """The ``n``-th smallest of a column k, and how many of the rows with that value are among the ``n`` smallest.
+
+    The range is counted in parts, then the part that holds the n-th value, until
+    that is one value: a few counts over one column, and nothing is sorted.
+    """
+    low, high = times.agg(F.min("k"), F.max("k")).first()
+    while low < high:
+        width = (high - low) // _PARTS + 1
+        part = F.expr(f"(k - {low}L) div {width}L")
+        counts = sorted(tuple(r) for r in times.where(F.col("k").between(low, high)).groupBy(part.alias("part")).count().collect())
+        for part, many in counts:
+            if many >= n:
+                break
+            n -= many
+        low, high = low + part * width, min(high, low + (part + 1) * width - 1)
+    return low, n
+
+
 def evict_oldest(cache: DataFrame, n: int) -> DataFrame:
-    """Without the ``n`` rows accessed longest ago; ties go by video_id."""
-    gone = cache.select("video_id", "last_accessed_at").orderBy("last_accessed_at", "video_id").limit(n)
-    return cache.join(gone.select("video_id"), "video_id", "left_anti")
+    """Without the ``n`` rows accessed longest ago; rows without a time go first, ties by video_id.
+
+    The time up to which rows go is found by counting; only rows of exactly that
+    time, of which some go and some stay, are put in order.
+    """
+    if n <= 0:
+        return cache
+    if n >= cache.count():
+        return cache.limit(0)
+    known = F.unix_micros("last_accessed_at")
+    first = cache.agg(F.min(known)).first()[0]
+    k = F.coalesce(known, F.lit((first or 0) - 1))
+    last, few = _cutoff(cache.select(k.alias("k")), n)
+    edge = cache.where(k == last)
+    gone = edge.select("video_id").orderBy("video_id").limit(few)
+    return cache.where(k > last).unionByName(edge.join(gone, "video_id", "left_anti").select(*cache.columns))
 
 
 def evict_older_than(cache: DataFrame, days: int, now: datetime) -> DataFrame:
@@ -112,7 +148,3 @@ def hit_rate(requested: DataFrame, cache: DataFrame) -> DataFrame:
     return marked.agg(F.count("*").alias("requested"), F.count("__hit").alias("hits")).withColumn(
         "hit_rate", F.coalesce(F.try_divide(F.col("hits") * 100.0, F.col("requested")), F.lit(0.0))
     )
-
-
-def recent_rank(cache: DataFrame) -> DataFrame:
-    return cache.withColumn("recency", F.row_number().over(Window.orderBy(F.desc("last_accessed_at"), "video_id")))

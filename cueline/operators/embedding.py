@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueline.operators import chunking
@@ -43,6 +43,23 @@ def with_embedding(rows: DataFrame, text: str = "text", embedder: Embedder | Non
     return rows.withColumn(name, of(F.col(text)))
 
 
+def mean_pooled(tokens: Column) -> Column:
+    """The mean of a text's token vectors, scaled to length one; null without tokens, zero where they cancel."""
+    n = F.size(tokens)
+    total = F.reduce(
+        F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))), F.get(tokens, F.lit(0)).cast("array<double>"),
+        lambda s, t: F.zip_with(s, t.cast("array<double>"), lambda x, y: x + y),
+    )
+    mean = F.transform(total, lambda x: x / n)
+    length = F.sqrt(F.aggregate(mean, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(n > 0, F.transform(mean, lambda x: x / F.when(length == 0, 1.0).otherwise(length)))
+
+
+def by_ordinal(rows: DataFrame, answers: DataFrame, by: list[str], ordinal: str, index: str = "index") -> DataFrame:
+    """Rows with the answers to them, which come in any order and name the row by its place from 0."""
+    return rows.join(answers.withColumnRenamed(index, ordinal), [*by, ordinal])
+
+
 def embed_transcripts(store: DataFrame | None, segments: DataFrame, options: chunking.ChunkingOptions | None = None, embedder: Embedder | None = None) -> DataFrame:
     """Chunk, embed and store: the chunks of each video take the place of all it had before.
 

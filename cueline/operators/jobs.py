@@ -31,6 +31,10 @@ def current_state(events: DataFrame) -> DataFrame:
     )
 
 
+def get(jobs: DataFrame, job_id: object) -> DataFrame:
+    return jobs.where(F.col("job_id") == F.lit(job_id))
+
+
 def create(jobs: DataFrame, rows: DataFrame) -> DataFrame:
     return snapshots.insert(jobs, rows, "job_id")
 

@@ -87,8 +87,13 @@ def daily(events: DataFrame, at: str, success: Column, value: str) -> DataFrame:
     )
 
 
-def percentiles(events: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, p50, p95, p99) over all values, interpolated."""
+def percentiles(events: DataFrame, key: str, value: str, accuracy: int | None = None) -> DataFrame:
+    """(key, p50, p95, p99) over all values: interpolated, or, with an ``accuracy``, within a share of 1 / accuracy of the ranks.
+
+    Interpolation keeps the distinct values of a key in one task; a key with very many of them asks for an accuracy.
+    """
+    if accuracy:
+        return events.groupBy(key).agg(*[F.percentile_approx(value, p / 100, accuracy).alias(f"p{p}") for p in (50, 95, 99)])
     return events.groupBy(key).agg(*[F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in (50, 95, 99)])
 
 
@@ -98,6 +103,25 @@ def running_tokens(deltas: DataFrame, key: str, order: str, text: str = "text")
     return deltas.withColumn("tokens", F.sum(F.ceil(F.length(text) / 4)).over(w))
 
 
+def rotated(trials: DataFrame, ordinal: str, inputs: list, name: str = "input") -> DataFrame:
+    """Trials with the input whose turn it is: the ordinal modulo the number of inputs, from the first."""
+    return trials.withColumn(name, F.get(F.array(*map(F.lit, inputs)), F.pmod(F.col(ordinal), F.lit(len(inputs))).cast("int")))
+
+
+def metric_records(events: DataFrame, operation: str, duration: str, context: list[str] | None = None) -> DataFrame:
+    """Log records (level, message, operation, duration, metric, *context) of timed operations."""
+    return events.select(
+        F.lit("info").alias("level"), F.concat(F.lit("Performance: "), F.col(operation)).alias("message"), F.col(operation).alias("operation"),
+        F.col(duration).alias("duration"), F.lit(True).alias("metric"), *(context or []),
+    )
+
+
+def request_records(requests: DataFrame, context: list[str] | None = None) -> DataFrame:
+    """Log records of requests (method, path, status_code, duration)."""
+    said = F.concat_ws(" ", F.lit("HTTP"), "method", "path", F.col("status_code").cast("string"))
+    return requests.select(F.lit("info").alias("level"), said.alias("message"), "method", "path", "status_code", "duration", *(context or []))
+
+
 def newer_than(source: DataFrame, target: DataFrame, mark: str) -> DataFrame:
     """Rows of the source past the target's high-water mark; all of them if the target is empty."""
     top = target.agg(F.max(mark).alias("__top"))

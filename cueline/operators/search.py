@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueline.functions.timecode import deep_link, label
+from cueline.operators import snapshots
 
 HIGH, MEDIUM = 0.85, 0.7
 
@@ -24,15 +25,19 @@ class InvalidInput(ValueError):
 
 @dataclass
 class Filters:
-    """Conditions on a vector's metadata; those given must all hold."""
+    """Conditions on a vector's metadata; those given must all hold.
+
+    With ``list_replaces_id`` a list of videos takes the place of a single one, where both are given.
+    """
 
     video_id: object = None
     video_ids: list | None = None
     start_between: tuple[float | None, float | None] = (None, None)
+    list_replaces_id: bool = False
 
     def condition(self, video: str = "video_id", start: str = "start_time") -> Column:
         out = F.lit(True)
-        if self.video_id is not None:
+        if self.video_id is not None and not (self.list_replaces_id and self.video_ids is not None):
             out = out & (F.col(video) == F.lit(self.video_id))
         if self.video_ids is not None:
             out = out & F.col(video).isin(*self.video_ids)
@@ -171,3 +176,38 @@ def group_by_video(ranked: DataFrame, id_col: str = "id") -> DataFrame:
 def store_stats(vectors: DataFrame) -> DataFrame:
     """One row: total_chunks and total_videos; only the video column is read."""
     return vectors.select("video_id").agg(F.count("*").alias("total_chunks"), F.countDistinct("video_id").alias("total_videos"))
+
+
+STORED = ["chunk_id", "video_id", "video_url", "video_title", "chunk_index", "start_time", "end_time", "segment_count", "text", "embedding"]
+
+
+def as_stored(chunks: DataFrame) -> DataFrame:
+    """Chunks as a store keeps them: their segments become a count, a missing title is empty."""
+    if "segments" in chunks.columns:
+        chunks = chunks.withColumn("segment_count", F.size("segments").cast("long"))
+    return chunks.withColumn("video_title", F.coalesce("video_title", F.lit(""))).select(*STORED)
+
+
+class VectorStore:
+    """Vectors behind one interface; each change replaces the table that the store holds."""
+
+    def __init__(self, rows: DataFrame, id_col: str = "id") -> None:
+        self.rows, self.id_col = rows, id_col
+
+    def add(self, rows: DataFrame) -> None:
+        self.rows = snapshots.append(self.rows, rows)
+
+    def upsert(self, rows: DataFrame) -> None:
+        self.rows = snapshots.upsert(self.rows, rows, self.id_col)
+
+    def delete_video(self, video_id: object) -> None:
+        self.rows = snapshots.delete(self.rows, F.col("video_id") == F.lit(video_id))
+
+    def clear(self) -> None:
+        self.rows = snapshots.clear(self.rows)
+
+    def search(self, query: list[float], k: int = 10, min_score: float | None = None, filters: Filters | None = None) -> DataFrame:
+        return nearest(self.rows, query, k, min_score, filters, self.id_col)
+
+    def stats(self) -> DataFrame:
+        return store_stats(self.rows)

@@ -6,7 +6,9 @@ Parquet files are not changed in place.  Each function returns the new state;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,5 +64,23 @@ def replace_for(table: DataFrame, rows: DataFrame, owner: str) -> DataFrame:
     return table.join(rows.select(owner).distinct(), owner, "left_anti").unionByName(rows.select(*table.columns))
 
 
+def stamp(now: datetime) -> str:
+    """A time as it stands in a file's name: to the second, without colons."""
+    return now.strftime("%Y-%m-%dT%H-%M-%S")
+
+
+def backup(table: DataFrame, folder: str, now: datetime, name: str = "transcripts") -> str:
+    """Write a copy named after the time, and return its path; an existing one is refused."""
+    path = f"{folder.rstrip('/')}/{name}-{stamp(now)}"
+    table.write.mode("error").parquet(path)
+    return path
+
+
+def create_if_missing(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at a path, made empty if there is none."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def clear(table: DataFrame) -> DataFrame:
     return table.limit(0)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline.functions import text, timecode, urls
-from cueline.operators import batches, cache, chat, chunking, embedding, jobs, metrics, search, snapshots, transcripts
+from cueline.operators import batches, cache, chat, chunking, embedding, jobs, metrics, records, search, snapshots, transcripts
 from cueline.plans import tables as t
 from cueline.plans.tables import CACHE_SQL, JOBS_SQL, REQUESTS_SQL, RESULTS_SQL, SEGMENTS_SQL, TRIALS_SQL
 from cueline.sources import files, pages
@@ -126,6 +126,46 @@ def search_items(spark, sf_dir):
     )
 
 
+@query(f"{_SCORED} SELECT id, video_id, round(score, 6) AS score FROM s WHERE video_id IN (1, 4) ORDER BY s.score DESC, id LIMIT 10")
+def knn_list_replaces_id(spark, sf_dir):
+    return _ids(_hits(spark, sf_dir, k=10, filters=search.Filters(video_id=3, video_ids=[1, 4], list_replaces_id=True)))
+
+
+@query(
+    f"""{_SCORED} SELECT video_id, 'https://youtu.be/v' || id AS video_url, printf('%d:%02d', id // 60, id % 60) AS timestamp, 'said ' || id AS text, round(score, 6) AS score
+FROM s ORDER BY s.score DESC, s.id LIMIT 5"""
+)
+def citations(spark, sf_dir):
+    i = F.col("id").cast("string")
+    hits = _hits(spark, sf_dir, k=5).withColumns(
+        {"video_url": F.concat(F.lit("https://youtu.be/v"), i), "video_title": F.lit(""), "chunk_index": F.col("id"), "text": F.concat(F.lit("said "), i), "end_time": F.col("start_time") + 3}
+    )
+    return search.citations(hits).select("video_id", "video_url", "timestamp", "text", F.round("score", 6).alias("score"))
+
+
+@query(
+    """SELECT vec_id AS id, label AS video_id, '' AS video_title, 2::BIGINT AS segment_count FROM embeddings
+UNION ALL SELECT vec_id + 1000000, label, '', 2 FROM embeddings WHERE vec_id % 2 = 0"""
+)
+def vector_add(spark, sf_dir):
+    v = t.vectors(spark, sf_dir)
+    said = F.array(F.lit("a"), F.lit("b"))
+    rows = search.as_stored(
+        v.select(F.col("id").alias("chunk_id"), "video_id", F.lit("u").alias("video_url"), F.lit(None).cast("string").alias("video_title"), F.lit(0).alias("chunk_index"),
+                 "start_time", F.col("start_time").alias("end_time"), said.alias("segments"), F.lit("t").alias("text"), "embedding")
+    )
+    store = search.VectorStore(rows, "chunk_id")
+    store.add(rows.where("chunk_id % 2 = 0").withColumn("chunk_id", F.col("chunk_id") + 1_000_000))
+    return store.rows.select(F.col("chunk_id").alias("id"), "video_id", "video_title", "segment_count")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE false")
+def vector_clear(spark, sf_dir):
+    store = search.VectorStore(t.vectors(spark, sf_dir))
+    store.clear()
+    return store.rows.select("id")
+
+
 @query("SELECT count(*) AS total_chunks, count(DISTINCT label) AS total_videos FROM embeddings")
 def vector_stats(spark, sf_dir):
     return search.store_stats(t.vectors(spark, sf_dir))
@@ -227,10 +267,42 @@ def chunk_preview(spark, sf_dir):
     return chunking.preview(chunking.chunk_by_time(t.segments(spark, sf_dir), 30, 5))
 
 
-@query()
+_TOKEN_SQL = _SQL["chunk_token"].replace("w * 320", "w * 1400").replace("320.0", "1400.0").replace("+ 400", "+ 1600").replace("+ 1, 400", "+ 1, 1600")
+
+
+@query(f"""SELECT video_id || '_' || chunk_index AS chunk_id, video_id, chunk_index, 384 AS dimensions, 1.0::DOUBLE AS norm FROM ({_TOKEN_SQL})""")
 def chunk_embeddings(spark, sf_dir):
     made = embedding.embed_transcripts(None, t.segments(spark, sf_dir), chunking.ChunkingOptions("token-based"))
-    return made.select("chunk_id", "video_id", "chunk_index", F.size("embedding").alias("dimensions"), F.round(search.norm(F.col("embedding")), 6).alias("norm"))
+    return made.select("chunk_id", "video_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("embedding").alias("dimensions"), F.round(search.norm(F.col("embedding")), 5).alias("norm"))
+
+
+@query(
+    f"""SELECT video_id || '_' || chunk_index AS chunk_id, 'time-based' AS strategy, segment_count::VARCHAR AS segments
+FROM ({_time_sql(30, 25)})"""
+)
+def chunk_ids_metadata(spark, sf_dir):
+    made = chunking.chunk_by_time(t.segments(spark, sf_dir), 30, 5)
+    return made.select("chunk_id", F.col("metadata")["strategy"].alias("strategy"), F.col("segment_count").cast("string").alias("segments"))
+
+
+@query("SELECT query_id, ordinal, text FROM (SELECT conv_id AS query_id, turn AS ordinal, text FROM conversations)")
+def answers_by_ordinal(spark, sf_dir):
+    said = t.table(spark, sf_dir, "conversations")
+    asked = said.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("ordinal"))
+    answers = said.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("index"), "text").orderBy(F.desc("index"))
+    return embedding.by_ordinal(asked, answers, ["query_id"], "ordinal").select("query_id", "ordinal", "text")
+
+
+@query(
+    """WITH m AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: (x + 1.0) / 2) AS m FROM embeddings)
+SELECT vec_id, round(m[1] / sqrt(list_sum(list_transform(m, lambda x: x * x))), 6) AS first, 1.0::DOUBLE AS norm FROM m"""
+)
+def mean_pooling(spark, sf_dir):
+    """Two token vectors a row: its own, and one of ones."""
+    v = t.table(spark, sf_dir, "embeddings")
+    tokens = F.array("embedding", F.transform("embedding", lambda x: F.lit(1.0).cast("float")))
+    pooled = v.select("vec_id", embedding.mean_pooled(tokens).alias("p"))
+    return pooled.select("vec_id", F.round(F.col("p")[0], 6).alias("first"), F.round(search.norm(F.col("p")), 6).alias("norm"))
 
 
 @query(
@@ -354,6 +426,89 @@ def html_transcript(spark, sf_dir):
     return pages.transcript_segments(made).withColumn("idx", F.col("idx").cast("long"))
 
 
+@query(
+    f"""WITH {_ADDRESSES_SQL} SELECT ord, CASE form WHEN 6 THEN '@user' || i WHEN 2 THEN 'embed' WHEN 3 THEN 'v' WHEN 7 THEN NULL WHEN 1 THEN i ELSE 'watch' END AS identifier,
+  CASE form WHEN 6 THEN '@user' || i WHEN 7 THEN NULL ELSE '' END AS channel_id, CASE form WHEN 6 THEN '@user' || i WHEN 7 THEN NULL ELSE '' END AS handle,
+  CASE form WHEN 6 THEN url || '/videos' END AS videos_page, 'https://www.youtube.com/watch?v=' || i AS watch_url FROM addresses"""
+)
+def channel_addresses(spark, sf_dir):
+    u, form = F.col("url"), F.col("ord") % 8
+    known = form != 7
+    return _addresses(spark, sf_dir).select(
+        "ord", F.when(known, urls.channel_identifier(u)).alias("identifier"), F.when(known, urls.channel_id(u)).alias("channel_id"),
+        F.when(known, urls.channel_handle(u)).alias("handle"), F.when(urls.is_channel_url(u), urls.channel_videos_page(u)).alias("videos_page"),
+        urls.watch_url(F.lpad((F.col("ord") % 400).cast("string"), 11, "0")).alias("watch_url"),
+    )
+
+
+@query(
+    """SELECT event_id AS url, 'Page ' || event_id AS title, lpad((event_id % 97)::VARCHAR, 11, '0') || '|' || lpad((event_id % 97 + 1)::VARCHAR, 11, 'x') AS video_ids FROM events"""
+)
+def page_video_ids(spark, sf_dir):
+    """Pages that link to one video twice and to another once."""
+    i = F.col("event_id") % 97
+    link = lambda id_: F.concat(F.lit('<a href="/watch?v='), id_, F.lit('&amp;t=1">x</a>'))
+    one, two = F.lpad(i.cast("string"), 11, "0"), F.lpad((i + 1).cast("string"), 11, "x")
+    html = F.concat(F.lit("<title>Page "), F.col("event_id").cast("string"), F.lit("</title>"), link(one), link(two), link(one))
+    made = pages.video_ids(t.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("url"), html.alias("html")))
+    return made.select(F.col("url").cast("long").alias("url"), "title", F.array_join("video_ids", "|").alias("video_ids"))
+
+
+@query("SELECT page_id::VARCHAR AS url, 'NO_TRANSCRIPT' AS error_code FROM pages")
+def pages_without_transcript(spark, sf_dir):
+    return pages.without_transcript(t.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html"))
+
+
+@query("""SELECT conv_id, turn, 'data: {"turn":' || turn || ',"role":"' || role || '"}' || chr(10) || chr(10) AS value FROM conversations""")
+def event_stream_formatted(spark, sf_dir):
+    said = t.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return files.format_event_stream(said, ["turn", "role"], ["conv_id", "turn"])
+
+
+# ---- records
+
+
+@query(
+    """SELECT doc_id AS video_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS video_title, CASE WHEN doc_id % 2 = 0 THEN 'absent' ELSE '1' END AS extraction_time_ms,
+  NULL::VARCHAR AS error_code, source AS said, 1 AS n_segments FROM documents"""
+)
+def transcript_records(spark, sf_dir):
+    rows = t.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("video_id"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("video_title"),
+        F.array(F.struct(F.lit("0:00").alias("time"), F.col("source").alias("text"))).alias("transcript_json"), F.lit("").alias("srt_text"),
+        F.lit("x").alias("plain_text"), (F.col("doc_id") % 2).alias("extraction_time_ms"), F.lit("").alias("error_code"), F.lit(None).cast("string").alias("error_message"),
+    )
+    made = records.transcripts(records.encoded(rows, "transcript_json"))
+    took = F.coalesce(F.col("extraction_time_ms").cast("string"), F.lit("absent")).alias("extraction_time_ms")
+    return made.select("video_id", "video_title", took, "error_code", F.col("transcript")[0]["text"].alias("said"), F.size("transcript").alias("n_segments"))
+
+
+@query(
+    """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS error_message, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority FROM orders"""
+)
+def job_records(spark, sf_dir):
+    rows = t.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.lit(None).cast("timestamp").alias("completed_at"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("").alias("error_message"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.to_json(F.struct(F.col("o_orderpriority").alias("priority")))).otherwise("").alias("metadata"),
+    )
+    return records.jobs(rows.drop("completed_at")).select("job_id", "error_message", F.col("metadata")["priority"].alias("priority"))
+
+
+@query("SELECT l_orderkey AS job_id, l_linenumber AS id, l_linenumber = 1 AS success, nullif(l_quantity::BIGINT, 0) AS processing_time_ms, nullif(l_linestatus, 'F') AS error_code FROM lineitem")
+def job_result_records(spark, sf_dir):
+    rows = t.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("id"), F.col("l_linenumber").alias("success"),
+        F.col("l_quantity").cast("long").alias("processing_time_ms"), F.when(F.col("l_linestatus") == "F", "").otherwise(F.col("l_linestatus")).alias("error_code"),
+    )
+    return records.job_results(rows)
+
+
+@query("SELECT 'documents' AS table_name, count(*) AS n_rows FROM documents UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+def table_counts(spark, sf_dir):
+    return records.table_counts({n: t.table(spark, sf_dir, n) for n in ("documents", "orders", "lineitem")})
+
+
 # ---- the cache
 
 
@@ -456,6 +611,39 @@ def evict_size_10pct(spark, sf_dir):
     return cache.run_eviction(t.cache(spark, sf_dir), policy, NOW)[0].select("video_id")
 
 
+@query(
+    f"""WITH {CACHE_SQL}, n AS (SELECT count(*) AS n, sum(length(transcript))::BIGINT AS c FROM cache),
+left_ AS (SELECT length(transcript) AS l FROM cache ORDER BY last_accessed_at, video_id OFFSET (SELECT ceil(n / 10.0)::BIGINT FROM n))
+SELECT ceil(n / 10.0)::BIGINT AS evicted, n AS entries_before, n - ceil(n / 10.0)::BIGINT AS entries_after, c AS chars_before, (SELECT sum(l)::BIGINT FROM left_) AS chars_after FROM n"""
+)
+def eviction_report(spark, sf_dir):
+    policy = cache.EvictionPolicy("lru", max_entries=1 << 60, max_megabytes=0.001)
+    report = cache.run_eviction(t.cache(spark, sf_dir), policy, NOW)[1]
+    return spark.createDataFrame([tuple(report.values())], ", ".join(f"{k} long" for k in report))
+
+
+@query("SELECT doc_id AS video_id, source AS video_title FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 2 = 1")
+def cache_insert(spark, sf_dir):
+    rows = t.cache(spark, sf_dir).select("video_id", "video_title")
+    return snapshots.insert(rows.where("video_id % 2 = 0"), rows.where("video_id % 2 = 1"), "video_id")
+
+
+@query("SELECT doc_id AS video_id FROM documents UNION ALL SELECT doc_id FROM documents WHERE doc_id % 5 = 0")
+def cache_append(spark, sf_dir):
+    rows = t.cache(spark, sf_dir).select("video_id")
+    return snapshots.append(rows, rows.where("video_id % 5 = 0"))
+
+
+@query("SELECT doc_id AS video_id FROM documents WHERE false")
+def cache_clear(spark, sf_dir):
+    return snapshots.clear(t.cache(spark, sf_dir)).select("video_id")
+
+
+@query(f"WITH {CACHE_SQL} SELECT video_id, (access_count + CASE WHEN video_id = 7 THEN 1 ELSE 0 END)::BIGINT AS access_count FROM cache WHERE video_id = 7")
+def cache_get_touched(spark, sf_dir):
+    return cache.get(t.cache(spark, sf_dir), 7, NOW)[0].select("video_id", F.col("access_count").cast("long").alias("access_count"))
+
+
 # ---- jobs
 
 
@@ -531,6 +719,30 @@ def batch_counters(spark, sf_dir):
     return batches.counters(t.results(spark, sf_dir))
 
 
+@query(f"WITH {JOBS_SQL} SELECT job_id, type, status FROM jobs WHERE job_id = 33")
+def job_get(spark, sf_dir):
+    return jobs.get(t.jobs(spark, sf_dir), 33).select("job_id", "type", "status")
+
+
+@query(f"WITH {RESULTS_SQL} SELECT success AS part, job_id, id FROM results")
+def results_split(spark, sf_dir):
+    ok, failed = batches.split(t.results(spark, sf_dir))
+    part = lambda df, name: df.select(F.lit(name).alias("part"), "job_id", "id")
+    return part(ok, True).unionByName(part(failed, False))
+
+
+@query(
+    f"""WITH {RESULTS_SQL}, aborts AS (SELECT o_orderkey AS job_id, o_orderdate + INTERVAL 40 DAY AS aborted_at FROM orders WHERE o_orderkey % 2 = 0)
+SELECT r.job_id, id FROM results r LEFT JOIN aborts USING (job_id) WHERE (aborted_at IS NULL OR created_at <= aborted_at) AND id % 3 <> 0"""
+)
+def aborted_batches(spark, sf_dir):
+    aborts = t.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(
+        F.col("o_orderkey").alias("job_id"), (F.col("o_orderdate") + F.expr("interval 40 days")).alias("aborted_at")
+    )
+    slots = t.results(spark, sf_dir).withColumn("result", F.when(F.col("id") % 3 != 0, F.col("video_id")))
+    return batches.filled(batches.before_abort(slots, aborts), "result").select("job_id", "id")
+
+
 # ---- figures
 
 
@@ -625,6 +837,24 @@ def perf_percentiles(spark, sf_dir):
     return made.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS input FROM events")
+def rotated_inputs(spark, sf_dir):
+    return metrics.rotated(t.table(spark, sf_dir, "events").select("event_id"), "event_id", ["a", "b", "c"])
+
+
+@query("SELECT event_id, 'Performance: ' || event_type AS message, event_type AS operation, value AS duration, true AS metric FROM events")
+def log_metric_records(spark, sf_dir):
+    return metrics.metric_records(t.table(spark, sf_dir, "events"), "event_type", "value", ["event_id"]).drop("level")
+
+
+@query("SELECT event_id, 'HTTP GET /' || event_type || ' ' || (200 + event_id % 3) AS message FROM events")
+def log_request_records(spark, sf_dir):
+    asked = t.table(spark, sf_dir, "events").select(
+        "event_id", F.lit("GET").alias("method"), F.concat(F.lit("/"), "event_type").alias("path"), (200 + F.col("event_id") % 3).alias("status_code"), F.col("value").alias("duration")
+    )
+    return metrics.request_records(asked, ["event_id"]).select("event_id", "message")
+
+
 @query("SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)")
 def incremental_sync(spark, sf_dir):
     source = t.table(spark, sf_dir, "events").select("event_id")
@@ -676,6 +906,31 @@ def progress_events(spark, sf_dir):
     return _progress(spark, sf_dir).select("job_id", F.col("done").cast("long").alias("done"), F.col("total").cast("long").alias("total"), "status", "message")
 
 
+@query(
+    f"""WITH {_PROGRESS_SQL}, n AS (
+  SELECT job_id, count(*) AS processed, count(*) + CASE WHEN job_id % 3 = 2 THEN 2 ELSE 0 END AS total,
+    CASE job_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'aborted' END AS status FROM results GROUP BY job_id
+)
+SELECT job_id, 0::BIGINT AS seq, 'started' AS status, 0 AS done, total::INT AS total, NULL::VARCHAR AS video_id, NULL::VARCHAR AS message FROM n
+UNION ALL SELECT p.job_id, 2 * done - 1, 'processing', (done - 1)::INT, n.total::INT, video_id::VARCHAR, NULL FROM progress p JOIN n USING (job_id)
+UNION ALL SELECT p.job_id, 2 * done, 'processing', done::INT, n.total::INT, video_id::VARCHAR, CASE WHEN NOT success THEN 'failed' END FROM progress p JOIN n USING (job_id)
+UNION ALL SELECT job_id, 2 * total + 1, status, CASE status WHEN 'completed' THEN total WHEN 'aborted' THEN processed ELSE 0 END::INT, total::INT, NULL,
+  CASE WHEN status = 'failed' THEN 'broken' END FROM n"""
+)
+def progress_lifecycle(spark, sf_dir):
+    done = _progress(spark, sf_dir)
+    items = done.select(
+        "job_id", (F.col("done") - 1).alias("idx"), "video_id", F.col("at").alias("started_at"), F.col("at").alias("ended_at"), F.col("message").isNull().alias("success"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    three = F.col("job_id") % 3
+    ended = done.groupBy("job_id").agg(F.count("*").alias("n"), F.min("at").alias("started_at"), F.max("at").alias("ended_at")).select(
+        "job_id", (F.col("n") + F.when(three == 2, 2).otherwise(0)).alias("total"), "started_at", "ended_at",
+        F.when(three == 0, "completed").when(three == 1, "failed").otherwise("aborted").alias("status"), F.lit("broken").alias("error"),
+    )
+    return progress.lifecycle(items, ended).drop("at")
+
+
 @query(f"WITH {_PROGRESS_SQL} SELECT job_id, 'completed' AS status, max(done) AS done, max(total) AS total FROM progress GROUP BY job_id")
 def progress_latest(spark, sf_dir):
     events = _progress(spark, sf_dir).withColumn("at", F.timestamp_seconds("seq"))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Names of formats.
+FORMATS = ["json", "srt", "text"]
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -35,9 +40,9 @@ def parse_event_stream(lines: DataFrame, schema: str, order: str, by: list[str],
     )
 
 
-def format_event_stream(events: DataFrame, columns: list[str]) -> DataFrame:
-    """(value): each row as a server-sent event."""
-    return events.select(F.concat(F.lit("data: "), F.to_json(F.struct(*columns)), F.lit("\n\n")).alias("value"))
+def format_event_stream(events: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(*by, value): each row as a server-sent event."""
+    return events.select(*(by or []), F.concat(F.lit("data: "), F.to_json(F.struct(*columns)), F.lit("\n\n")).alias("value"))
 
 
 def replace(df: DataFrame, folder: str) -> str:
@@ -56,6 +61,22 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def append_log(records: DataFrame, path: str, now: datetime) -> None:
+    """Append log records as JSON lines, in a folder for each day, so that old days can be dropped whole."""
+    records.withColumns({"timestamp": F.lit(now), "day": F.lit(now.strftime("%Y-%m-%d"))}).write.mode("append").partitionBy("day").json(path)
+
+
+class InvalidFormat(ValueError):
+    code = "INVALID_FORMAT"
+
+
+def check_format(name: str | None) -> str:
+    """The name of a transcript's format; none is json, an unknown one is refused."""
+    if name and name not in FORMATS:
+        raise InvalidFormat(f"{name} is not one of {', '.join(FORMATS)}")
+    return name or FORMATS[0]
+
+
 def report(title: str, summary: DataFrame, most: int = 1000) -> str:
     """A small summary as a Markdown table; summaries are figures, not data, and over ``most`` rows are refused."""
     rows = summary.limit(most + 1).collect()

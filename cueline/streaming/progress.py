@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -33,6 +33,35 @@ def emit_progress(results: DataFrame) -> DataFrame:
     )
 
 
+def lifecycle(items: DataFrame, jobs: DataFrame) -> DataFrame:
+    """All progress events of jobs: started, each item begun and done, and how the job ended.
+
+    ``items``: job_id, idx (from 0), video_id, started_at, ended_at, success, error,
+    for the items that were processed; ``jobs``: job_id, total, status (completed,
+    failed or aborted), started_at, ended_at, error.  ``done`` is the index of an
+    item that begins, one more when it is done, all at completion, 0 at a failure,
+    and the number of items processed at an abort.
+    """
+    both = items.join(jobs.select("job_id", "total"), "job_id")
+    processed = jobs.join(items.groupBy("job_id").agg(F.count("*").alias("processed")), "job_id", "left")
+    done = F.when(F.col("status") == "completed", F.col("total")).when(F.col("status") == "aborted", F.coalesce("processed", F.lit(0))).otherwise(0)
+
+    def event(df: DataFrame, seq: Column, at: str, status: Column, done: Column, video: Column, message: Column) -> DataFrame:
+        return df.select(
+            "job_id", seq.cast("long").alias("seq"), F.col(at).alias("at"), status.alias("status"), done.cast("int").alias("done"),
+            F.col("total").cast("int").alias("total"), video.alias("video_id"), message.alias("message"),
+        )
+
+    none, idx = F.lit(None).cast("string"), F.col("idx")
+    video, busy = F.col("video_id").cast("string"), F.lit("processing")
+    return (
+        event(jobs, F.lit(0), "started_at", F.lit("started"), F.lit(0), none, none)
+        .unionByName(event(both, 2 * idx + 1, "started_at", busy, idx, video, none))
+        .unionByName(event(both, 2 * idx + 2, "ended_at", busy, idx + 1, video, F.when(~F.col("success"), F.coalesce("error", F.lit("failed")))))
+        .unionByName(event(processed, 2 * F.col("total") + 1, "ended_at", F.col("status"), done, none, F.when(F.col("status") == "failed", F.col("error"))))
+    )
+
+
 def latest(events: DataFrame) -> DataFrame:
     """The last state of each job; for update or complete mode, or a batch."""
     state = F.max_by(F.struct("status", "done", "total", "message"), F.struct("at", "seq"))
@@ -47,7 +76,8 @@ def route(events: DataFrame, clients: DataFrame) -> DataFrame:
 def until_final(events: DataFrame) -> DataFrame:
     """Events of each job up to its first final one; later ones are dropped, and the job's state with them after an hour.
 
-    Adds ``closes``: true on the event that ends the job.
+    Events are taken as they come, a batch at a time in order of their time; only
+    whether a job has ended is kept.  Adds ``closes``: true on the event that ends the job.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -55,7 +85,8 @@ def until_final(events: DataFrame) -> DataFrame:
             state.remove()
             return
         ended = state.exists and state.get[0]
-        for batch in [pd.concat(list(batches)).sort_values(["at", "seq"])]:
+        for batch in batches:
+            batch = batch.sort_values(["at", "seq"])
             final = batch["status"].isin(FINAL)
             keep = (final.cumsum() - final == 0) & (not ended)
             yield batch[keep].assign(closes=final[keep])
