@@ -23,10 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm._common import col
+from cueline.llm._common import checkpoint, col
 
 #: Bound on the labelled rows that the model is fitted on.
 LABELLED_ROWS = 20_000
+#: Parts in which these rows come to the driver.
+SAMPLE_PARTS = 16
 BUCKETS = 1 << 20
 #: A term has a weight and factors if so many documents of the sample hold it.
 LEAST_DOCUMENTS = 3
@@ -74,13 +76,15 @@ def _sigmoid(x: float | np.ndarray) -> float | np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _association(terms: np.ndarray, sizes: np.ndarray, labels: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+def _association(rows: list[np.ndarray], labels: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
     """In how many documents each term is, and its chi-squared statistic with the label."""
-    rows, ones = len(labels), labels.sum()
-    n = np.bincount(terms, minlength=n_terms).astype(np.float64)
-    pos = np.bincount(terms, np.repeat(labels, sizes), n_terms)
-    spread = n * (rows - n) * ones * (rows - ones)
-    return n, np.divide(rows * (rows * pos - n * ones) ** 2, spread, out=np.zeros(n_terms), where=spread > 0)
+    total, ones = len(labels), labels.sum()
+    n, pos = np.zeros(n_terms), np.zeros(n_terms)
+    for terms, label in zip(rows, labels):  # a document's terms are distinct
+        n[terms] += 1
+        pos[terms] += label
+    spread = n * (total - n) * ones * (total - ones)
+    return n, np.divide(total * (total * pos - n * ones) ** 2, spread, out=np.zeros(n_terms), where=spread > 0)
 
 
 def fit_machine(rows: list, labels: np.ndarray, n_terms: int, epochs: int = 30, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
@@ -91,10 +95,9 @@ def fit_machine(rows: list, labels: np.ndarray, n_terms: int, epochs: int = 30,
     don't tell and many rare terms don't learn the sample by heart.
     """
     rng = np.random.default_rng(seed)
+    rows = [np.asarray(r, np.int32) for r in rows]  # no copies of what is of that kind
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    ends = np.cumsum(sizes)
-    flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if len(rows) else np.zeros(0, np.int32)
-    n, chi = _association(flat, sizes, labels, n_terms)
+    n, chi = _association(rows, labels, n_terms)
     strong = chi >= STRONG
     bias = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     w, v = np.zeros(n_terms, np.float32), rng.normal(0, 0.05, (n_terms, FACTORS)).astype(np.float32)
@@ -108,11 +111,11 @@ def fit_machine(rows: list, labels: np.ndarray, n_terms: int, epochs: int = 30,
         out = []
         for at in range(0, len(order), 256):
             some = order[at : at + 256]
-            terms = np.concatenate([flat[ends[i] - sizes[i] : ends[i]] for i in some])
+            terms = np.concatenate([rows[i] for i in some])
             owner = np.repeat(np.arange(len(some)), sizes[some]).astype(np.uint8)[chosen[terms]]
             terms = terms[chosen[terms]]
             own, times = np.unique(terms, return_counts=True)
-            out.append((some, own, times, owner[np.argsort(terms, kind="stable")]))
+            out.append((some, own, times.astype(np.int16), owner[np.argsort(terms, kind="stable")]))
         return out
 
     first = 2 * epochs // 3 if strong.any() else 0
@@ -132,7 +135,7 @@ def fit_machine(rows: list, labels: np.ndarray, n_terms: int, epochs: int = 30,
             bias -= rate * error.sum() / np.sqrt(seen_b)
             if not len(own):
                 continue
-            starts = np.cumsum(times) - times
+            starts = np.cumsum(times, dtype=np.int64) - times
             grad_w = np.add.reduceat(error[owner], starts) + decay * w[own]
             grad_v = np.add.reduceat(error[owner][:, None] * (sums[owner] - each), starts, axis=0) + decay * v[own]
             seen_w[own] += grad_w**2
@@ -180,8 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LA
     """
     # bounded: ``rows`` arrays of distinct terms; in a stated order, so that the fit can be repeated.
     # The texts are scanned once for them; the driver keeps terms, not texts.
-    sample = sorted((bytes(r["terms"]), r["y"]) for r in sampled(docs, labels, label, rows).mapInArrow(_terms, "terms binary, y int").collect())
+    # They come a part at a time, and each is kept once.
+    chosen = checkpoint(sampled(docs, labels, label, rows).mapInArrow(_terms, "terms binary, y int").repartition(SAMPLE_PARTS))
+    sample = sorted((bytes(r["terms"]), r["y"]) for r in chosen.toLocalIterator())
     found, y = [np.frombuffer(t, "<i4") for t, _ in sample], np.array([float(y) for _, y in sample])
+    del sample
     total, ones = len(y), y.sum()
     held = np.zeros(LEVELS * BUCKETS, np.int32)
     for terms in found:
@@ -195,6 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LA
     for k, terms in enumerate(found):
         terms = place[terms]
         found[k] = terms[terms >= 0]
+    del held, place
     bias, w, v = fit_machine(found, y, len(kept))
     return Model(kept, bias, w, v)
 
