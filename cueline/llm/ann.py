@@ -132,10 +132,12 @@ def train_router(x: np.ndarray, targets: np.ndarray, parts: int, epochs: int = E
     return Router(scale, *p, parts)
 
 
-def fit(sample: np.ndarray, parts: int, recall: float = RECALL, neighbours: int = 20) -> Router:
+def fit(sample: np.ndarray, parts: int, recall: float = RECALL, neighbours: int = 20, rows: int | None = None) -> Router:
     """Partition the sample's neighbour graph, learn to route, and set the number of parts to probe.
 
-    One row in eight is kept out of the graph and of training and used to measure the recall.
+    One row in eight is kept out of the graph and of training and used to measure the
+    recall.  Where the sample stands for a table of ``rows`` rows, a query's nearest
+    ``neighbours`` there are as near as a share of them here, rounded up.
     """
     held = np.arange(len(sample)) % 8 == 0
     inside = sample[~held]
@@ -146,10 +148,11 @@ def fit(sample: np.ndarray, parts: int, recall: float = RECALL, neighbours: int
     part = balanced_parts(graph, parts)
     router = train_router(inside, np.concatenate((part[:, None], part[graph]), axis=1), parts)
     home = router.routes(inside, 1)[:, 0]
+    near_here = -(-neighbours * len(inside) // max(rows or 0, len(sample)))
     needed = []
     for at in range(0, held.sum(), 512):
         q = sample[held][at : at + 512]
-        near = np.argpartition(-(q @ inside.T), neighbours - 1, axis=1)[:, :neighbours]
+        near = np.argpartition(-(q @ inside.T), near_here - 1, axis=1)[:, :near_here]
         rank = np.argsort(router.routes(q, parts), axis=1)  # rank of each part for each query
         needed.append(np.take_along_axis(rank, home[near], axis=1))
     needed = np.concatenate(needed)
@@ -211,7 +214,7 @@ def search(vectors: DataFrame, every: int, k: int = 20, recall: float = RECALL,
     common = F.size("v") == d
     # bounded: ``sample_for`` vectors
     sample = rows.where(common).orderBy(F.xxhash64("id"), "id").limit(sample_for(n)).collect()
-    router = fit(np.array([r["v"] for r in sample], np.float64), parts_for(n), recall, k)
+    router = fit(np.array([r["v"] for r in sample], np.float64), parts_for(n), recall, k, n)
     n_parts = len(router.b2)
 
     def ranked(v: pd.Series, probes: int) -> np.ndarray:

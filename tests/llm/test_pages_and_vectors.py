@@ -156,7 +156,7 @@ def measured(spark, x, queries=None):
             np.testing.assert_allclose(g.score, (x[g.vec_id] * x[q]).sum(axis=1))
             shares.append(len(set(g.vec_id) & set(exact(x, ids, q))) / 20)
     n = ann.sample_for(len(x))
-    router = ann.fit(x[np.random.default_rng(1).permutation(len(x))[:n]], ann.parts_for(len(x)))
+    router = ann.fit(x[np.random.default_rng(1).permutation(len(x))[:n]], ann.parts_for(len(x)), rows=len(x))
     home = router.routes(x, 1)[:, 0]
     held = np.bincount(home, minlength=len(router.b2))
     return got.query_id.nunique(), np.mean(shares), held[router.routes(x[::20])].sum(axis=1).mean() / len(x)
