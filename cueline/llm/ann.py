@@ -5,8 +5,11 @@ spectral bisection, and a small network learns, from each vector, in which parts
 its neighbours are.  Every row is indexed under its most probable part; a query is
 compared with all rows of its several most probable parts and reranked exactly.
 There are about as many parts as the square root of the number of rows, so what a
-query is compared with grows more slowly than the table; how many parts are probed
-is set on the sample, for a stated recall.  Vectors without any neighbourhoods,
+query is compared with grows more slowly than the table, as long as the sample has
+``ROWS_A_PART`` rows for each part: up to ``SAMPLE_ROWS / ROWS_A_PART`` parts, the
+square root of a million rows.  Beyond, parts grow with the table; raise both the
+sample and its parts there.  How many parts are probed is set on the sample, for a
+stated recall.  Vectors without any neighbourhoods,
 such as random ones, need most parts.
 """
 
