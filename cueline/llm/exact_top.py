@@ -99,8 +99,13 @@ def grow(ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
             nodes[parent][5 + side] = here
         if hi - lo > LEAF_ROWS:
             # stable: equal rows stay in the order of their ids, so that a tie is settled in the first leaf that has it
-            order[lo:hi] = order[lo:hi][np.argsort(cut(of)[1], kind="stable")]
-            mid = (lo + hi) // 2
+            along = cut(of)[1]
+            by = np.argsort(along, kind="stable")
+            order[lo:hi], along = order[lo:hi][by], along[by]
+            # at the widest gap of the middle half, so that fewer groups of near rows are cut
+            least, most = (hi - lo) // 4, 3 * (hi - lo) // 4
+            gaps = np.diff(along[least : most + 1])
+            mid = lo + (least + 1 + int(np.argmax(gaps)) if gaps.max() > 0 else (hi - lo) // 2)
             stack += [(mid, hi, here, 1), (lo, mid, here, 0)]
     centre, radius, lo, hi, least, left, right = (np.array(c) for c in zip(*nodes))
     return {"ids": ids[order], "x": x[order], "centre": centre, "radius": radius, "lo": lo, "hi": hi, "least": least, "left": left, "right": right}
@@ -140,22 +145,30 @@ def search_tree(tree: dict[str, np.ndarray], query_ids: np.ndarray, q: np.ndarra
     best, lengths = Best(len(q), k), np.sqrt((q**2).sum(axis=1))
     x = tree["x"].astype(np.float64)
     bound = bounds(q, lengths, tree["centre"], tree["radius"])
+
+    def look(leaf: int, queries: np.ndarray) -> None:
+        of = slice(tree["lo"][leaf], tree["hi"][leaf])
+        scores, ids = q[queries] @ x[of].T, tree["ids"][of]
+        scores[(ids[None, :] == query_ids[queries][:, None]) | (scores < floor[queries][:, None])] = np.nan
+        best.add(queries, ids, scores)
+
+    # each query first dives to the leaf of its largest bound, so that the search begins with a good k-th score
+    leaves = np.flatnonzero(tree["left"] < 0)
+    dive = leaves[np.argmax(bound[:, leaves], axis=1)]
+    for leaf in np.unique(dive).tolist():
+        of = np.flatnonzero(dive == leaf)
+        look(leaf, of[best.may(bound[:, leaf], tree["least"][leaf], floor, floor_id)[of]])
     heap = [(-bound[:, 0].max(), 0)]
     while heap:
         _, node = heapq.heappop(heap)
-        active = np.flatnonzero(best.may(bound[:, node], tree["least"][node], floor, floor_id))
+        active = np.flatnonzero(best.may(bound[:, node], tree["least"][node], floor, floor_id) & (dive != node))
         if not len(active):
             continue
         if tree["left"][node] < 0:
-            of = slice(tree["lo"][node], tree["hi"][node])
-            scores = q[active] @ x[of].T
-            ids = tree["ids"][of]
-            scores[ids[None, :] == query_ids[active][:, None]] = -np.inf
-            scores[scores < floor[active][:, None]] = -np.inf
-            best.add(active, ids, np.where(scores == -np.inf, np.nan, scores))
+            look(node, active)
         else:
             for child in (tree["left"][node], tree["right"][node]):
-                heapq.heappush(heap, (-bound[active, child].max(), child))
+                heapq.heappush(heap, (-bound[active, child].max(), int(child)))
     return best
 
 
