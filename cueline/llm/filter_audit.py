@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueline.llm._common import checkpoint, col, spare
@@ -40,11 +40,11 @@ def with_flags(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         t.rlike("[#$%&*|]").alias(d),
         F.sha2(t, 256).alias(digest),
     ))
-    # texts that more than one doc_id has; minima are combined before the shuffle, and adaptive execution splits the
-    # side of the documents where one text has a large share of them
-    copied = flagged.groupBy(F.col(digest).alias(of)).agg(F.min(col(doc_id)).alias(first), F.max(col(doc_id)).alias("last")).where(
+    # texts that more than one doc_id has; minima are combined before the shuffle.  They are written, so that the join reads
+    # two plain exchanges: adaptive execution can then split the documents of one text that has a large share of them
+    copied = checkpoint(flagged.groupBy(F.col(digest).alias(of)).agg(F.min(col(doc_id)).alias(first), F.max(col(doc_id)).alias("last")).where(
         F.col("last") > F.col(first)
-    ).drop("last")
+    ).drop("last"))
     copy = F.coalesce(col(doc_id) > F.col(first), F.lit(False))
     return flagged.join(copied, F.col(digest) == F.col(of), "left").withColumn(e, copy).drop(digest, first, of)
 
@@ -83,10 +83,7 @@ def replay(flagged: DataFrame, part: str, flags: list[str], good: Column, toxic:
         F.count_if(removed & F.col("toxic")).alias("toxic_lost"),
     )
     letter = F.substring(F.col("filter_order"), F.col("step"), F.lit(1))
-    totals = counted.groupBy("part", letter.alias("letter")).agg(F.sum("removed").alias("shapley"))
-    return counted.withColumn("letter", letter).join(totals, ["part", "letter"]).select(
-        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"
-    )
+    return counted.select("*", F.sum("removed").over(Window.partitionBy("part", letter)).alias("shapley"))  # of 120 rows each
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
