@@ -269,9 +269,9 @@ class Scorer:
         key, at = np.unique((owner * len(self._sums) + row)[row > 0], return_inverse=True)
         occurs = np.bincount(at, n[row > 0], len(key)).astype(np.int64)
         found = self._sums[key % len(self._sums), np.minimum(occurs, LEVELS) - 1]
-        upto = np.concatenate((np.zeros((1, 2 + FACTORS)), found.cumsum(axis=0)))
-        ends = np.searchsorted(key // len(self._sums), np.arange(len(texts) + 1))
-        total = upto[ends[1:]] - upto[ends[:-1]]
+        # summed text by text, in the order of its terms: a score doesn't depend on the texts beside it
+        of = key // len(self._sums)
+        total = np.column_stack([np.bincount(of, column, len(texts)) for column in found.T])
         return _sigmoid(self._bias + total[:, 0] + 0.5 * ((total[:, 2:] ** 2).sum(axis=1) - total[:, 1]))
 
 

@@ -117,3 +117,17 @@ def test_votes_are_exact_in_any_block():
         top = np.argsort(-row)[:10]
         weight = np.maximum(row[top], 1e-3) ** 4
         assert got == pytest.approx((weight * model.labels[top]).sum() / weight.sum(), abs=1e-4)
+
+
+def test_a_score_does_not_depend_on_the_texts_beside_it():
+    rng = np.random.default_rng(1)
+    buckets = {b for i in range(300) for b in toxicity.buckets_of(f"w{i}")}
+    kept = np.array(sorted(b * toxicity.LEVELS + n for b in buckets for n in range(toxicity.LEVELS)))
+    model = toxicity.Model(kept=kept, weights=rng.normal(size=len(kept)), factors=rng.normal(size=(len(kept), toxicity.FACTORS)), bias=-0.3)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 300, 200))
+    others = [" ".join(f"w{i}" for i in rng.integers(0, 300, rng.integers(0, 90))) for _ in range(255)]
+    scorer = toxicity.Scorer(model)
+    alone = scorer([text])[0]
+    for at in (0, 1, 100, 255):
+        texts = others[:at] + [text] + others[at:]
+        assert scorer(texts)[at] == alone and scorer([text, *texts, None, text])[-1] == alone
