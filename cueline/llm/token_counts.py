@@ -32,12 +32,20 @@ WIDTH = 2
 
 
 def _store(path: str) -> tuple:
-    """File system and path, for a path as Spark names it, on any store that pyarrow reaches."""
+    """File system and path, for a path as Spark names it.
+
+    Hadoop's names of object stores stand for those that pyarrow has (s3a and s3n are s3); hdfs and viewfs
+    need Hadoop's own library on the workers, as they have on a Hadoop cluster.
+    """
     from pyarrow import fs
 
-    if path.startswith("file:/"):
-        path = "file:///" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path)
+    scheme, _, rest = path.partition(":")
+    if not rest or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
+    rest = rest.lstrip("/")
+    if scheme in ("s3", "s3a", "s3n"):
+        return fs.S3FileSystem(), rest
+    return fs.FileSystem.from_uri(f"{scheme}://{rest}")
 
 
 def write_flat_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_OF_DOCUMENT, width: int = WIDTH) -> DataFrame:
@@ -154,10 +162,11 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, block: int = BLO
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/flat-{uuid.uuid4().hex}"
-    named = write_flat_files(docs, folder, tokenizer)
-    counted = scan(blocks_of(spark, folder, block=block), block=block).select(
-        F.regexp_extract("file", r"(\d+)\.bin$", 1).cast("long").alias("file"), "ordinal", "n_tokens"
-    )
-    out = checkpoint(named.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens"))
-    discard(spark, folder)
-    return out
+    try:
+        named = write_flat_files(docs, folder, tokenizer)
+        counted = scan(blocks_of(spark, folder, block=block), block=block).select(
+            F.regexp_extract("file", r"(\d+)\.bin$", 1).cast("long").alias("file"), "ordinal", "n_tokens"
+        )
+        return checkpoint(named.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens"))
+    finally:
+        discard(spark, folder)

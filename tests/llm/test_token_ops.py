@@ -246,3 +246,30 @@ def test_a_seed_changes_the_cut():
     text = "several different words that can be cut in many ways " * 5
     one, two = (piece_sampling.Sampler(pieces, s).encode([text], ["k"])[0].tolist() for s in (1, 2))
     assert one != two and pieces.decode(one) == pieces.decode(two) == text
+
+
+def test_stores_as_spark_names_them(tmp_path):
+    """Schemes that pyarrow doesn't know stand for those that it has."""
+    from pyarrow import fs
+
+    for scheme in ("s3", "s3a", "s3n"):
+        store, where = token_counts._store(f"{scheme}://bucket/a/b.bin")
+        assert isinstance(store, fs.S3FileSystem) and where == "bucket/a/b.bin"
+    (tmp_path / "x y").write_bytes(b"12")
+    for path in (f"{tmp_path}/x y", f"file:{tmp_path}/x y", f"file://{tmp_path}/x y"):
+        store, where = token_counts._store(path)
+        assert store.open_input_file(where).read() == b"12"
+
+
+def test_flat_files_go_even_if_a_scan_fails(spark, monkeypatch):
+    import glob
+
+    from cueline.llm._common import shared_folder
+
+    def broken(*_, **__):
+        raise RuntimeError("broken")
+
+    monkeypatch.setattr(token_counts, "scan", broken)
+    with pytest.raises(RuntimeError):
+        token_counts.count_tokens(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    assert not glob.glob(shared_folder(spark).removeprefix("file:") + "/flat-*")
