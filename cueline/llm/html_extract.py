@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +42,8 @@ LEAST_PAGES = 3
 OWN_SHARE = 0.2
 #: Templates of all hosts are broadcast up to so many hashes (of 8 bytes); beyond, pages are dealt by host.
 BROADCAST_HASHES = 1 << 20
+#: Elements' rows are handed on after the page that fills so many.
+ROWS_TOGETHER = 20_000
 #: A host's pages are dealt to so many parts where templates are not broadcast.
 HOST_SALTS = 64
 
@@ -55,6 +57,7 @@ BLOCK = frozenset(
 )
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = (PARAGRAPH - {"li", "dd", "td"}) | frozenset("a b em i span strong time".split())
 DROPPED = frozenset(
     "nav footer aside form script style noscript iframe template head title button select textarea input dialog svg "
     "canvas object embed menu".split()
@@ -72,8 +75,11 @@ _NAMED = re.compile(
     r"newsletter|subscribe|signup|login|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|disqus|"
     r"sharing|social|related|recommended|widget|pagination|pager|toolbar)(?:$|[\s_-])"
 )
-#: Readers' comments have no element of their own.
-_COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond|disqus)(?:$|[\s_-])")
+# readers' comments have no element of their own.  A whole word of a container's class or id names them; a
+# word that only has "comment" or "reply" in it, or stands on a paragraph, does not.
+_COMMENTS = re.compile(
+    r"(?:^|\s)(?:(?:[a-z]+[_-])*(?:comments?|replies|respond|disqus)(?:[_-](?:lists?|section|area|threads?|items?|body|form|content|container|wrapper|box|block|\d+))*|reply)(?:$|\s)"
+)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/!?][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
@@ -100,7 +106,7 @@ class Node:
             role = found.get("role", "").lower()
             # numbers in a class or id tell posts apart, not elements
             self.sign = f"{tag} {role} {_DIGITS.sub('0', ' '.join(sorted(names.split())))}" if names.strip() or role else tag
-            if _COMMENT_WORDS.search(names):  # articles of readers are no articles
+            if tag not in TEXTUAL and _COMMENTS.search(names):  # articles of readers are no articles
                 self.article, self.dropped = False, True
             self.article = self.article or role == "main" or found.get("itemprop", "").lower() == "articlebody"
             if not self.article and tag not in ("html", "body"):
@@ -114,6 +120,22 @@ def parse(html: str | None) -> Node:
     """The element tree of a page; unclosed, unopened and cut-off elements are mended as browsers do."""
     root = Node("#root")
     stack, at, text = [root], 0, html or ""
+    # where elements of each tag, articles, and blocks that end no paragraph are open: no search walks the stack
+    places: dict[str, list[int]] = {}
+    article, block = places.setdefault("#article", []), places.setdefault("#block", [])
+
+    def kinds(tag: str) -> list[list[int]]:
+        of = [places.setdefault(tag, [])]
+        return of + [article] * (tag in ARTICLE) + [block] * (tag in BLOCK and tag != "p")
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            for of in kinds(stack.pop().tag):
+                of.pop()
+
+    def innermost(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     while at < len(text):
         m = _TOKEN.search(text, at)
         end = m.start() if m else len(text)
@@ -127,28 +149,23 @@ def parse(html: str | None) -> Node:
             continue
         tag = tag.lower()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ARTICLE and tag not in ("body", "html", *ARTICLE):
-                    break
+            k = innermost((tag,))
+            if k and (tag in ARTICLE or tag in ("body", "html") or k >= innermost(("#article",))):
+                close(k)
             continue
         if tag in BLOCK:
             closes, within = _CLOSES.get(tag, (set(), set()))
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = stack[k].tag
-                if open_tag == "p" or open_tag in closes:
-                    del stack[k:]
-                    break
-                if open_tag in within or (open_tag in BLOCK and not closes):
-                    break
+            k = innermost(("p", *closes))
+            if k and k > innermost(within if closes else ("#block",)):
+                close(k)
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(text, at)
-            at = close.end() if close else len(text)
+            ended = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(text, at)
+            at = ended.end() if ended else len(text)
         elif tag not in VOID and not attributes.endswith("/"):
+            for of in kinds(tag):
+                of.append(len(stack))
             stack.append(node)
     return root
 
@@ -328,14 +345,21 @@ _FACTS = "host string, body long, kind int, key long, above long, words long, pa
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _FACTS.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.bool_()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns_ = list(zip(*rows)) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns_, kinds)], names=names)
+
     for batch in batches:
         rows = []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            body, found = facts(page)
+        for host, page in zip(batch.column(0), batch.column(1)):
+            body, found = facts(page.as_py())
             all_words = max((row[3] for row in found if row[0] == SLOT), default=0)
-            rows.extend((host, body, kind, key, above, words, all_words, times, container) for kind, key, above, words, times, container in found)
-        columns_ = list(zip(*rows)) if rows else [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns_, kinds)], names=names)
+            rows.extend((host.as_py(), body, kind, key, above, words, all_words, times, container) for kind, key, above, words, times, container in found)
+            if len(rows) >= ROWS_TOGETHER:
+                yield made(rows)
+                rows = []
+        yield made(rows)
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, own_share: float = OWN_SHARE) -> DataFrame:
@@ -382,39 +406,57 @@ def extract(
     page.  Pages without a url, or with one that names no host, are one host, the
     empty one.  Repeated rows, and all pages of a host with one body, count as one
     page for the templates; each gets its text.  Ties do not arise: counts are
-    exact.  Pages of any length are read whole; a task holds one page's elements at
-    a time.  An empty table gives an empty table.
+    exact.  Pages of any length are read whole, in a time that grows with their length; a task holds one page's
+    elements, and up to ``ROWS_TOGETHER`` rows of those before, at a time.  An empty table gives an empty table.
 
-    Templates are joined to pages by host and broadcast where they are measured to
+    Templates are broadcast, once for each worker, where they are measured to
     hold at most ``broadcast_hashes`` hashes; pages then stay where they are.  Beyond
     that, pages are dealt by host and a salt, and a host's template goes to each salt.
     """
     host_, template_, salt_ = spare(pages, "host", "template", "salt")
     host = F.lower(F.regexp_extract(F.coalesce(col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     known = checkpoint(templates(pages.select(host.alias("host"), "html"), least_pages, own_share))
-    packed = known.select(F.col("host").alias(host_), F.struct("shapes", "contents", "own").alias(template_))
     size = known.agg(F.coalesce(F.sum(F.size("shapes") + F.size("contents") + F.size("own") + 16), F.lit(0))).first()[0]
     if size <= broadcast_hashes:
-        both = pages.withColumn(host_, host).join(F.broadcast(packed), host_, "left")
+        # bounded: as many hashes, once for each Python worker
+        held = pages.sparkSession.sparkContext.broadcast({
+            r["host"]: tuple(np.array(r[w], np.int64) for w in ("shapes", "contents", "own")) for r in known.toLocalIterator()
+        })
+
+        @F.pandas_udf("string")
+        def text_of(html: pd.Series, hosts: pd.Series) -> pd.Series:
+            made: dict[str, Template | None] = {}
+            out = []
+            for page, name in zip(html, hosts):
+                if name not in made:
+                    found = held.value.get(name)
+                    made[name] = None if found is None else Template(*map(_set, found), False)
+                out.append(main_text(page, made[name]))
+            return pd.Series(out, dtype=object)
+
+        both, text = pages, text_of(col("html"), host)
     else:
+        packed = known.select(F.col("host").alias(host_), F.struct("shapes", "contents", "own").alias(template_))
         salted = pages.withColumn(host_, host).withColumn(salt_, F.pmod(F.xxhash64("html"), F.lit(HOST_SALTS)))
         every = packed.withColumn(salt_, F.explode(F.expr(f"sequence(0L, {HOST_SALTS - 1}L)")))
         both = salted.join(every, [host_, salt_], "left")
 
-    @F.pandas_udf("string")
-    def text(html: pd.Series, found: pd.DataFrame) -> pd.Series:
-        made: dict[tuple, Template] = {}
-        out = []
-        for page, shapes, contents, own in zip(html, found["shapes"], found["contents"], found["own"]):
-            if shapes is None:
-                out.append(main_text(page))
-                continue
-            key = (shapes.tobytes(), contents.tobytes(), own.tobytes())
-            if key not in made:
-                made[key] = Template(_set(shapes), _set(contents), _set(own), False)
-            out.append(main_text(page, made[key]))
-        return pd.Series(out, dtype=object)
-
-    return both.select(*columns(pages, {"text", "n_chars"}), text("html", F.col(template_)).alias("text")).withColumn(
+        @F.pandas_udf("string")
+        def text_by(html: pd.Series, found: pd.DataFrame) -> pd.Series:
+            made: dict[tuple, Template] = {}
+            out = []
+            for page, shapes, contents, own in zip(html, found["shapes"], found["contents"], found["own"]):
+                if shapes is None:
+                    out.append(main_text(page))
+                    continue
+                key = (shapes.tobytes(), contents.tobytes(), own.tobytes())
+                if key not in made:
+                    made[key] = Template(_set(shapes), _set(contents), _set(own), False)
+                out.append(main_text(page, made[key]))
+            return pd.Series(out, dtype=object)
+
+        text = text_by(col("html"), F.col(template_))
+
+    return both.select(*columns(pages, {"text", "n_chars"}), text.alias("text")).withColumn(
         "n_chars", F.length("text").cast("long")
     )

@@ -1,6 +1,7 @@
 """Main text of pages, nearest neighbours."""
 
 import collections
+import time
 
 import numpy as np
 import pytest
@@ -214,3 +215,18 @@ def test_parts_are_balanced_and_learned():
     assert (np.bincount(part) == 100).all()
     assert (ann.train_router(x, part[:, None], 8).routes(x, 1)[:, 0] == part).mean() > 0.9
     assert [ann.parts_for(n) for n in (0, 1, 63, 64, 2000, 100_000, 10**12)] == [1, 1, 1, 2, 32, 256, 1024]
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "</b>" * 100_000, "<b>" * 100_000 + "<article>" + "</b>" * 100_000, "<div>" * 50_000 + "<li>x</li>" * 50_000, "<b>" * 100_000 + "<p>x" * 50_000])
+def test_malformed_pages_take_linear_time(html):
+    began = time.perf_counter()
+    html_extract.parse(html)
+    assert time.perf_counter() - began < 8  # a walk of the stack for each tag takes minutes
+
+
+def test_comments_go_and_paragraphs_about_them_stay():
+    article = "<article><p class='reply-to-critics'>one two three four</p><p>five six</p><div class='{}'><p>bad</p></div></article>"
+    for name in ("comments", "post-comments", "comment-list", "replies", "reply", "x comment y", "comment-12"):
+        assert html_extract.main_text(article.format(name)) == "one two three four\nfive six"
+    for name in ("comment-count-free", "replying", "commentary", "no-comment-today"):
+        assert html_extract.main_text(article.format(name)) == "one two three four\nfive six\nbad"
