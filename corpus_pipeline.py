@@ -86,12 +86,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if before:
-            discard(spark, f"{folder}/{before}")
-        before = name
-    packed = STAGES[-1][1](spark, docs, sf_dir)
-    discard(spark, folder)
-    return packed
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                discard(spark, f"{folder}/{before}")
+            before = name
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        discard(spark, folder)
