@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueline.operators import snapshots
@@ -54,46 +54,49 @@ def save(cache: DataFrame, rows: DataFrame, order: str | None = None) -> DataFra
     return snapshots.upsert(cache, rows, "video_id", order)
 
 
-#: Parts that a range of times is counted in at once, and so the most rows that come to the driver.
-_PARTS = 1024
+#: Up to so many rows are picked by one sorted limit, whose rows each task keeps at most so many of; more by a bracket of quantiles.
+FEW = 10_000
+#: How far the quantiles that bracket the cutoff may be off, as a share of the rows.
+SLACK = 0.001
 
 
-def _cutoff(times: DataFrame, n: int) -> tuple[int, int]:
-    """The ``n``-th smallest of a column k, and how many of the rows with that value are among the ``n`` smallest.
+def _oldest_first() -> tuple[Column, Column]:
+    """Rows without a time go first, ties by video_id."""
+    return F.asc_nulls_first("last_accessed_at"), F.asc_nulls_first("video_id")
 
-    The range is counted in parts, then the part that holds the n-th value, until
-    that is one value: a few counts over one column, and nothing is sorted.
-    """
-    low, high = times.agg(F.min("k"), F.max("k")).first()
-    while low < high:
-        width = (high - low) // _PARTS + 1
-        part = F.expr(f"(k - {low}L) div {width}L")
-        counts = sorted(tuple(r) for r in times.where(F.col("k").between(low, high)).groupBy(part.alias("part")).count().collect())
-        for part, many in counts:
-            if many >= n:
-                break
-            n -= many
-        low, high = low + part * width, min(high, low + (part + 1) * width - 1)
-    return low, n
-
-
-def evict_oldest(cache: DataFrame, n: int) -> DataFrame:
+
+def _without(cache: DataFrame, n: int) -> DataFrame:
+    gone = cache.orderBy(*_oldest_first()).limit(n).select(F.col("video_id").alias("__gone"))
+    return cache.join(gone, F.col("video_id").eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def evict_oldest(cache: DataFrame, n: int, rows: int | None = None) -> DataFrame:
     """Without the ``n`` rows accessed longest ago; rows without a time go first, ties by video_id.
 
-    The time up to which rows go is found by counting; only rows of exactly that
-    time, of which some go and some stay, are put in order.
+    Up to ``FEW`` rows are found by a sorted limit, in one pass and without any job
+    of its own.  For more, one pass takes approximate quantiles around the cutoff (``rows``: how many there are, counted
+    if not given); what is surely older goes by a filter, and only the rows between the two
+    quantiles, about two thousandths of the table, are put in order.
     """
     if n <= 0:
         return cache
-    if n >= cache.count():
-        return cache.limit(0)
+    if n <= FEW:
+        return _without(cache, n)
     known = F.unix_micros("last_accessed_at")
-    first = cache.agg(F.min(known)).first()[0]
-    k = F.coalesce(known, F.lit((first or 0) - 1))
-    last, few = _cutoff(cache.select(k.alias("k")), n)
-    edge = cache.where(k == last)
-    gone = edge.select("video_id").orderBy("video_id").limit(few)
-    return cache.where(k > last).unionByName(edge.join(gone, "video_id", "left_anti").select(*cache.columns))
+    rows = cache.count() if rows is None else rows
+    if n >= rows:
+        return cache.limit(0)
+    timed, share = cache.agg(F.count("last_accessed_at"), F.count("*")).first(), n / rows
+    if n <= timed[1] - timed[0]:  # rows without a time are enough
+        return cache.where("last_accessed_at is not null").unionByName(_without(cache.where("last_accessed_at is null"), n))
+    share = (n - (timed[1] - timed[0])) / timed[0]
+    ends = cache.select(known.alias("k")).approxQuantile("k", [max(0.0, share - 2 * SLACK), min(1.0, share + 2 * SLACK)], SLACK)
+    low, high = int(ends[0]), int(ends[1])
+    below, upto = cache.agg(F.count_if(F.coalesce(known < low, F.lit(True))), F.count_if(F.coalesce(known <= high, F.lit(True)))).first()
+    if not below <= n <= upto:  # an estimate that is further off than it should be: the whole range is between
+        low, high, below = -(1 << 62), 1 << 62, timed[1] - timed[0]
+    between = cache.where(known.between(low, high))
+    return cache.where(known > high).unionByName(_without(between, n - below))
 
 
 def evict_older_than(cache: DataFrame, days: int, now: datetime) -> DataFrame:
@@ -130,10 +133,10 @@ def run_eviction(cache: DataFrame, policy: EvictionPolicy, now: datetime) -> tup
     if policy.kind == "ttl":
         left = evict_older_than(cache, policy.ttl_days, now)
     elif policy.kind == "lru":
-        left = evict_oldest(cache, n - policy.max_entries) if n > policy.max_entries else cache
+        left = evict_oldest(cache, n - policy.max_entries, n) if n > policy.max_entries else cache
         kept, kept_chars = size(left) if n > policy.max_entries else (n, chars)
         if kept_chars / (1024 * 1024) > policy.max_megabytes:
-            left = evict_oldest(left, ceil(kept / 10))
+            left = evict_oldest(left, ceil(kept / 10), kept)
     elif policy.kind == "none":
         left = cache
     else:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cueline.functions.text import CHARS_A_TOKEN, estimated_tokens, trim_all
 from cueline.functions.timecode import LAST_CUE_SECONDS, parse_seconds
+from cueline.operators import grouping
 from cueline.operators.transcripts import by_video, joined, with_times
 
 STRATEGIES = ("time-based", "sentence-based", "token-based")
@@ -86,27 +87,14 @@ def chunk_by_time(segments: DataFrame, seconds: int = 30, overlap: int = 5, min_
 def chunk_by_sentence(segments: DataFrame, min_length: int = 50) -> DataFrame:
     """Segments are gathered until one ends a sentence and the text is long enough, or the last is reached.
 
-    One fold over the lengths of a video's segments, never over its growing text,
-    finds the segments that end a group; a running count of these numbers the
-    groups, and the texts are put together by an aggregate.
+    Ends of groups are found in one pass over the lengths of a video's segments; texts
+    are put together by an aggregate.
     """
-    seg = F.struct(
-        F.col("idx"), F.coalesce(parse_seconds(F.col("time")), F.lit(0)).alias("start"), F.col("text"),
-        F.length("text").alias("n"), F.coalesce(F.col("text").rlike(r"[.!?]\s*$"), F.lit(False)).alias("ends"),
+    rows = segments.select(
+        "video_id", "idx", F.coalesce(parse_seconds(F.col("time")), F.lit(0)).alias("start"), "text",
+        F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.coalesce(F.col("text").rlike(r"[.!?]\s*$"), F.lit(False)).alias("ends"),
     )
-    size = "if(a.n = 0, s.n, a.n + 1 + s.n)"
-    cut = f"s.ends and {size} >= {int(min_length)}"
-    folded = segments.groupBy("video_id").agg(F.array_sort(F.collect_list(seg)).alias("segs")).withColumn(
-        "cuts",
-        F.expr(
-            f"""aggregate(segs, named_struct('out', cast(array() as array<int>), 'i', 0, 'n', 0),
-                (a, s) -> named_struct('out', if({cut}, array_append(a.out, a.i), a.out), 'i', a.i + 1, 'n', if({cut}, 0, {size})), a -> a.out)"""
-        ),
-    )
-    before = Window.partitionBy("video_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = folded.select("video_id", "cuts", F.posexplode("segs").alias("pos", "s")).select(
-        "video_id", "s.*", "pos", F.array_contains("cuts", F.col("pos")).cast("int").alias("cut")
-    ).withColumn("g", F.coalesce(F.sum("cut").over(before), F.lit(0)))
+    rows = grouping.cut_after(rows, "video_id", ["idx"], "n", "ends", int(min_length))
     return _numbered(
         rows.groupBy("video_id", "g").agg(
             trim_all(joined(F.col("idx"), F.col("text"), " ")).alias("text"),

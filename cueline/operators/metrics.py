@@ -123,6 +123,9 @@ def request_records(requests: DataFrame, context: list[str] | None = None) -> Da
 
 
 def newer_than(source: DataFrame, target: DataFrame, mark: str) -> DataFrame:
-    """Rows of the source past the target's high-water mark; all of them if the target is empty."""
-    top = target.agg(F.max(mark).alias("__top"))
-    return source.join(F.broadcast(top), F.col("__top").isNull() | (F.col(mark) > F.col("__top"))).drop("__top")
+    """Rows of the source past the target's high-water mark; all of them if the target is empty.
+
+    The mark is read first, so that it stands in the source's filter and row groups before it are skipped.
+    """
+    top = target.agg(F.max(mark)).first()[0]
+    return source if top is None else source.where(F.col(mark) > F.lit(top))

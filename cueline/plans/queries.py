@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,12 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _states(states: list[tuple[str, DataFrame]], *columns: str) -> DataFrame:
+    """The rows of several states of one table, one under another."""
+    named = [df.select(F.lit(name).alias("state"), *columns) for name, df in states]
+    return reduce(DataFrame.unionByName, named)
+
+
 # ---- search
 
 _SCORED = """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (
@@ -159,11 +166,16 @@ def vector_add(spark, sf_dir):
     return store.rows.select(F.col("chunk_id").alias("id"), "video_id", "video_title", "segment_count")
 
 
-@query("SELECT vec_id AS id FROM embeddings WHERE false")
+@query("""SELECT 'before' AS state, vec_id AS id FROM embeddings UNION ALL SELECT 'again', vec_id FROM embeddings WHERE vec_id % 3 = 0""")
 def vector_clear(spark, sf_dir):
-    store = search.VectorStore(t.vectors(spark, sf_dir))
+    """What a store holds before it is cleared, afterwards (nothing), and after a third is added again."""
+    rows = t.vectors(spark, sf_dir)
+    store, states = search.VectorStore(rows), [("before", rows)]
     store.clear()
-    return store.rows.select("id")
+    states.append(("cleared", store.rows))
+    store.add(rows.where("id % 3 = 0"))
+    states.append(("again", store.rows))
+    return _states(states, "id")
 
 
 @query("SELECT count(*) AS total_chunks, count(DISTINCT label) AS total_videos FROM embeddings")
@@ -634,9 +646,12 @@ def cache_append(spark, sf_dir):
     return snapshots.append(rows, rows.where("video_id % 5 = 0"))
 
 
-@query("SELECT doc_id AS video_id FROM documents WHERE false")
+@query("""SELECT 'before' AS state, doc_id AS video_id FROM documents UNION ALL SELECT 'again', doc_id FROM documents WHERE doc_id % 3 = 0""")
 def cache_clear(spark, sf_dir):
-    return snapshots.clear(t.cache(spark, sf_dir)).select("video_id")
+    """What a cache holds before it is cleared, afterwards (nothing), and after a third is saved again."""
+    rows = t.cache(spark, sf_dir)
+    cleared = snapshots.clear(rows)
+    return _states([("before", rows), ("cleared", cleared), ("again", cache.save(cleared, rows.where("video_id % 3 = 0")))], "video_id")
 
 
 @query(f"WITH {CACHE_SQL} SELECT video_id, (access_count + CASE WHEN video_id = 7 THEN 1 ELSE 0 END)::BIGINT AS access_count FROM cache WHERE video_id = 7")

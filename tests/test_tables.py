@@ -24,6 +24,18 @@ def test_oldest_are_evicted(spark):
     assert cache.evict_oldest(lru(spark, 10), 20).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 5, 37, 150, 399, 400, 401])
+def test_many_are_evicted_by_a_bracket(spark, monkeypatch, n):
+    """Beyond FEW rows quantiles bracket the cutoff, with ties and rows without a time; an estimate may be off."""
+    monkeypatch.setattr(cache, "FEW", 0)
+    rows = [(f"v{k:03d}", None if k % 10 == 0 else NOW + timedelta(seconds=k * 7919 % 60)) for k in range(400)]
+    df = cached(spark, [(i, "x", NOW, at, 1) for i, at in rows])
+    left = [i for i, at in sorted(rows, key=lambda r: (r[1] is not None, r[1] or NOW, r[0]))][n:]
+    for slack in (0.001, 0.2):
+        monkeypatch.setattr(cache, "SLACK", slack)
+        assert sorted(r.video_id for r in cache.evict_oldest(df, n).collect()) == sorted(left)
+
+
 def test_policies(spark):
     left, report = cache.run_eviction(lru(spark, 8), cache.EvictionPolicy("lru", max_entries=5), NOW)
     assert left.count() == 5 and report["evicted"] == 3 and report["entries_before"] == 8
