@@ -97,6 +97,22 @@ def percentiles(events: DataFrame, key: str, value: str, accuracy: int | None =
     return events.groupBy(key).agg(*[F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in (50, 95, 99)])
 
 
+def daily_sketches(events: DataFrame, key: str, value: str, at: str, k: int = 200) -> DataFrame:
+    """(day, key, sketch, n): a KLL sketch of each day's values, a few kilobytes however many there are.
+
+    Sketches are begun where the events are and merged after the shuffle, so a key with most
+    of the events is no task's whole work.  Null values are left out.
+    """
+    known = events.where(F.col(value).isNotNull())
+    return known.groupBy(F.to_date(at).alias("day"), key).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"), F.count("*").alias("n"))
+
+
+def merged_percentiles(sketches: DataFrame, key: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """(key, n, p50, p95, ...) of any set of daily sketches; ranks are off by about 1.3 percent of the values at most."""
+    merged = sketches.groupBy(key).agg(F.kll_merge_agg_double("sketch").alias("__s"), F.sum("n").alias("n"))
+    return merged.select(key, "n", *[F.kll_sketch_get_quantile_double("__s", F.lit(p / 100)).alias(f"p{p}") for p in percents])
+
+
 def running_tokens(deltas: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
     """The running estimate of tokens after each delta of a stream of text: a quarter of its characters, rounded up for each."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

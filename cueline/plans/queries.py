@@ -13,7 +13,8 @@ from cueline.functions import text, timecode, urls
 from cueline.operators import batches, cache, chat, chunking, embedding, jobs, metrics, records, search, snapshots, transcripts
 from cueline.plans import tables as t
 from cueline.plans.tables import CACHE_SQL, JOBS_SQL, REQUESTS_SQL, RESULTS_SQL, SEGMENTS_SQL, TRIALS_SQL
-from cueline.sources import files, pages
+from cueline.sources import files, folders, pages
+from cueline.sources.keyed_table import KeyedTable
 from cueline.streaming import progress
 
 NOW = datetime(2025, 6, 10)
@@ -188,6 +189,21 @@ def vector_delete_by_video(spark, sf_dir):
     return snapshots.delete(t.vectors(spark, sf_dir), F.col("video_id") == 4).select("id", "video_id")
 
 
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN -1 ELSE label END AS video_id FROM embeddings WHERE vec_id % 7 = 0 OR label <> 4 OR label IS NULL")
+def vector_upsert_in_place(spark, sf_dir):
+    """A table that is written, changed by key, and rid of one video, each time only where it is touched."""
+    v = t.vectors(spark, sf_dir)
+    folder = folders.fresh(spark, "vectors")
+    try:
+        kept = KeyedTable(spark, f"{folder}/table", v.schema, "id", 16)
+        kept.upsert(v)
+        kept.upsert(v.where("id % 7 = 0").withColumn("video_id", F.lit(-1)))
+        kept.delete_where(F.col("video_id") == 4)
+        return folders.checkpoint(kept.read().select("id", "video_id"))
+    finally:
+        folders.discard(spark, folder)
+
+
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN -1 ELSE label END AS video_id FROM embeddings")
 def vector_upsert(spark, sf_dir):
     v = t.vectors(spark, sf_dir)
@@ -852,6 +868,19 @@ def perf_percentiles(spark, sf_dir):
     return made.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
+@query("SELECT event_type, percent, count(value) AS n, true AS within FROM events, unnest([50, 95, 99]) AS p(percent) WHERE value IS NOT NULL GROUP BY ALL")
+def daily_sketch_percentiles(spark, sf_dir):
+    """Whether percentiles of merged daily sketches are within two percent of the ranks that they stand for."""
+    events = t.table(spark, sf_dir, "events")
+    found = metrics.merged_percentiles(metrics.daily_sketches(events, "event_type", "value", "ts"), "event_type")
+    each = found.select("event_type", "n", F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.col(f"p{p}").alias("q")) for p in (50, 95, 99)])).alias("e")).select("event_type", "n", "e.*")
+    ranks = events.join(F.broadcast(each), "event_type").groupBy("event_type", "percent", "n").agg(
+        (100 * F.count_if(F.col("value") < F.col("q")) / F.first("n")).alias("below"), (100 * F.count_if(F.col("value") <= F.col("q")) / F.first("n")).alias("upto")
+    )
+    near = (F.col("below") - 2 <= F.col("percent")) & (F.col("percent") <= F.col("upto") + 2)
+    return ranks.select("event_type", "percent", "n", near.alias("within"))
+
+
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS input FROM events")
 def rotated_inputs(spark, sf_dir):
     return metrics.rotated(t.table(spark, sf_dir, "events").select("event_id"), "event_id", ["a", "b", "c"])

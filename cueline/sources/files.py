@@ -86,6 +86,13 @@ def report(title: str, summary: DataFrame, most: int = 1000) -> str:
     return head + "".join(f"| {' | '.join('' if v is None else str(v) for v in r)} |\n" for r in rows)
 
 
+def write_report(title: str, summary: DataFrame, folder: str, most: int = 1000) -> None:
+    """A small summary as Markdown and as JSON lines, in two folders of a new one; an existing one is refused."""
+    made = summary.sparkSession.createDataFrame([(report(title, summary, most).removesuffix("\n"),)], "value string")
+    made.coalesce(1).write.text(f"{folder.rstrip('/')}/markdown")
+    summary.coalesce(1).write.json(f"{folder.rstrip('/')}/json")
+
+
 def pending_versions(files: DataFrame, applied: DataFrame) -> DataFrame:
     """Versions that are not applied yet, in order."""
     return files.join(applied, "version", "left_anti").orderBy("version")
