@@ -52,13 +52,12 @@ def split_recursively(docs: DataFrame, key: str, text: str, most: int = 1000, se
     place = F.col("place")
     pieces = docs.select(F.col(key).alias("key"), F.array(F.lit(0)).alias("place"), F.col(text).alias("piece")).where("piece <> ''")
     for separator in separators:
-        parts = F.split("piece", f"\\Q{separator}\\E", -1)
-        ended = F.transform(parts, lambda p, k: F.when(k < F.size(parts) - 1, F.concat(p, F.lit(separator))).otherwise(p))
-        # one projection for short and long pieces, so that the texts are read once
-        found = F.when(F.length("piece") > most, ended).otherwise(F.array("piece"))
-        pieces = pieces.select("key", "place", F.posexplode(found).alias("k", "piece")).where("piece <> ''").select(
-            "key", F.concat(place, F.array("k")).alias("place"), "piece"
-        )
+        # one projection for short and long pieces, so that the texts are read once; and each is split once
+        parts = F.when(F.length("piece") > most, F.split("piece", f"\\Q{separator}\\E", -1)).otherwise(F.array("piece"))
+        ended = F.when(F.col("k") < F.col("last"), F.concat("part", F.lit(separator))).otherwise(F.col("part"))
+        pieces = pieces.select("key", "place", parts.alias("parts")).select(
+            "key", "place", (F.size("parts") - 1).alias("last"), F.posexplode("parts").alias("k", "part")
+        ).select("key", F.concat(place, F.array("k")).alias("place"), ended.alias("piece")).where("piece <> ''")
     cuts = F.sequence(F.lit(0), F.floor((F.length("piece") - 1) / most).cast("int"))
     pieces = pieces.select("key", "place", "piece", F.explode(cuts).alias("k")).select(
         "key", F.concat(place, F.array("k")).alias("place"), F.expr(f"substring(piece, k * {most} + 1, {most})").alias("piece")
