@@ -454,6 +454,30 @@ def html_transcript(spark, sf_dir):
     return pages.transcript_segments(made).withColumn("idx", F.col("idx").cast("long"))
 
 
+@query(
+    f"""WITH {SEGMENTS_SQL} SELECT 'v' || video_id AS url, (row_number() OVER (PARTITION BY video_id ORDER BY idx) - 1) AS idx, time,
+  regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM seg WHERE regexp_matches(text, '\\S')"""
+)
+def html_transcript_containers(spark, sf_dir):
+    """The same rows from pages without segment elements: three containers, one of them after an empty one, nested and unclosed items."""
+    rows, said, kind = t.segments(spark, sf_dir), F.col("text"), F.col("video_id") % 4
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        said = F.replace(said, F.lit(sign), F.lit(name))
+    begun, ended = F.lit('<li class="cue-line"><span class="cue-stamp">'), F.lit("</span> <b>")
+    item = F.concat(begun, F.col("time"), ended, said, F.when(kind == 3, F.lit("</b>")).otherwise(F.lit("</b></li>")))
+    panel = F.lit('<ytd-engagement-panel-section-list-renderer class="x" target-id="engagement-panel-transcript"><div class="segments">')
+    empty = F.concat(panel, F.lit('<div class="cue">no time</div></div></ytd-engagement-panel-section-list-renderer>'))
+    held = F.first(kind)
+    opened = (
+        F.when(held == 0, panel).when(held == 1, F.lit("<ytd-transcript-renderer></em><div class='segments'>"))
+        .when(held == 2, F.concat(empty, F.lit("<ytd-transcript-renderer><div>"))).otherwise(F.lit('<section aria-label="Transcript of it"><ul>'))
+    )
+    made = rows.groupBy(F.concat(F.lit("v"), F.col("video_id").cast("string")).alias("url")).agg(
+        F.concat(F.lit("<p>5:00 <i class=cue>5:01 outside</i>"), opened, transcripts.joined(F.col("idx"), item, "\n")).alias("html")
+    )
+    return pages.transcript_segments(made).withColumn("idx", F.col("idx").cast("long"))
+
+
 @query(
     f"""WITH {_ADDRESSES_SQL} SELECT ord, CASE form WHEN 6 THEN '@user' || i WHEN 2 THEN 'embed' WHEN 3 THEN 'v' WHEN 7 THEN NULL WHEN 1 THEN i ELSE 'watch' END AS identifier,
   CASE form WHEN 6 THEN '@user' || i WHEN 7 THEN NULL ELSE '' END AS channel_id, CASE form WHEN 6 THEN '@user' || i WHEN 7 THEN NULL ELSE '' END AS handle,

@@ -1,4 +1,4 @@
-"""Snapshots of web pages as sources: transcripts, video lists and links, with built-in text functions."""
+"""Snapshots of web pages as sources: transcripts, video lists and links, with built-in text functions where markup is flat."""
 
 from __future__ import annotations
 
@@ -7,18 +7,8 @@ from pyspark.sql import functions as F
 
 from cueline.functions.text import trim_all
 from cueline.functions.urls import channel_handle, channel_id
+from cueline.sources.markup import TranscriptRows
 
-# The elements that hold a transcript, the classes of its parts, and where else it may stand.
-SEGMENT = r"(?s)<ytd-transcript-segment-renderer\b[^>]*>(.*?)</ytd-transcript-segment-renderer>"
-TIME = r'(?s)class="[^"]*\b(?:segment-timestamp|cue-time)\b[^"]*"[^>]*>(.*?)</'
-TEXT = r'(?s)class="[^"]*\bsegment-text\b[^"]*"[^>]*>(.*?)</'
-CONTAINERS = [
-    r'(?s)<ytd-engagement-panel-section-list-renderer\b[^>]*target-id="engagement-panel-transcript"[^>]*>(.*?)</ytd-engagement-panel-section-list-renderer>',
-    r"(?s)<ytd-transcript-renderer\b[^>]*>(.*?)</ytd-transcript-renderer>",
-    r'(?s)<div\b[^>]*aria-label="[^"]*Transcript[^"]*"[^>]*>(.*)',
-]
-ITEM = r'(?s)<(?:div|span|p|li)\b[^>]*class="[^"]*(?:cue|segment)[^"]*"[^>]*>([^<]+)<'
-LEADING_TIME = r"^(\d+(?::\d+){1,2})"
 VIDEO_LINK = r"[?&]v=([a-zA-Z0-9_-]{11})"
 
 
@@ -29,37 +19,24 @@ def strip_tags(html: Column) -> Column:
     return trim_all(plain)
 
 
-def split_leading_time(text: Column) -> Column:
-    """Struct of the time that a text starts with and the rest; times of three parts stay whole."""
-    time = F.regexp_extract(text, LEADING_TIME, 1)
-    return F.struct(time.alias("time"), trim_all(F.regexp_replace(text, LEADING_TIME, "")).alias("text"))
-
-
-def _segment(element: Column) -> Column:
-    time, text = strip_tags(F.regexp_extract(element, TIME, 1)), strip_tags(F.regexp_extract(element, TEXT, 1))
-    marked = element.rlike(TIME) & element.rlike(TEXT)
-    return F.when(marked, F.struct(time.alias("time"), text.alias("text"))).otherwise(split_leading_time(strip_tags(element)))
+def _with_rows(pages: DataFrame, key: str, html: str, always: bool) -> DataFrame:
+    # what marks a transcript has this word in it; other pages don't leave the JVM
+    marked = F.when(F.contains(F.lower(F.col(html)), F.lit("transcript")), F.col(html))
+    return pages.select(key, marked.alias("html")).lateralJoin(TranscriptRows(F.col("html").outer(), F.lit(always)))
 
 
 def transcript_segments(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
-    """(key, idx, time, text) from the transcript elements of pages.
+    """(key, idx, time, text) from the transcript elements of pages, each read by itself, nested and unclosed markup too.
 
     Pages without any are searched in other containers, the first with rows
     wins.  Rows without a time or a text are dropped, and idx counts the rest.
     """
-    full = lambda rows: F.filter(rows, lambda s: (s["time"] != "") & (s["text"] != ""))
-    main = full(F.transform(F.regexp_extract_all(F.col(html), F.lit(SEGMENT), F.lit(1)), _segment))
-    others = [
-        full(F.transform(F.regexp_extract_all(F.regexp_extract(F.col(html), c, 1), F.lit(ITEM), F.lit(1)), lambda t: split_leading_time(strip_tags(t))))
-        for c in CONTAINERS
-    ]
-    chosen = F.coalesce(*[F.when(F.size(rows) > 0, rows) for rows in (main, *others)])
-    return pages.select(key, F.posexplode(chosen).alias("idx", "s")).select(key, "idx", "s.time", "s.text")
+    return _with_rows(pages, key, html, False).select(key, "idx", "time", "text")
 
 
 def without_transcript(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
-    """Pages that yield no segment, with the code NO_TRANSCRIPT."""
-    return pages.join(transcript_segments(pages, key, html).select(key).distinct(), key, "left_anti").select(key, F.lit("NO_TRANSCRIPT").alias("error_code"))
+    """Pages that yield no segment, with the code NO_TRANSCRIPT; found in the same pass over the pages."""
+    return _with_rows(pages, key, html, True).where("idx is null").select(key, F.lit("NO_TRANSCRIPT").alias("error_code"))
 
 
 def video_ids(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:

@@ -1,12 +1,13 @@
 """Search, chat, embeddings, pages, files and streams."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from cueline.operators import chat, chunking, embedding, search
-from cueline.sources import files, pages
+from cueline.sources import files, markup, pages
 from cueline.streaming import progress
 from tests.fixtures import TRANSCRIPT_A, TRANSCRIPT_B
 
@@ -95,6 +96,49 @@ def test_transcript_pages(spark):
     assert sorted(r.url for r in pages.without_transcript(df).collect()) == ["d", "e"]
 
 
+def test_nested_and_unclosed_markup():
+    one = '<ytd-transcript-segment-renderer class="a > b"><div><div class="x segment-timestamp"><!-- </div> --><span>1:0<b>2</b></span></div></div><p class="segment-text">deep <i>er &lt;b&gt;</i>'
+    assert markup.read_transcript(one + "</p></ytd-transcript-segment-renderer>" + one) == [("1:02", "deep er <b>")] * 2
+    assert markup.read_transcript(one[:-4] + "<script>if (a < b) '</i>'</script>!") == [("1:02", "deep er <b>!")]
+    slot = '<ytd-transcript-segment-renderer><u class="ytd-transcript-segment-renderer" slot=timestamp>0:03</u><yt-formatted-string class="ytd-transcript-segment-renderer">said'
+    assert markup.read_transcript(slot) == [("0:03", "said")]
+    cue = '<ytd-transcript-segment-renderer><u class="cue-time">0:04</u><div class="cue"><em><yt-formatted-string>heard</em></div>'
+    assert markup.read_transcript(cue) == [("0:04", "heard")]
+    assert markup.read_transcript("") == markup.read_transcript("<ytd-transcript-segment-renderer") == []
+
+
+def test_other_containers():
+    panel = '<ytd-engagement-panel-section-list-renderer target-id="engagement-panel-transcript">'
+    items = "<div class=segments><div class='my-cue'><b class=cue-stamp>0:01</b> one</div><div class=cue>0:02 two<div class=cue>0:03</div></div></div>"
+    want = [("0:01", "one"), ("0:02", "two0:03")]
+    assert markup.read_transcript(panel + items) == want
+    assert markup.read_transcript(panel + "<p class=cue>no time</p></ytd-engagement-panel-section-list-renderer><ytd-transcript-renderer>" + items) == want
+    assert markup.read_transcript("<div class=cue>0:09 outside</div><section aria-label='The Transcript'>" + items + "</section>" + items) == want
+    assert markup.read_transcript("<ul aria-label=Transcript><li class=cue>0:01 a<li class=cue>1:02:03 b<p>c</ul><p class=cue>0:05 out") == [("0:01", "a"), ("1:02:03", "bc")]
+    # a container and its like: only the first of a kind is searched
+    assert markup.read_transcript("<ytd-transcript-renderer></ytd-transcript-renderer><ytd-transcript-renderer>" + items) == []
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 100_000 + "</b>" * 100_000, "<!--" * 200_000, "<" * 200_000, "<a " * 200_000, "<a " + "x" * 500_000 + ">", "<a b=\"'>" * 100_000, "<a " + "= " * 200_000 + ">",
+     "<ytd-transcript-renderer>" + "<div class=cue>" * 50_000 + "0:01 x", "<ytd-transcript-segment-renderer>0:01 x" * 20_000, "<script>" * 100_000],
+)
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    markup.read_transcript(page)
+    assert time.process_time() - began < 5  # squares of these sizes take minutes
+
+
+def test_transcript_rows_in_sql(spark):
+    spark.udtf.register("transcript_rows", markup.TranscriptRows)
+    df = spark.createDataFrame([(1, element("0:00", "a") + element("0:01", "b")), (2, None), (3, "")], "n int, html string")
+    got = spark.sql("SELECT n, r.* FROM {df}, LATERAL transcript_rows(html) r ORDER BY n, idx", df=df).collect()
+    assert [tuple(r) for r in got] == [(1, 0, "0:00", "a"), (1, 1, "0:01", "b")]
+    got = spark.sql("SELECT n, r.idx FROM {df}, LATERAL transcript_rows(html, true) r ORDER BY n, idx", df=df).collect()
+    assert [tuple(r) for r in got] == [(1, 0), (1, 1), (2, None), (3, None)]
+
+
 def test_video_lists(spark):
     html = "<title>My &amp; list</title><a href='/watch?v=aaaaaaaaaaa&x=1'></a><a href='/watch?v=bbbbbbbbbbb'></a><a href='/watch?v=aaaaaaaaaaa'></a>"
     r = pages.video_ids(spark.createDataFrame([("https://www.youtube.com/@me/videos", html)], "url string, html string")).first()
