@@ -295,6 +295,20 @@ def chunk_preview(spark, sf_dir):
     return chunking.preview(chunking.chunk_by_time(t.segments(spark, sf_dir), 30, 5))
 
 
+_BY_OPTION = {
+    "time-based": (chunking.ChunkingOptions("time-based", chunk_seconds=30, overlap_seconds=5), "chunk_time_30_5"),
+    "sentence-based": (chunking.ChunkingOptions("sentence-based", min_length=200), "chunk_sentence"),
+    "token-based": (chunking.ChunkingOptions("token-based", max_tokens=100, overlap_tokens=20), "chunk_token"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS strategy, * FROM ({_SQL[sql]})" for name, (_, sql) in _BY_OPTION.items()))
+def chunk_by_option(spark, sf_dir):
+    """Chunks by each strategy that options can name, one under another."""
+    made = [_chunks(chunking.chunk(t.segments(spark, sf_dir), o)).select(F.lit(name).alias("strategy"), "*") for name, (o, _) in _BY_OPTION.items()]
+    return reduce(DataFrame.unionByName, made)
+
+
 _TOKEN_SQL = _SQL["chunk_token"].replace("w * 320", "w * 1400").replace("320.0", "1400.0").replace("+ 400", "+ 1600").replace("+ 1, 400", "+ 1, 1600")
 
 
