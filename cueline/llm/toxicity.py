@@ -27,6 +27,8 @@ from cueline.llm._common import checkpoint, col
 
 #: Bound on the labelled rows that the model is fitted on.
 LABELLED_ROWS = 20_000
+#: Bound on the terms of these rows together, four bytes each: of long texts fewer rows are sampled, but each whole.
+LABELLED_TERMS = 1 << 25
 #: Parts in which these rows come to the driver.
 SAMPLE_PARTS = 16
 BUCKETS = 1 << 20
@@ -145,15 +147,33 @@ def fit_machine(rows: list, labels: np.ndarray, n_terms: int, epochs: int = 30,
     return bias, w, v
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(text, y) of at most ``rows`` labelled documents, chosen by a hash of their doc_id."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``rows`` labelled documents, chosen by a hash of their doc_id."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     # at most ``rows`` pairs of numbers
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
+
+
+def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(text, y) of these documents."""
+    return labelled(docs, labels, label, rows).select("text", "y")
+
+
+def bounded(sample: DataFrame, terms: int) -> DataFrame:
+    """The first documents of a sample, in the order of the hash of their doc_id, that have at most so many terms together."""
+    order = ["h", "doc_id"]
+    sizes = sample.groupBy("doc_id").agg(F.sum(F.length("terms") / 4).alias("n")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "n")
+    so_far = 0
+    for r in sizes.orderBy(*order).collect():  # at most LABELLED_ROWS numbers
+        so_far += r["n"]
+        if so_far > terms:
+            h = F.xxhash64("doc_id")
+            return sample.where((h < r["h"]) | (h == r["h"]) & (F.col("doc_id") < r["doc_id"]))
+    return sample
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +181,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict[str, list[int]] = {}
     for batch in batches:
         found = []
-        for text in batch.column(0).to_pylist():
+        for text in batch.column("text").to_pylist():
             if len(memo) > _MEMO:
                 memo.clear()
             counts = Counter()
@@ -172,20 +192,21 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in buckets:
                     counts[b] += n
             found.append(np.array(sorted(levels(counts)), "<i4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["terms", "y"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary()), batch.column("y")], names=["doc_id", "terms", "y"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LABELLED_ROWS) -> Model:
-    """Fit on at most ``rows`` of the labelled documents; labels hold doc_id and ``label`` (0 or 1).
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LABELLED_ROWS, terms: int = LABELLED_TERMS) -> Model:
+    """Fit on at most ``rows`` of the labelled documents, of at most ``terms`` terms together; labels hold doc_id and ``label`` (0 or 1).
 
     Null labels are left out and repeated ones count once.  Without labels, or
     with labels of one kind only, every text scores the share of ones.
     """
-    # bounded: ``rows`` arrays of distinct terms; in a stated order, so that the fit can be repeated.
+    # bounded in rows and in bytes: arrays of distinct terms; in a stated order, so that the fit can be repeated.
     # The texts are scanned once for them; the driver keeps terms, not texts.
     # They come a part at a time, and each is kept once.
-    chosen = checkpoint(sampled(docs, labels, label, rows).mapInArrow(_terms, "terms binary, y int").repartition(SAMPLE_PARTS))
-    sample = sorted((bytes(r["terms"]), r["y"]) for r in chosen.toLocalIterator())
+    sample = labelled(docs, labels, label, rows)
+    chosen = checkpoint(sample.mapInArrow(_terms, f"doc_id {dict(sample.dtypes)['doc_id']}, terms binary, y int").repartition(SAMPLE_PARTS))
+    sample = sorted((bytes(r["terms"]), r["y"]) for r in bounded(chosen, terms).select("terms", "y").toLocalIterator())
     found, y = [np.frombuffer(t, "<i4") for t, _ in sample], np.array([float(y) for _, y in sample])
     del sample
     total, ones = len(y), y.sum()

@@ -42,6 +42,25 @@ def test_odd_tables(spark, op, module, label):
     assert getattr(module, op)(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_sample_is_bounded_in_terms(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0"))  # repeated rows count, and stay or go together
+    sample = toxicity.labelled(docs, labels, "toxic", 30).mapInArrow(toxicity._terms, "doc_id long, terms binary, y int").cache()
+    sizes = sample.groupBy("doc_id").agg(F.sum(F.length("terms") / 4).alias("n")).orderBy(F.xxhash64("doc_id")).collect()
+    every = sum(r.n for r in sizes)
+    for bound in (0, int(sizes[0].n) - 1, int(sizes[0].n), int(every / 2), int(every) - 1, int(every)):
+        want, so_far = set(), 0
+        for r in sizes:
+            so_far += r.n
+            if so_far > bound:
+                break
+            want.add(r.doc_id)
+        assert {r.doc_id for r in toxicity.bounded(sample, bound).collect()} == want
+    model = toxicity.fit(docs, labels, terms=0)  # nothing to learn from: every text scores one half
+    assert set(toxicity.Scorer(model)(["you idiot", None, ""]).tolist()) == {0.5}
+    assert len(toxicity.fit(docs, labels, terms=int(every)).kept) > 0
+
+
 def test_toxicity_scores_match_brute_force(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
