@@ -82,7 +82,7 @@ def test_quality_scores_match_brute_force(spark):
         cosine = model.vectors @ x / np.linalg.norm(x)
         top = np.argsort(-cosine)[:25]
         weight = np.maximum(cosine[top], 1e-3) ** 4
-        assert got[r.doc_id] == pytest.approx((weight * model.labels[top]).sum() / weight.sum(), abs=0.05)
+        assert got[r.doc_id] == pytest.approx((weight * model.labels[top]).sum() / weight.sum(), abs=1e-4)
 
 
 def test_terms_tell_how_often():
