@@ -17,15 +17,15 @@ def current_state(events: DataFrame) -> DataFrame:
     """The state of each job after all its events (job_id, seq, at, kind, status, processed, successful, failed, message).
 
     ``status`` events set the status and set or clear the message; ``progress``
-    events set the counters, which are totals; ``complete``, ``fail`` and
-    ``abort`` end the job.
+    events set the counters, which are totals, and leave those that they hold no
+    value for; ``complete``, ``fail`` and ``abort`` end the job.
     """
     order = F.struct("at", "seq")
     state = F.col("kind").isin("status", "complete", "fail", "abort")
     return events.groupBy("job_id").agg(
         F.max_by("status", F.when(state, order)).alias("status"),
         F.max_by("message", F.when(state, order)).alias("error_message"),
-        *[F.coalesce(F.max_by(c, F.when(F.col("kind").isin("progress", "complete"), order)), F.lit(0)).alias(c) for c in ("processed", "successful", "failed")],
+        *[F.coalesce(F.max_by(c, F.when(F.col("kind").isin("progress", "complete") & F.col(c).isNotNull(), order)), F.lit(0)).alias(c) for c in ("processed", "successful", "failed")],
         F.min("at").alias("created_at"), F.max("at").alias("updated_at"),
         F.max(F.when(F.col("status").isin(*FINAL) & state, F.col("at"))).alias("completed_at"),
     )
