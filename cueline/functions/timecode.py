@@ -41,6 +41,12 @@ def label(seconds: Column) -> Column:
     )
 
 
+def minutes_label(seconds: Column) -> Column:
+    """``M:SS`` whatever the length: minutes are not carried into hours."""
+    s = F.floor(seconds).cast("long")
+    return F.when(seconds.isNotNull(), F.format_string("%d:%02d", F.floor(s / 60).cast("long"), s % 60))
+
+
 def deep_link(url: Column, start: Column) -> Column:
     """The url with ``t={whole seconds}s`` added to its query."""
     join = F.when(F.contains(url, F.lit("?")), F.lit("&")).otherwise(F.lit("?"))

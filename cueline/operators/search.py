@@ -6,6 +6,7 @@ columns, such as chunks after ``embed_chunks``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,16 +146,16 @@ def with_rank(hits: DataFrame, id_col: str = "id") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
 
 
-def items(hits: DataFrame) -> DataFrame:
-    """Hits as search items, with the label of their time and a link to it."""
+def items(hits: DataFrame, stamp: Callable[[Column], Column] = label) -> DataFrame:
+    """Hits as search items, with the label of their time, which ``stamp`` makes, and a link to it."""
     return hits.select(
         "video_id", "video_url", "video_title", "chunk_index", "text", "start_time", "end_time", "score",
-        label(F.col("start_time")).alias("timestamp"), deep_link(F.col("video_url"), F.col("start_time")).alias("video_url_with_timestamp"),
+        stamp(F.col("start_time")).alias("timestamp"), deep_link(F.col("video_url"), F.col("start_time")).alias("video_url_with_timestamp"),
     )
 
 
-def citations(hits: DataFrame) -> DataFrame:
-    return items(hits).select("video_id", "video_url", "video_title", "text", "score", "timestamp", "video_url_with_timestamp")
+def citations(hits: DataFrame, stamp: Callable[[Column], Column] = label) -> DataFrame:
+    return items(hits, stamp).select("video_id", "video_url", "video_title", "text", "score", "timestamp", "video_url_with_timestamp")
 
 
 def result_stats(hits: DataFrame) -> DataFrame:

@@ -18,6 +18,11 @@ def test_label(spark, seconds, label):
     assert one(spark, timecode.label, seconds, "double") == label
 
 
+@pytest.mark.parametrize("seconds, label", [(75.0, "1:15"), (3723.9, "62:03"), (None, None)])
+def test_minutes_label(spark, seconds, label):
+    assert one(spark, timecode.minutes_label, seconds, "double") == label
+
+
 @pytest.mark.parametrize("time, stamp", [("75:05", "01:15:05,000"), ("1:02:03", "01:02:03,000"), ("x", "00:00:00,000"), ("6000:00", "100:00:00,000"), ("123:00:05", "123:00:05,000")])
 def test_srt_stamp(spark, time, stamp):
     assert one(spark, timecode.srt_stamp, time) == stamp
