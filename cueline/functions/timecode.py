@@ -71,6 +71,13 @@ def srt_stamp(time: Column) -> Column:
     return F.concat(body, F.lit(",000"))
 
 
+def minutes_stamp(time: Column) -> Column:
+    """``00:MM:SS,000`` of a two-part time, whatever its length; other times as ``srt_stamp``."""
+    m, s = leading_int(_part(time, 0)), leading_int(_part(time, 1))
+    two = F.concat(F.lit("00:"), _two(m), F.lit(":"), _two(s), F.lit(",000"))
+    return F.when(F.size(_parts(time)) == 2, two).otherwise(srt_stamp(time))
+
+
 def add_seconds(time: Column, seconds: int) -> Column:
     """Two parts stay ``MM:SS`` without a carry into hours, three stay ``HH:MM:SS``; anything else is ``00:03``."""
     total = parse_seconds(time) + seconds

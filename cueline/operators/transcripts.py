@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,12 @@ def with_times(segments: DataFrame) -> DataFrame:
     )
 
 
-def to_srt(segments: DataFrame) -> DataFrame:
-    """(video_id, srt): numbered cues; a cue ends where the next starts, or after three seconds."""
+def to_srt(segments: DataFrame, stamp: Callable[[Column], Column] = srt_stamp) -> DataFrame:
+    """(video_id, srt): numbered cues; a cue ends where the next starts, or after three seconds. ``stamp`` writes the times."""
     following = F.coalesce(F.nullif(F.lead("time").over(by_video()), F.lit("")), add_seconds(F.col("time"), LAST_CUE_SECONDS))
     cues = segments.withColumn("number", F.row_number().over(by_video())).withColumn("next", following)
     cue = F.concat(
-        F.col("number").cast("string"), F.lit("\n"), srt_stamp(F.col("time")), F.lit(" --> "), srt_stamp(F.col("next")),
+        F.col("number").cast("string"), F.lit("\n"), stamp(F.col("time")), F.lit(" --> "), stamp(F.col("next")),
         F.lit("\n"), F.col("text"), F.lit("\n"),
     )
     return cues.groupBy("video_id").agg(joined(F.col("idx"), cue, "\n").alias("srt"))

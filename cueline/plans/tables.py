@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.functions.timecode import label
+from cueline.functions.timecode import minutes_label
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations, ten seconds each."""
     return table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("video_id"), F.col("turn").alias("idx"), label(F.col("turn") * 10).alias("time"), "text"
+        F.col("conv_id").alias("video_id"), F.col("turn").alias("idx"), minutes_label(F.col("turn") * 10).alias("time"), "text"
     )
 
 
