@@ -17,6 +17,11 @@ def _oriented(edges: DataFrame) -> DataFrame:
     )
 
 
+def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Edges (u, v) of several pairs of columns of each row, made in one pass: a union would do what lies below once for each pair."""
+    return rows.select(F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])))
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -25,27 +30,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Map each node of ``edges`` (u, v: long) to its component's smallest node.
 
     Returns (node, root) for every node that has an edge to another node, roots
-    excluded.  Each round costs two grouped minima and two equi-joins; the
-    number of rounds grows with the logarithm of the longest path.  No group is
-    ever gathered in one task: minima are combined before the shuffle, and a
-    hub's edges are ordinary rows of a join that adaptive execution can split.
+    excluded.  Each round costs two grouped minima and two equi-joins, in few
+    stages, as the driver keeps account of every task of them; the number of
+    rounds grows with the logarithm of the longest path.  No group is ever
+    gathered in one task: minima are combined before the shuffle, and a hub's
+    edges are ordinary rows of a join that adaptive execution can split.
     Edges with a null end are dropped; no edges give no rows.
     """
     e = checkpoint(_oriented(edges.select("u", "v").where("u is not null and v is not null")))
     state = _state(e)
     while state[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _each(e, ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # distinct: a node whose neighbours share their minimum has one edge left, not one for each of them
         large = _oriented(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = checkpoint(
-            _oriented(
-                small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-                    small.select("u", F.col("m").alias("v"))
-                )
-            )
-        )
+        e = checkpoint(_oriented(_each(large.join(low, "u"), ("v", "m"), ("u", "m"))))
         before, state = state, _state(e)
         if state == before:
             break

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -162,6 +162,12 @@ def decompose(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim
     return Model(weight, projection, vectors.astype(np.float32), model.labels)
 
 
+def ordered(rows: Iterable[tuple]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Terms and labels of rows (bucket, value, y), by the hash of all three; only the hashes are kept beside the arrays."""
+    rows = sorted(rows, key=lambda r: hash((tuple(r[0]), tuple(r[1]), r[2])))
+    return [(b, v) for b, v, _ in rows], np.array([y for *_, y in rows], float)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = LABELLED_ROWS) -> Model:
     """Fit on at most ``rows`` of the labelled documents; labels hold doc_id and ``label`` (0 or 1).
 
@@ -180,8 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
     # bounded: ``rows`` sparse vectors of at most BUCKETS terms; in a stated order
     sample = sampled(docs, labels, label, rows).mapInArrow(of, "bucket array<int>, value array<float>, y int").toPandas()
-    found = sorted(((tuple(b), tuple(v), y) for b, v, y in zip(sample["bucket"], sample["value"], sample["y"])), key=hash)
-    return decompose([(np.array(b), np.array(v)) for b, v, _ in found], np.array([y for *_, y in found], float))
+    return decompose(*ordered(zip(sample["bucket"], sample["value"], sample["y"])))
 
 
 def score(model: Model, text: Column) -> Column:

@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cmp_to_key
 
 import numpy as np
 import pandas as pd
@@ -195,6 +196,28 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary()), batch.column("y")], names=["doc_id", "terms", "y"])
 
 
+def gathered(rows: Iterable, terms: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The terms of rows (terms, y) of at most ``terms`` terms together, and their labels, ordered by both.
+
+    The terms lie in one array, of which only the part in use takes memory and
+    which is given back whole; thousands of small ones leave the driver's heap in pieces.
+    """
+    flat, ends, y = np.empty(terms, "<i4"), [0], []
+    for r in rows:
+        row = np.frombuffer(r["terms"], "<i4")
+        ends.append(ends[-1] + len(row))
+        flat[ends[-2] : ends[-1]] = row
+        y.append(float(r["y"]))
+    found = [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+    def compared(i: int, j: int) -> int:
+        a, b = (found[i].tobytes(), y[i]), (found[j].tobytes(), y[j])
+        return (a > b) - (a < b)
+
+    order = sorted(range(len(found)), key=cmp_to_key(compared))
+    return [found[k] for k in order], np.array([y[k] for k in order])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LABELLED_ROWS, terms: int = LABELLED_TERMS) -> Model:
     """Fit on at most ``rows`` of the labelled documents, of at most ``terms`` terms together; labels hold doc_id and ``label`` (0 or 1).
 
@@ -206,22 +229,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LA
     # They come a part at a time, and each is kept once.
     sample = labelled(docs, labels, label, rows)
     chosen = checkpoint(sample.mapInArrow(_terms, f"doc_id {dict(sample.dtypes)['doc_id']}, terms binary, y int").repartition(SAMPLE_PARTS))
-    sample = sorted((bytes(r["terms"]), r["y"]) for r in bounded(chosen, terms).select("terms", "y").toLocalIterator())
-    found, y = [np.frombuffer(t, "<i4") for t, _ in sample], np.array([float(y) for _, y in sample])
-    del sample
+    found, y = gathered(bounded(chosen, terms).select("terms", "y").toLocalIterator(), terms)
     total, ones = len(y), y.sum()
     held = np.zeros(LEVELS * BUCKETS, np.int32)
-    for terms in found:
-        held[terms] += 1
+    for row in found:
+        held[row] += 1
     kept = np.flatnonzero(held >= LEAST_DOCUMENTS)
     if not len(kept) or ones in (0, total):
         share = (ones + 0.5) / (total + 1)
         return Model(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
     place = np.full(len(held), -1, np.int32)
     place[kept] = np.arange(len(kept))
-    for k, terms in enumerate(found):
-        terms = place[terms]
-        found[k] = terms[terms >= 0]
+    for k, row in enumerate(found):
+        left = place[row]
+        left = left[left >= 0]
+        row[: len(left)] = left  # in its place, which is one array's
+        found[k] = row[: len(left)]
     del held, place
     bias, w, v = fit_machine(found, y, len(kept))
     return Model(kept, bias, w, v)

@@ -1,5 +1,7 @@
 """Toxicity and quality: held-out accuracy, and awkward tables."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +152,26 @@ def test_a_score_does_not_depend_on_the_texts_beside_it():
     for at in (0, 1, 100, 255):
         texts = others[:at] + [text] + others[at:]
         assert scorer(texts)[at] == alone and scorer([text, *texts, None, text])[-1] == alone
+
+
+def test_quality_sample_is_ordered_without_copies():
+    rng = np.random.default_rng(5)
+    rows = [(rng.integers(0, 9_000, 300).astype(np.int32), rng.random(300).astype(np.float32), k % 2) for k in range(300)]
+    want = sorted(((tuple(b), tuple(v), y) for b, v, y in rows), key=hash)
+    tracemalloc.start()
+    got, y = quality_vote.ordered(iter(rows))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(tuple(b), tuple(v), y) for (b, v), y in zip(got, y)] == want
+    assert most < 300_000  # the arrays are 720 KB, as tuples of numbers some 6 MB
+
+
+def test_toxicity_sample_lies_in_one_array():
+    rng = np.random.default_rng(6)
+    rows = [{"terms": np.unique(rng.integers(0, 1 << 20, n)).astype("<i4").tobytes(), "y": n % 2} for n in (0, 5, 900, 900, 1, 40)] * 2
+    rows.append(rows[2] | {"y": 1})
+    want = sorted((r["terms"], r["y"]) for r in rows)
+    got, y = toxicity.gathered(iter(rows), sum(len(r["terms"]) for r in rows) // 4)
+    assert [(t.tobytes(), k) for t, k in zip(got, y)] == want
+    assert len({id(t.base) for t in got}) == 1
+    assert [len(x) for x in toxicity.gathered(iter([]), 0)] == [0, 0]

@@ -89,6 +89,20 @@ def test_components_of_a_long_path_and_of_nothing(spark):
     assert connected_components(path.where("u < -1")).count() == 0
 
 
+def test_a_round_of_components_takes_few_tasks(spark):
+    sc = spark.sparkContext
+    path = spark.createDataFrame([(i, i + 1) for i in range(100)], "u long, v long").repartition(4)
+    sc.setJobGroup("components", "components")
+    try:
+        assert connected_components(path).where("root = 0").count() == 100
+        jobs = sc.statusTracker().getJobIdsForGroup("components")
+    finally:
+        sc.setJobGroup("tests", "tests")
+    stages = {k for j in jobs for k in sc.statusTracker().getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for k in stages if (x := sc.statusTracker().getStageInfo(k)))
+    assert 0 < tasks <= 115, tasks
+
+
 def test_one_document_of_each_group_stays(spark, rows):
     docs = frame(spark, [*rows, rows[5], (None, "anything"), (None, None)])
     left = simhash.drop_near_duplicates(docs)
