@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,22 @@ from pyspark.sql import functions as F
 # Arrow batches are left to Spark, which ends one at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch)
 # or 10,000 rows: however long texts are, a batch has a bound in bytes, and no operator sets anything for the session.
 
+#: Rows of a batch that are Python values at once.
+TOGETHER = 256
+#: Entries after which a worker's memo of words starts afresh: most words beyond the frequent ones come once, and a memo of them is memory alone.
+MEMO = 50_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(*columns: pa.Array, rows: int = TOGETHER) -> Iterator[tuple[pa.Array, ...]]:
+    """The rows of a batch's columns, some at a time and without a copy, so that a worker never has a whole batch as Python values."""
+    for at in range(0, len(columns[0]), rows):
+        yield tuple(c.slice(at, rows) for c in columns)
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """Names for working columns that no column of ``df`` has, whatever its columns are called."""
     taken = {c.lower() for c in df.columns}

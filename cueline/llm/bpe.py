@@ -7,8 +7,8 @@ import json
 import re
 from array import array
 
-#: Entries after which a memo starts afresh; about 60 MB.
-MEMO = 300_000
+from cueline.llm._common import MEMO
+
 #: White space that doesn't simply part two words: such texts are encoded in one go.
 _ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueline.llm._common import checkpoint, columns, spare
+from cueline.llm._common import checkpoint, columns, slices, spare
 from cueline.llm.bpe import Encoder, default_path
 
 CAPACITY = 2048
@@ -45,9 +45,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder(path, added), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for ids_, texts in (some for batch in batches for some in slices(*batch.columns)):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(ids_.to_pylist(), texts.to_pylist()):
                 ids = encoder.encode(text) + end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))

@@ -16,14 +16,12 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-from cueline.llm._common import col
+from cueline.llm._common import MEMO, col, slices
 from cueline.llm.toxicity import sampled
 
 #: Bound on the labelled rows: the decomposition and the voters come from these.
@@ -37,7 +35,6 @@ BUCKETS = _STRUCTURE + _SHAPES + _WORDS
 _LENGTHS, _SHARES, _LINES, _VARIETY = 0, 24, 48, 80
 _ADJACENT, _EMPTY = 120, 121
 _WORD_WEIGHT = 0.3
-_MEMO = 300_000
 #: What features are made of: the shape of a word is told by its first so many signs, and lengths are told up to so many characters.
 SHAPE_SIGNS, LENGTHS = 12, 23
 #: Texts that are compared with the voters at once.
@@ -67,7 +64,7 @@ class Features:
         if not words:
             return np.array([_EMPTY]), np.array([1.0])
         memo, n = self._memo, len(words)
-        if len(memo) > _MEMO:
+        if len(memo) > MEMO:
             memo.clear()
         counts = Counter(words)
         found = []
@@ -177,10 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
-            found = [features(t) for t in batch.column(0).to_pylist()]
+        for texts, y in (some for batch in batches for some in slices(*batch.columns)):
+            found = [features(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32())), batch.column(1)],
+                [pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32())), y],
                 names=["bucket", "value", "y"],
             )
 
@@ -192,12 +189,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 def score(model: Model, text: Column) -> Column:
     """The share of the vote for label 1 at each whole text, 0 to 1."""
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def of(batch: pa.Array) -> pa.Array:
         features, out = Features(), [np.zeros(0)]
-        for at in range(0, len(texts), TOGETHER):
-            out.append(model.vote(model.latent([features(t) for t in texts.iloc[at : at + TOGETHER]])))
-        return pd.Series(np.concatenate(out), dtype="float64")
+        for texts, in slices(batch, rows=TOGETHER):
+            out.append(model.vote(model.latent([features(t) for t in texts.to_pylist()])))
+        return pa.array(np.concatenate(out), pa.float64())
 
     return of(text)
 

@@ -11,11 +11,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from cueline.llm._common import checkpoint, col, columns
 from cueline.llm.components import connected_components
@@ -48,9 +47,9 @@ def simhash64(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", shingle: int = 3) -> DataFrame:
     """Add the fingerprint of each whole text as a long."""
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash64(t, shingle) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([simhash64(t.as_py(), shingle) for t in texts], pa.int64())
 
     return docs.withColumn(name, of(col(text)))
 
@@ -67,16 +66,17 @@ def _block_keys(fp):
 
 
 def _masks(spark: SparkSession) -> DataFrame:
-    """For each pair of shared blocks, all two-bit masks of the other 32 bits: 6 x 496 rows."""
+    """For each pair of shared blocks, all two-bit masks of the other 32 bits: 6 x 496 rows.
+
+    An Arrow table becomes a local relation; a list of rows would start further Python workers on every executor, which stay.
+    """
     rows = []
     for t, pair in enumerate(BLOCK_PAIRS):
         free = [b for b in range(64) if b // 16 not in pair]
         for a, b in combinations(free, 2):
             keep = ~((1 << a) | (1 << b)) & (2**64 - 1)
             rows.append((t, keep - 2**64 if keep >= 2**63 else keep))
-    return spark.createDataFrame(
-        rows, StructType([StructField("t", LongType()), StructField("keep", LongType())])
-    )
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], names=["t", "keep"]))
 
 
 def near_links(fps: DataFrame, distance: int = 2) -> DataFrame:

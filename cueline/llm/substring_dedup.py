@@ -31,7 +31,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -249,13 +248,16 @@ def remove_repeats(docs: DataFrame, layout: str = "source", prefix: str = "", sp
     found = matches(docs).groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("key", "lo", "at"))).alias(keys_))
     kind = "n_words long, n_removed long, n_factors long, kept string" + ", spans array<struct<start:long,length:long,source:long,source_start:long>>" * spans
     names = [c.split()[0] for c in kind.split(", ")]
+    span = pa.struct([(k, pa.int64()) for k in ("start", "length", "source", "source_start")])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.list_(span)] * spans
 
-    @F.pandas_udf(kind)
-    def left(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(kind)
+    def left(texts: pa.Array, keys: pa.Array) -> pa.Array:
         out = []
         for text, k in zip(texts, keys):
+            text, k = text.as_py(), k.values
             words = words_of(text)
-            gone = [f for f in parse(words, np.asarray(k, np.int64).reshape(-1, 3)) if f[2] is not None] if k is not None and len(k) else []
+            gone = [f for f in parse(words, k.to_numpy(zero_copy_only=False).reshape(-1, 3)) if f[2] is not None] if k is not None and len(k) else []
             stay = np.ones(len(words), bool)
             for start, length, *_ in gone:
                 stay[start : start + length] = False
@@ -268,7 +270,7 @@ def remove_repeats(docs: DataFrame, layout: str = "source", prefix: str = "", sp
                 kept = b" ".join(words if not gone else [w for w, s in zip(words, stay.tolist()) if s])
             row = (len(words), len(words) - int(stay.sum()), len(gone), kept.decode("utf-8", "surrogatepass"))
             out.append((*row, [dict(zip(("start", "length", "source", "source_start"), f)) for f in gone]) if spans else row)
-        return pd.DataFrame(out, columns=names)
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(kinds), kinds)], names=names)
 
     added = {c: f"{prefix}{c}" for c in names}
     rest = columns(docs)

@@ -18,13 +18,12 @@ from dataclasses import dataclass
 from functools import cmp_to_key
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm._common import checkpoint, col
+from cueline.llm._common import MEMO, TOGETHER, checkpoint, col, slices
 
 #: Bound on the labelled rows that the model is fitted on.
 LABELLED_ROWS = 20_000
@@ -45,7 +44,6 @@ LEVELS = 3
 FACTORS = 8
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 300_000
 
 
 def words_in(text: str | None) -> Counter[str]:
@@ -180,10 +178,10 @@ def bounded(sample: DataFrame, terms: int) -> DataFrame:
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All terms of each text, sorted, as 32-bit numbers."""
     memo: dict[str, list[int]] = {}
-    for batch in batches:
+    for doc_id, texts, y in (some for batch in batches for some in slices(*map(batch.column, ("doc_id", "text", "y")))):
         found = []
-        for text in batch.column("text").to_pylist():
-            if len(memo) > _MEMO:
+        for text in texts.to_pylist():
+            if len(memo) > MEMO:
                 memo.clear()
             counts = Counter()
             for word, n in words_in(text).items():
@@ -193,7 +191,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in buckets:
                     counts[b] += n
             found.append(np.array(sorted(levels(counts)), "<i4").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary()), batch.column("y")], names=["doc_id", "terms", "y"])
+        yield pa.RecordBatch.from_arrays([doc_id, pa.array(found, pa.binary()), y], names=["doc_id", "terms", "y"])
 
 
 def gathered(rows: Iterable, terms: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -291,13 +289,13 @@ class Scorer:
         self._sums = self._sums.cumsum(axis=1)
         self._places = _Places({int(b): k for k, b in enumerate(buckets, 1)})
 
-    def __call__(self, texts: list[str | None], together: int = 256) -> np.ndarray:
+    def __call__(self, texts: list[str | None], together: int = TOGETHER) -> np.ndarray:
         parts = [self._some(texts[at : at + together]) for at in range(0, len(texts), together)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
     def _some(self, texts: list[str | None]) -> np.ndarray:
         places, numbers, times, sizes = self._places, [], [], []
-        if len(places) > _MEMO:
+        if len(places) > MEMO:
             places.clear()
         for text in texts:
             counts = words_in(text)
@@ -322,11 +320,12 @@ class Scorer:
 def score(model: Model, text: Column) -> Column:
     """The score of each whole text, 0 to 1; null and empty texts, and those without any known term, score the model's bias."""
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
-        for texts in batches:
-            yield pd.Series(scorer(texts.tolist()), dtype="float64")
+        for batch in batches:
+            found = [scorer(texts.to_pylist()) for texts, in slices(batch)]
+            yield pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
 
     return of(text)
 

@@ -3,10 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cueline.llm import quality_vote, queries, toxicity
+from cueline.llm import bpe, quality_vote, queries, toxicity
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.1"
@@ -175,3 +176,27 @@ def test_toxicity_sample_lies_in_one_array():
     assert [(t.tobytes(), k) for t, k in zip(got, y)] == want
     assert len({id(t.base) for t in got}) == 1
     assert [len(x) for x in toxicity.gathered(iter([]), 0)] == [0, 0]
+
+
+def test_a_batch_of_texts_is_taken_some_rows_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [None, "", *(f"one two {k}" for k in range(998))], "y": [0, 1] * 500})
+    parts = list(toxicity._terms(iter([batch])))
+    assert max(p.num_rows for p in parts) == 256
+    got = pa.Table.from_batches(parts).to_pydict()
+    assert (got["doc_id"], got["y"]) == (batch.column("doc_id").to_pylist(), batch.column("y").to_pylist())
+    whole = toxicity._terms(iter([batch.slice(300, 1)]))
+    assert got["terms"][300] == next(whole).column("terms")[0].as_py()
+
+
+@pytest.mark.parametrize("of, most", [(quality_vote.Features, 32_000_000), (lambda: bpe.Encoder(bpe.default_path()).encode, 25_000_000)])
+def test_memos_of_rare_words_stay_small(of, most):
+    of = of()
+    texts = [" ".join(f"rare{n}" for n in range(at, at + 500)) for at in range(0, 120_000, 500)]
+    alone = of(texts[3])
+    tracemalloc.start()
+    for text in texts:
+        of(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < most, peak
+    assert all(map(np.array_equal, of(texts[3]), alone)) if isinstance(alone, tuple) else of(texts[3]) == alone

@@ -225,3 +225,10 @@ def test_query_columns(spark):
     made = queries.op7_simhash_near_dedup(spark, "/root/testdata/sf0.001")
     assert made.columns == ["doc_id", "fingerprint", "component_id"]
     assert made.where(~F.col("fingerprint").rlike("^[0-9a-f]{16}$")).count() == 0
+
+
+def test_masks_need_no_python_workers(spark):
+    masks = simhash._masks(spark)
+    assert masks._jdf.queryExecution().optimizedPlan().toString().startswith("LocalRelation")
+    assert masks.distinct().count() == 6 * 496
+    assert masks.where("bit_count(keep) = 62").groupBy("t").count().where("count = 496").count() == 6
