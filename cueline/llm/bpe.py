@@ -1,4 +1,4 @@
-"""Byte-level BPE identifiers of whole texts, with a memo of recent words."""
+"""Byte-level BPE identifiers of whole texts."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ import json
 import re
 from array import array
 
-from cueline.llm._common import MEMO
-
-#: White space that doesn't simply part two words: such texts are encoded in one go.
-_ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
-
 
 def default_path() -> str:
     import public_tokenizers
@@ -31,20 +26,11 @@ def added_tokens() -> dict[str, int]:
     return {token["content"]: token["id"] for token in found}
 
 
-class _Memo(dict):
-    def __init__(self, encode, lead: str) -> None:
-        self._encode, self._lead = encode, lead
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = array("I", self._encode(self._lead + word)).tobytes()
-        return ids
-
-
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit identifiers.
 
-    A pre-token of this vocabulary never reaches past a single blank or line
-    break between two words, so words can be encoded one by one and remembered.
+    A text is one call of the tokenizer, and nothing is remembered between texts:
+    time and memory follow the text alone, however many different words there are.
     ``added`` tokens are found first, and what stands between them is encoded
     apart; without any, such strings are ordinary text.
     """
@@ -55,13 +41,12 @@ class Encoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._encode = tiktoken.Encoding(
-            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        ).encode_ordinary
-        self._first, self._next = _Memo(self._encode, ""), _Memo(self._encode, " ")
+        # the token is never allowed, so it is ordinary text; with no special token at all, an empty one is looked for at each byte
+        self._encoding = tiktoken.Encoding(
+            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)}
+        )
         self._added = {a: array("I", [i]).tobytes() for a, i in (added or {}).items()}
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
-        self._break = array("I", self._encode("\n")).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -73,13 +58,4 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
-            return array("I", self._encode(text)).tobytes()
-        for memo in (self._first, self._next):
-            if len(memo) > MEMO:
-                memo.clear()
-        out, first, following = [], self._first, self._next.__getitem__
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out.append(first[words[0]] + b"".join(map(following, words[1:])))
-        return self._break.join(out)
+        return self._encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()

@@ -7,6 +7,7 @@ import pathlib
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -53,6 +54,18 @@ def test_ids_equal_the_reference_tokenizer(spark, reference, plain_reference):
     assert reference(f"a {END} b") == [64, 220, 50256, 275]
 
 
+def test_a_text_is_one_call_of_the_tokenizer(monkeypatch, reference):
+    calls = []
+    for name in ("encode_ordinary", "encode_to_numpy"):
+        whole = getattr(tiktoken.Encoding, name)
+        monkeypatch.setattr(tiktoken.Encoding, name, lambda *a, whole=whole, **k: calls.append(1) or whole(*a, **k))
+    text = "\n".join(f"rare{n}{END if n % 100 == 50 else ' '}word{n} é{n}" for n in range(2000))
+    full = bpe.Encoder(bpe.default_path(), bpe.added_tokens())
+    calls.clear()
+    assert np.frombuffer(full.encode(text), "<u4").tolist() == reference(text)
+    assert len(calls) == text.count(END) + 1
+
+
 def test_packing_query_has_the_ids_of_the_tokenizer(spark, reference, tmp_path):
     texts = [t for _, t in TEXTS] + WITH_END
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
